@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash_dedup
+from . import sharding, simhash_dedup, substring_dedup
 from .common import table
 
 
@@ -30,10 +30,16 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "intervals")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_contiguous_shards": op3_contiguous_shards,
         "op6_simhash_dedup": op6_simhash_dedup,
+        "op7_substring_dedup": op7_substring_dedup,
     }
 
 
