@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding, simhash_dedup, substring_dedup
+from . import decontamination, sharding, simhash_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -25,6 +25,19 @@ def op3_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, network).select(
+        "doc_id",
+        (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("threshold").alias("lang_threshold"),
+        F.col("toxic").cast("int").alias("predicted_by_lang"),
+    )
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
@@ -35,11 +48,17 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "intervals")
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_contiguous_shards": op3_contiguous_shards,
+        "op4_toxicity": op4_toxicity,
         "op6_simhash_dedup": op6_simhash_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op10_decontamination": op10_decontamination,
     }
 
 
