@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, sharding, simhash_dedup, substring_dedup, toxicity
+from . import decontamination, html_extraction, pii_surrogates, sharding, simhash_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), "intervals")
 
 
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii_surrogates.replace(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "text", F.col("_n_entities").alias("n_entities"), F.col("_kinds").alias("kinds"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity": op4_toxicity,
         "op6_simhash_dedup": op6_simhash_dedup,
         "op7_substring_dedup": op7_substring_dedup,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_html_extraction": op9_html_extraction,
         "op10_decontamination": op10_decontamination,
     }
