@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -32,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of DataFrames that nothing
+    refers to any more; otherwise they stay until the driver happens to collect
+    its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def range_edges(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` increasing cut points of a whole-number column.
 

@@ -18,10 +18,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, cut
+from .common import column_bytes, cut, release
 
 BASE = 0x9E3779B97F4A7C15 | 1
 BUCKET_BYTES = 16 << 20  # of text; about 2.5 million windows
+BLOCK = 1 << 20  # windows a task deals out at a time
 
 
 class _Powers:
@@ -63,9 +64,24 @@ def window_hashes(words: list[bytes], window: int, powers: _Powers):
     return h ^ (h >> np.uint64(31))
 
 
+def _planes(values) -> bytes:
+    """Differences of whole numbers, byte by byte: small ones compress to little."""
+    import numpy as np
+
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return steps.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def _unplanes(data: bytes, kind):
+    import numpy as np
+
+    steps = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T
+    return np.cumsum(np.ascontiguousarray(steps).view(kind).ravel(), dtype=kind)
+
+
 def _starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     """Rows of a bucket: starts to count (``marked`` false; with hashes) or
-    already known to repeat an earlier document of the same batch (true).
+    already known to repeat an earlier document of the same block (true).
     ``keys, sums, counts`` name the documents, ``places`` the words' numbers.
     """
 
@@ -80,40 +96,47 @@ def _starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
 
         def rows(marked, bucket, h, place, doc, keys, sums):
             order = np.argsort(bucket, kind="stable")  # keeps documents and places in order
-            edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets + 1))
+            edges = np.append(np.flatnonzero(np.diff(bucket[order], prepend=-1)), len(order))
             for a, b in zip(edges[:-1], edges[1:]):
                 own = order[a:b]
                 there, counts = np.unique(doc[own], return_counts=True)
-                yield (int(bucket[own[0]]), marked, b"" if marked else h[own].tobytes(), place[own].tobytes(), keys[there].tobytes(), sums[there].tobytes(), counts.astype(np.uint32).tobytes())
-
-        for batch in batches:
-            keys, sums, found = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(batch.num_rows, np.uint32), []
-            for i, text in enumerate(column_bytes(batch, "_text")):
-                h = window_hashes((text or b"").split(), window, powers)
-                if len(h):
-                    sums[i] = zlib.crc32(text)
-                    found.append((i, h))
-            if not found:
-                continue
-            h = np.concatenate([x for _, x in found])
-            doc = np.repeat(np.array([i for i, _ in found], np.int64), [len(x) for _, x in found])
-            place = np.concatenate([np.arange(len(x), dtype=np.uint32) for _, x in found])
-            del found
-            order = np.lexsort((keys[doc], h)) if len(h) else np.empty(0, np.int64)
+                yield (int(bucket[own[0]]), marked, b"" if marked else h[own].tobytes(), _planes(place[own]), _planes(keys[there]), sums[there].tobytes(), _planes(counts.astype(np.uint32)))
+
+        def block(found):
+            keys = np.array([k for k, _, _ in found], np.int64)
+            sums = np.array([c for _, c, _ in found], np.uint32)
+            lens = [len(x) for _, _, x in found]
+            h = np.concatenate([x for _, _, x in found])
+            doc = np.repeat(np.arange(len(found), dtype=np.int32), lens)
+            place = np.concatenate([np.arange(n, dtype=np.uint32) for n in lens])
+            order = np.lexsort((keys[doc], h))
             first = np.diff(h[order], prepend=~h[order[:1]]) != 0
             least = keys[doc[order]][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
             late = np.zeros(len(h), bool)
             late[order] = keys[doc[order]] > least
-            # of the earliest document only one start counts, its other ones can never be marked by another rule
-            bucket = (h % np.uint64(buckets)).astype(np.int64)
+            del order, first, least
+            bucket = (h % np.uint64(buckets)).astype(np.int32)
             out = list(rows(False, bucket[~late], h[~late], place[~late], doc[~late], keys, sums))
             if late.any():
-                own = (keys[doc[late]] % buckets).astype(np.int64)
+                own = (keys[doc[late]] % buckets).astype(np.int32)
                 out += rows(True, own, None, place[late], doc[late], keys, sums)
             for at in range(0, len(out), 256):
                 yield pa.record_batch([pa.array(c) for c in zip(*out[at : at + 256])], names)
 
-    return docs.mapInArrow(run, "bucket long, marked boolean, hashes binary, places binary, keys binary, sums binary, counts binary")
+        found, n = [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0), column_bytes(batch, "_text")):
+                h = window_hashes((text or b"").split(), window, powers)
+                if len(h):
+                    found.append((key.as_py(), zlib.crc32(text), h))
+                    n += len(h)
+                if n >= BLOCK:
+                    yield from block(found)
+                    found, n = [], 0
+        if found:
+            yield from block(found)
+
+    return docs.mapInArrow(run, "bucket int, marked boolean, hashes binary, places binary, keys binary, sums binary, counts binary")
 
 
 def _mark(buckets: DataFrame) -> DataFrame:
@@ -123,40 +146,33 @@ def _mark(buckets: DataFrame) -> DataFrame:
     def run(table):
         import numpy as np
         import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def joined(name, kind, rows):
-            return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
-
-        def by_document(place, key, total):
-            if not len(place):
-                return
-            order = np.lexsort((total, key))
-            key, total, place = key[order], total[order], place[order]
-            new = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(total.astype(np.int64), prepend=-1) != 0))
-            ends = np.append(new[1:], len(place))
-            out["_key"] += key[new].tolist()
-            out["_sum"] += total[new].tolist()
-            out["starts"] += [place[a:b].tobytes() for a, b in zip(new, ends)]
 
         out = {"_key": [], "_sum": [], "starts": []}
-        marked = table.column("marked")
         for known in (False, True):
-            rows = table.filter(marked if known else pc.invert(marked))
-            if not rows.num_rows:
+            parts = []
+            for marked, hashes, places, keys, sums, counts in zip(*(table.column(c) for c in ("marked", "hashes", "places", "keys", "sums", "counts"))):
+                if marked.as_py() == known:
+                    counts = _unplanes(counts.as_py(), np.uint32)
+                    parts.append((np.frombuffer(hashes.as_py(), np.uint64), _unplanes(places.as_py(), np.uint32), np.repeat(_unplanes(keys.as_py(), np.int64), counts), np.repeat(np.frombuffer(sums.as_py(), np.uint32), counts)))
+            if not parts:
                 continue
-            place, counts = joined("places", np.uint32, rows), joined("counts", np.uint32, rows)
-            key, total = np.repeat(joined("keys", np.int64, rows), counts), np.repeat(joined("sums", np.uint32, rows), counts)
+            h, place, key, total = (np.concatenate(x) for x in zip(*parts))
+            del parts
             if not known:
-                h = joined("hashes", np.uint64, rows)
                 order = np.argsort(h)
-                sorted_h = h[order]
-                runs = np.flatnonzero(np.diff(sorted_h, prepend=~sorted_h[:1]) != 0)
-                least = np.minimum.reduceat(key[order], runs)
-                late = key[order] > np.repeat(least, np.diff(np.append(runs, len(h))))
+                h, key = h[order], key[order]
+                runs = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
+                late = key > np.repeat(np.minimum.reduceat(key, runs), np.diff(np.append(runs, len(h))))
                 own = order[late]
-                place, key, total = place[own], key[own], total[own]
-            by_document(place, key, total)
+                key, place, total = key[late], place[own], total[own]
+            if not len(key):
+                continue
+            order = np.lexsort((total, key))
+            key, total, place = key[order], total[order], place[order]
+            new = np.flatnonzero((np.diff(key, prepend=~key[:1]) != 0) | (np.diff(total.astype(np.int64), prepend=-1) != 0))
+            out["_key"] += key[new].tolist()
+            out["_sum"] += total[new].tolist()
+            out["starts"] += [place[a:b].tobytes() for a, b in zip(new, np.append(new[1:], len(place)))]
         return pa.table({"_key": pa.array(out["_key"], pa.int64()), "_sum": pa.array(out["_sum"], pa.int64()), "starts": pa.array(out["starts"], pa.binary())})
 
     return buckets.groupBy("bucket").applyInArrow(run, "_key long, _sum long, starts binary")
@@ -181,7 +197,7 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, key: str = "doc_id", te
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("_key"), F.col(text).alias("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     marks = cut(_mark(_starts(rows, window, max(64, -(-size // BUCKET_BYTES)))))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # the windows' shuffle files are no longer needed: lets Spark's cleaner remove them
+    release(docs.sparkSession)  # the windows' shuffle files are no longer needed
     marks = marks.groupBy("_key", "_sum").agg(F.collect_list("starts").alias("starts"))
 
     def run(batches):
