@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, pii_surrogates, sharding, simhash_dedup, substring_dedup, toxicity
+from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, sharding, simhash_dedup, substring_dedup, toxicity
 from .common import table
 
 
+def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = iblt_fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+    return got.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+        "n_paragraphs",
+        "n_changed",
+    )
+
+
 def op3_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return got.select(
@@ -63,6 +78,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_iblt_fingerprints": op1_iblt_fingerprints,
         "op3_contiguous_shards": op3_contiguous_shards,
         "op4_toxicity": op4_toxicity,
         "op6_simhash_dedup": op6_simhash_dedup,
