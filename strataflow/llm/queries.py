@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, sharding, simhash_dedup, substring_dedup, toxicity
+from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity
 from .common import table
 
 
@@ -53,6 +53,19 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = sentencepieces.load()
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary)
+    # the ids stand in for the key, so that decoding passes them through
+    decoded = sentencepieces.decode(encoded.select(F.struct("doc_id", "ids").alias("own"), "ids"), vocabulary, key="own")
+    return decoded.select(
+        "own.doc_id",
+        F.size("own.ids").alias("n_tokens"),
+        F.sha2(F.array_join("own.ids", " "), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
@@ -81,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_iblt_fingerprints": op1_iblt_fingerprints,
         "op3_contiguous_shards": op3_contiguous_shards,
         "op4_toxicity": op4_toxicity,
+        "op5_sentencepieces": op5_sentencepieces,
         "op6_simhash_dedup": op6_simhash_dedup,
         "op7_substring_dedup": op7_substring_dedup,
         "op8_pii_surrogates": op8_pii_surrogates,
