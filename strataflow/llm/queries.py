@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity
+from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity, training_order
 from .common import table
 
 
@@ -26,6 +26,14 @@ def op1_iblt_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = training_order.new_folder(spark)
+    n = training_order.write_shards(table(spark, sf_dir, "documents"), path, "epoch 0")
+    if not n:
+        return spark.createDataFrame([], "slot long, shard long, offset long, n_tokens long, tokens_sha256 string, intact boolean")
+    return training_order.read_shards(spark, path).select("slot", "shard", "offset", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"), "intact")
+
+
 def op3_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 8)
     return got.select(
@@ -92,6 +100,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_iblt_fingerprints": op1_iblt_fingerprints,
+        "op2_training_order": op2_training_order,
         "op3_contiguous_shards": op3_contiguous_shards,
         "op4_toxicity": op4_toxicity,
         "op5_sentencepieces": op5_sentencepieces,
