@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units: a word with the space before it, or a line feed.
+Texts are cut into units: a run of letters and digits or of other characters,
+with the space before it, or a line feed.
 Every task packs its documents into blocks of bounded size with the distinct
 units of each; blocks are dealt out, and everything else happens where a block
 lies: its units are exploded into substrings of bounded length, equi-joined to
@@ -21,16 +22,18 @@ from pyspark.sql import functions as F
 from .common import column_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20  # of text
 UNIT = 48  # characters of a word in one unit; a longer one is cut
 MAX_PIECES = 1_000_000
-_UNITS = re.compile(rf" ?[^ \n]{{1,{UNIT}}}|\n| ")
+_UNITS = re.compile(rf" ?[^\W_]{{1,{UNIT}}}| ?(?:[^\w \n]|_){{1,{UNIT}}}|\n| ")
+#: An edge is one long: stop (12 bits), start (7), cost (24), id (20).
+_STOP, _START, _COST = 51, 44, 20
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``pieces`` (piece with a plain space for the space mark, id, score in
-    millionths) without control and byte pieces; ``byte_base`` is the id of
+    """``pieces`` (piece with a plain space for the space mark, id, cost in
+    100,000ths) without control and byte pieces; ``byte_base`` is the id of
     byte 0, or -1: then ``unknown`` stands for what has no piece."""
 
     pieces: tuple[tuple[str, int, int], ...]
@@ -59,7 +62,7 @@ def load(path: str = MODEL) -> Vocabulary:
     for i in plain:
         text = model.id_to_piece(i)
         if scores[i] > -1e8 and text and not re.search(r" |\n", text):
-            pieces.append((text.replace("▁", " "), i, round(1e6 * (-math.log(2 - scores[i]) if ranks else scores[i]))))
+            pieces.append((text.replace("▁", " "), i, min(round(1e5 * (math.log(2 - scores[i]) if ranks else max(-scores[i], 0.0))), (1 << 24) - 1)))
     # pieces that no unit can hold are left out: spaces stand first in a unit only
     pieces = [p for p in pieces if _UNITS.fullmatch(p[0])]
     bases = [i for i in range(n) if model.is_byte(i)]
@@ -110,18 +113,19 @@ def _viterbi(v: Vocabulary) -> str:
     """SQL: the ids of the best path through ``edges`` of ``unit``; of equally
     good ones that with the longest last piece, and so on.  A character that no
     path reaches costs more than any pieces and becomes its bytes."""
-    nothing = "cast(null as struct<score:bigint,path:array<int>>)"
+    nothing = "cast(null as struct<cost:bigint,path:array<int>>)"
     char = "hex(encode(substr(unit, p, 1), 'utf-8'))"
     last = "element_at(st, p)"
-    worst = min((s for _, _, s in v.pieces), default=0)
+    worst = max((c for _, _, c in v.pieces), default=0)
     if v.byte_base >= 0:
         spelled = f"transform(sequence(0, length({char}) div 2 - 1), i -> {v.byte_base} + cast(conv(substr({char}, 2 * i + 1, 2), 16, 10) as int))"
     else:
         spelled = f"array({v.unknown})"
-    best = f"""aggregate(filter(edges, e -> e.stop = p), {nothing}, (b, e) ->
-        if(b is null or st[e.start].score + e.score > b.score, named_struct('score', st[e.start].score + e.score, 'path', concat(st[e.start].path, array(e.id))), b))"""
-    fallback = f"named_struct('score', {last}.score + {100 * worst - 1}, 'path', concat({last}.path, {spelled}))"
-    return f"""aggregate(sequence(1, length(unit)), array(named_struct('score', 0L, 'path', cast(array() as array<int>))),
+    start, cost, piece = f"cast(shiftright(e, {_START}) & 127 as int)", f"(shiftright(e, {_COST}) & {(1 << 24) - 1}L)", f"cast(e & {(1 << 20) - 1}L as int)"
+    best = f"""aggregate(filter(edges, e -> shiftright(e, {_STOP}) = p), {nothing}, (b, e) ->
+        if(b is null or st[{start}].cost + {cost} < b.cost, named_struct('cost', st[{start}].cost + {cost}, 'path', concat(st[{start}].path, array({piece}))), b))"""
+    fallback = f"named_struct('cost', {last}.cost + {100 * worst + 1}L, 'path', concat({last}.path, {spelled}))"
+    return f"""aggregate(sequence(1, length(unit)), array(named_struct('cost', 0L, 'path', cast(array() as array<int>))),
         (st, p) -> concat(st, array(coalesce({best}, {fallback}))), st -> element_at(st, -1).path)"""
 
 
@@ -130,7 +134,7 @@ def _best_paths(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     one for each of its units."""
     spark: SparkSession = blocks.sparkSession
     # bounded: MAX_PIECES
-    pieces = F.broadcast(spark.createDataFrame(list(vocabulary.pieces), "piece string, id int, score long"))
+    pieces = F.broadcast(spark.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
     listed = F.concat(
         F.array(F.struct(F.lit(None).cast("string").alias("unit"), F.col("texts").alias("texts"))),
         F.transform(F.split("units", "\n"), lambda u: F.struct(u.alias("unit"), F.lit(None).cast("binary").alias("texts"))),
@@ -146,7 +150,7 @@ def _best_paths(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         stops.withColumn("piece", F.when(F.col("start") >= 0, F.substring("unit", F.col("start") + 1, F.col("stop") - F.col("start"))))
         .join(pieces, "piece", "left")
         .where("id is not null or start < 0")
-        .select("block", "number", F.when(F.col("start") < 0, F.col("unit")).alias("unit"), "texts", F.when(F.col("id").isNotNull(), F.struct("start", "stop", "id", "score")).alias("edge"))
+        .select("block", "number", F.when(F.col("start") < 0, F.col("unit")).alias("unit"), "texts", F.expr(f"shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(cost, {_COST}) | id").alias("edge"))
     )
     grouped = edges.groupBy("block", "number").agg(F.max("unit").alias("unit"), F.max("texts").alias("texts"), F.sort_array(F.collect_list("edge")).alias("edges"))
     return grouped.select("block", "texts", "unit", F.when(F.col("unit").isNotNull(), F.expr(_viterbi(vocabulary))).alias("ids"))
@@ -155,13 +159,15 @@ def _best_paths(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids``: the piece ids of every whole text, in array<int>.
 
-    A space is put before the text, as SentencePiece does; pieces never cross a
-    line feed, or a space but at their start; a word of more than 48 characters
-    is cut after each 48.  What has no piece becomes byte pieces (the unknown
+    A space is put before the text, as SentencePiece does; pieces never cross the
+    border of a run of letters and digits, and hold a space at their start only;
+    a run of more than 48 characters is cut after each 48.  What has no piece becomes byte pieces (the unknown
     piece, if the model has none).  A null or empty text has no ids; repeated
     rows each come back; an empty table gives an empty result.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    # small enough for a partition's edges to be sorted in memory
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
     blocks = _pack(docs, key, text).repartition(n, "block")
     kind = docs.schema[key].dataType.simpleString()
     line = [vocabulary.byte_base + 10] if vocabulary.byte_base >= 0 else [vocabulary.unknown]
