@@ -59,10 +59,10 @@ def range_bucket(key: str, edges: list[int]) -> Column:
     return F.when(F.col(key).isNull(), -1).otherwise(F.size(F.filter(cuts, lambda e: e <= F.col(key))))
 
 
-def column_bytes(batch, name: str) -> Iterator[bytes | None]:
+def column_bytes(batch, name: str | int) -> Iterator[bytes | None]:
     """The UTF-8 bytes of a text column of an Arrow batch, one row at a time."""
     import pyarrow as pa
 
-    column = batch.column(batch.schema.get_field_index(name))
+    column = batch.column(name if isinstance(name, int) else batch.schema.get_field_index(name))
     for value in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()):
         yield value.as_py()

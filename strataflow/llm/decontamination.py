@@ -147,6 +147,15 @@ class _Index:
                     best[i] = (similarity, int(starts[x]), size, int(d))
 
 
+def _indexes(items: DataFrame, item_key: str, item_text: str, width: int) -> list[_Index]:
+    """The items in blocks of at most 8 MB of text, or of one larger item."""
+    listed = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
+    size = listed.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    blocks = -(-size // ITEM_BYTES) or 1
+    parts = [listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b) if blocks > 1 else listed for b in range(blocks)]
+    return [_Index([(r["i"], None if r["t"] is None else r["t"].encode()) for r in part.orderBy("i", "t").collect()], width) for part in parts]
+
+
 def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """``key, item_id, similarity, start, n_words, distance``: every pair of a
     document and a benchmark item it holds, with the best window.
@@ -158,19 +167,14 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     ``threshold`` and their fingerprints differ in at most 23 bits.  Of equally
     similar windows the first counts.  Null or wordless documents and items
     match nothing; repeated documents each come with their own rows; a null
-    key stays null.  The items are broadcast in blocks of at most 8 MB of text
-    (a larger single item makes a block of its own), each block against all
-    documents.
+    key stays null.  The items are sent to the tasks in blocks of at most 8 MB
+    of text (a larger single item makes a block of its own), each block against
+    all documents.
     """
-    listed = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t"))
-    size = listed.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = -(-size // ITEM_BYTES) or 1
     rows = docs.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind = docs.schema[key].dataType.simpleString()
     out = None
-    for block in range(blocks):
-        own = listed if blocks == 1 else listed.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
-        index = _Index([(r["i"], None if r["t"] is None else r["t"].encode()) for r in own.orderBy("i", "t").collect()], width)
+    for index in _indexes(items, item_key, item_text, width):
 
         def run(batches, index=index):
             import pyarrow as pa
@@ -178,8 +182,8 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
             powers = _Powers()
             for batch in batches:
                 found = []
-                for n, text in enumerate(column_bytes(batch, "_text")):
-                    words = words_of(text)
+                for n, value in enumerate(column_bytes(batch, "_text")):
+                    words = words_of(value)
                     for i, got in index.matches(words, powers, threshold).items() if words else ():
                         found.append((n, index.items[i][0], *got))
                 if found:
@@ -192,8 +196,20 @@ def contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text
     return out.withColumnRenamed("_key", key)
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that hold an item.  Rows without a key
-    cannot be named by it and stay."""
-    found = contaminated(docs, items, key=key, **options).select(F.col(key).alias("_held")).distinct()
-    return docs.join(found, F.col(key) == F.col("_held"), "left_anti")
+def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """``docs``, all columns, without the rows that hold an item (as
+    :func:`contaminated` finds them).  Each row is judged by itself; nothing
+    moves."""
+    at = docs.columns.index(text)
+    for index in _indexes(items, item_key, item_text, width):
+
+        def run(batches, index=index):
+            import pyarrow as pa
+
+            powers = _Powers()
+            for batch in batches:
+                keep = [not index.matches(words_of(value), powers, threshold) for value in column_bytes(batch, at)]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
