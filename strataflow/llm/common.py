@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,8 +38,10 @@ def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner remove the shuffle files of DataFrames that nothing
     refers to any more; otherwise they stay until the driver happens to collect
     its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round lets go of plans, the second of the shuffles they held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def range_edges(df: DataFrame, key: str, buckets: int) -> list[int]:
