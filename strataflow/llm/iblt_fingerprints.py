@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import range_bucket, range_edges
 
-PIECE = 128  # characters
+PIECE = 256  # characters
 WIDTH = 8  # cells of each of the three rows
-ROUNDS = 10  # of peeling
+ROUNDS = 6  # of peeling
 RETRIES = 4
 
 _ZERO = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
@@ -35,37 +35,43 @@ def digests(text: str) -> str:
     return f"array_distinct(transform(regexp_extract_all({text}, '[^\\\\n]{{1,{PIECE}}}', 0), p -> xxhash64(p)))"
 
 
-def _hit(h: str, j: str) -> str:
-    """SQL: whether a digest with check ``h`` belongs to cell ``j``."""
-    return f"pmod(shiftrightunsigned({h}, 16 * ({j} div {WIDTH})) & 65535L, {WIDTH}) = {j} % {WIDTH}"
+def _mask(h: str) -> str:
+    """SQL: the three cells of a digest with check ``h``, one a row, as bits."""
+    return " | ".join(f"shiftleft(1L, cast({row * WIDTH} + (shiftrightunsigned({h}, {16 * row}) & {WIDTH - 1}L) as int))" for row in range(3))
+
+
+#: SQL: the bits of the cells, in order.
+_BITS = "array(" + ", ".join(f"{1 << j}L" for j in range(3 * WIDTH)) + ")"
 
 
 def _cells(signed: str) -> str:
-    """SQL: the cells of an array of ``(s, k, h)``: sign, digest, check."""
-    return f"""transform(sequence(0, {3 * WIDTH - 1}), j -> aggregate({signed}, {_ZERO},
-        (a, e) -> if({_hit('e.h', 'j')}, named_struct('n', a.n + e.s, 'k', a.k ^ e.k, 'h', a.h ^ e.h), a)))"""
+    """SQL: the cells of an array of ``(s, k, h, m)``: sign, digest, check, cells."""
+    return f"""transform({_BITS}, b -> aggregate(filter({signed}, e -> e.m & b != 0L), {_ZERO},
+        (a, e) -> named_struct('n', a.n + e.s, 'k', a.k ^ e.k, 'h', a.h ^ e.h)))"""
 
 
 def _signed(array: str, sign: int, salt: int) -> str:
-    return f"transform({array}, d -> named_struct('s', {sign}, 'k', d, 'h', xxhash64(d, {salt})))"
+    return f"transform(transform({array}, d -> named_struct('k', d, 'h', xxhash64(d, {salt}))), d -> named_struct('s', {sign}, 'k', d.k, 'h', d.h, 'm', {_mask('d.h')}))"
 
 
 def _peeled(cells: str, salt: int) -> str:
-    """SQL: the array of recovered ``(n, k, h)``, n being 1 for digests of the
-    first text only and -1 for the second; null if cells are left over."""
+    """SQL: the array of recovered ``(n, k, h, m)``, n being 1 for digests of
+    the first text only and -1 for the second; null if cells are left over."""
+    pure = f"array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.k, {salt}) = c.h), c -> named_struct('n', c.n, 'k', c.k, 'h', c.h, 'm', {_mask('c.h')})))"
     step = _let(
-        f"array_distinct(filter(s.cells, c -> abs(c.n) = 1 and xxhash64(c.k, {salt}) = c.h))",
+        pure,
         "pure",
-        f"""if(size(pure) = 0, s, named_struct('cells', transform(s.cells, (c, j) -> aggregate(pure, c,
-            (a, p) -> if({_hit('p.h', 'j')}, named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'h', a.h ^ p.h), a))), 'got', concat(s.got, pure)))""",
+        f"""if(size(pure) = 0, s, named_struct('cells', zip_with(s.cells, {_BITS}, (c, b) -> aggregate(filter(pure, p -> p.m & b != 0L), c,
+            (a, p) -> named_struct('n', a.n - p.n, 'k', a.k ^ p.k, 'h', a.h ^ p.h))), 'got', concat(s.got, pure)))""",
     )
-    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'got', filter(array({_ZERO}), x -> false)), (s, i) -> {step},
+    nothing = "filter(array(named_struct('n', 0, 'k', 0L, 'h', 0L, 'm', 0L)), x -> false)"
+    return f"""aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'got', {nothing}), (s, i) -> {step},
         s -> if(exists(s.cells, c -> c.n != 0 or c.k != 0 or c.h != 0), null, s.got))"""
 
 
 def sketch(array: str) -> str:
     """SQL: the sketch of an array of digests (cells of the first attempt)."""
-    return _cells(_signed(array, 1, 0))
+    return _let(_signed(array, 1, 0), "z", _cells("z"))
 
 
 def sketch_text(cells: str) -> str:
@@ -84,7 +90,9 @@ def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
     tries = [f"if(abs(size({a}) - size({b})) > {3 * WIDTH}, null, {_known(_peeled(_subtracted(cells_a, cells_b), 0))})"]
     for salt in range(1, RETRIES + 1):
         # blocks in two levels of about equal numbers, so that a long text costs n * sqrt(blocks)
-        block = _known(_peeled(_cells(f"concat({_signed(f'filter(v.a, d -> pmod(shiftrightunsigned(d, 24), l.side) = y)', 1, salt)}, {_signed(f'filter(v.b, d -> pmod(shiftrightunsigned(d, 24), l.side) = y)', -1, salt)})"), salt))
+        own = "filter(v.{}, d -> pmod(shiftrightunsigned(d, 24), l.side) = y)"
+        both = f"concat({_signed(own.format('a'), 1, salt)}, {_signed(own.format('b'), -1, salt)})"
+        block = _let(both, "z", f"if(size(z) = 0, 0, {_known(_peeled(_cells('z'), salt))})")
         column = _let(
             f"named_struct('a', filter({a}, d -> pmod(d, l.side) = x), 'b', filter({b}, d -> pmod(d, l.side) = x))",
             "v",
