@@ -1,13 +1,13 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units: a run of letters and digits or of other characters,
-with the space before it, or a line feed.
-Every task packs its documents into blocks of bounded size with the distinct
-units of each; blocks are dealt out, and everything else happens where a block
-lies: its units are exploded into substrings of bounded length, equi-joined to
-the piece table, and the edges found are grouped by unit; a Viterbi fold with
-Spark's ``aggregate`` picks the best path, and the documents of the block are
-put together from the paths of their units.
+with the space before it, or a line feed.  Every distinct unit of the corpus
+is exploded into substrings of bounded length, which are equi-joined to the
+piece table; the edges found are grouped by unit, and a Viterbi fold with
+Spark's ``aggregate`` picks the best path.  Tasks pack their documents into
+blocks of bounded size; the paths go to the blocks that have their units, and
+there the documents are put together.  Neither texts nor units are ever joined
+occurrence by occurrence.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ import math
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20  # of text
+BLOCK_BYTES = 16 << 20  # of text
+PAIRS = 1 << 20  # paths a task packs at a time
 UNIT = 48  # characters of a word in one unit; a longer one is cut
 MAX_PIECES = 1_000_000
 _UNITS = re.compile(rf" ?[^\W_]{{1,{UNIT}}}| ?(?:[^\w \n]|_){{1,{UNIT}}}|\n| ")
@@ -69,44 +70,59 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(pieces), bases[0] if len(bases) == 256 else -1, model.unk_id(), max((len(p[0]) for p in pieces), default=1))
 
 
-def _pack(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Blocks: ``block, texts, units``; ``texts`` holds keys and texts as
-    compressed Arrow, ``units`` the distinct units, parted by line feeds."""
+def _blocks(docs: DataFrame, key: str, text: str, units: bool) -> DataFrame:
+    """``block, texts`` (keys and texts of a block as compressed Arrow), or
+    ``block, unit`` for its distinct units.
+
+    A block is named by partition and place, so both readings of ``docs`` must
+    give the same rows in the same order.
+    """
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
-        keys, texts, size, units = [], [], 0, set()
+        keys, texts, size, found = [], [], 0, set()
 
-        def packed():
-            sink = pa.BufferOutputStream()
-            table = pa.table({"key": pa.chunked_array(keys), "text": pa.array(texts, pa.large_string())})
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-                out.write_table(table)
-            units.discard("\n")
-            return pa.record_batch([pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array(["\n".join(sorted(units))])], ["block", "texts", "units"])
+        def done():
+            if units:
+                found.discard("\n")
+                if found:
+                    own = pa.array(found, pa.string())
+                    yield pa.record_batch([pa.array([number] * len(own), pa.int64()), own], ["block", "unit"])
+            else:
+                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([_stored(pa.table({"key": pa.chunked_array(keys), "text": pa.array(texts, pa.large_string())}))], pa.binary())], ["block", "texts"])
 
         for batch in batches:
             start = 0
             for i, value in enumerate(column_bytes(batch, "_text")):
                 value = (value or b"").decode("utf-8", "replace")
-                texts.append(value)
-                if value:
-                    units.update(_UNITS.findall(" " + value))
                 size += len(value) + 16
+                if not units:
+                    texts.append(value)
+                elif value:
+                    found.update(_UNITS.findall(" " + value))
                 if size >= BLOCK_BYTES:
                     keys.append(batch.column(0).slice(start, i + 1 - start))
-                    yield packed()
+                    yield from done()
                     number, start = number + 1, i + 1
-                    keys, texts, size, units = [], [], 0, set()
-            if start < batch.num_rows:
+                    keys, texts, size, found = [], [], 0, set()
+            if start < batch.num_rows and not units:
                 keys.append(batch.column(0).slice(start))
-        if texts:
-            yield packed()
+        if size:
+            yield from done()
+
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, unit string" if units else "block long, texts binary")
+
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, texts binary, units string")
+def _stored(table) -> bytes:
+    import pyarrow as pa
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
 
 
 def _viterbi(v: Vocabulary) -> str:
@@ -129,19 +145,14 @@ def _viterbi(v: Vocabulary) -> str:
         (st, p) -> concat(st, array(coalesce({best}, {fallback}))), st -> element_at(st, -1).path)"""
 
 
-def _best_paths(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``block, texts, unit, ids``: one row with the texts of each block, and
-    one for each of its units."""
-    spark: SparkSession = blocks.sparkSession
+def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``unit, blocks, ids`` of every distinct ``unit`` of ``units``, with the
+    blocks that have it (at most one entry for each block there is)."""
     # bounded: MAX_PIECES
-    pieces = F.broadcast(spark.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
-    listed = F.concat(
-        F.array(F.struct(F.lit(None).cast("string").alias("unit"), F.col("texts").alias("texts"))),
-        F.transform(F.split("units", "\n"), lambda u: F.struct(u.alias("unit"), F.lit(None).cast("binary").alias("texts"))),
-    )
-    units = blocks.select("block", F.posexplode(listed).alias("number", "e")).select("block", "number", "e.unit", "e.texts").where("unit is null or unit != ''")
+    pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
+    distinct = units.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
     # start -1: a row that stands for the unit itself
-    starts = units.select("*", F.explode(F.sequence(F.lit(-1), F.coalesce(F.length("unit") - 1, F.lit(-1)))).alias("start"))
+    starts = distinct.select("unit", "blocks", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("blocks", F.when(F.col("start") < 0, F.col("blocks")))
     stops = starts.select(
         "*",
         F.explode(F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("start") + 1, F.least(F.col("start") + vocabulary.longest, F.length("unit"))))).alias("stop"),
@@ -150,10 +161,39 @@ def _best_paths(blocks: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         stops.withColumn("piece", F.when(F.col("start") >= 0, F.substring("unit", F.col("start") + 1, F.col("stop") - F.col("start"))))
         .join(pieces, "piece", "left")
         .where("id is not null or start < 0")
-        .select("block", "number", F.when(F.col("start") < 0, F.col("unit")).alias("unit"), "texts", F.expr(f"shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(cost, {_COST}) | id").alias("edge"))
+        .select("unit", "blocks", F.expr(f"shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(cost, {_COST}) | id").alias("edge"))
     )
-    grouped = edges.groupBy("block", "number").agg(F.max("unit").alias("unit"), F.max("texts").alias("texts"), F.sort_array(F.collect_list("edge")).alias("edges"))
-    return grouped.select("block", "texts", "unit", F.when(F.col("unit").isNotNull(), F.expr(_viterbi(vocabulary))).alias("ids"))
+    grouped = edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    return grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
+
+
+def _packed_paths(paths: DataFrame) -> DataFrame:
+    """``block, paths``: the units of a block and their ids, as compressed Arrow."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def done(rows):
+            table = pa.Table.from_batches(rows).combine_chunks()
+            blocks = table.column("block").to_numpy()
+            order = np.argsort(blocks, kind="stable")
+            edges = np.append(np.flatnonzero(np.diff(blocks[order], prepend=-1)), len(order))
+            for a, b in zip(edges[:-1], edges[1:]):
+                own = table.select(["unit", "ids"]).take(pa.array(order[a:b]))
+                yield pa.record_batch([pa.array([int(blocks[order[a]])], pa.int64()), pa.array([_stored(own)], pa.binary())], ["block", "paths"])
+
+        rows, n = [], 0
+        for batch in batches:
+            rows.append(batch)
+            n += batch.num_rows
+            if n >= PAIRS:
+                yield from done(rows)
+                rows, n = [], 0
+        if n:
+            yield from done(rows)
+
+    return paths.select(F.explode("blocks").alias("block"), "unit", "ids").mapInArrow(run, "block long, paths binary")
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -161,49 +201,50 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
 
     A space is put before the text, as SentencePiece does; pieces never cross the
     border of a run of letters and digits, and hold a space at their start only;
-    a run of more than 48 characters is cut after each 48.  What has no piece becomes byte pieces (the unknown
-    piece, if the model has none).  A null or empty text has no ids; repeated
-    rows each come back; an empty table gives an empty result.
+    a run of more than 48 characters is cut after each 48.  What has no piece
+    becomes byte pieces (the unknown piece, if the model has none).  A null or
+    empty text has no ids; repeated rows each come back; an empty table gives an
+    empty result.
+
+    ``docs`` is read twice and must give the same rows in the same order, as a
+    table in files does; what comes out of a shuffle should be written first.
+    If it doesn't, the job fails rather than giving other ids.
     """
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    # small enough for a partition's edges to be sorted in memory
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BLOCK_BYTES))
-    blocks = _pack(docs, key, text).repartition(n, "block")
     kind = docs.schema[key].dataType.simpleString()
     line = [vocabulary.byte_base + 10] if vocabulary.byte_base >= 0 else [vocabulary.unknown]
+    paths = _packed_paths(best_paths(_blocks(docs, key, text, units=True), vocabulary))
 
-    def run(table):
+    def run(texts, paths):
         import numpy as np
         import pyarrow as pa
 
         known, ids, starts = {"\n": 0}, [np.array(line, np.int32)], [0, len(line)]
-        payload = None
-        for batch in table.to_batches():
-            units, paths = batch.column("unit").to_pylist(), batch.column("ids")
-            for value in batch.column("texts").drop_null():
-                payload = value.as_py()
-            lengths = paths.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            ids.append(paths.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-            for unit, n in zip(units, lengths.tolist()):
-                if unit is not None:
-                    known[unit] = len(starts) - 1
-                    starts.append(starts[-1] + n)
+        for payload in paths.column("paths"):
+            table = pa.ipc.open_stream(payload.as_py()).read_all().combine_chunks()
+            own = table.column("ids").combine_chunks()
+            ids.append(own.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
+            for unit, n in zip(table.column("unit").to_pylist(), own.value_lengths().to_pylist()):
+                known[unit] = len(starts) - 1
+                starts.append(starts[-1] + n)
         ids, starts = np.concatenate(ids), np.array(starts)
-        stored = pa.ipc.open_stream(payload).read_all()
-        out, sizes = [], []
-        for value in stored.column("text").to_pylist():
-            own = np.fromiter(map(known.__getitem__, _UNITS.findall(" " + value) if value else ()), np.int64)
-            length = starts[own + 1] - starts[own]
-            total = int(length.sum())
-            at = np.arange(total) + np.repeat(starts[own] - np.cumsum(length) + length, length)
-            out.append(ids[at])
-            sizes.append(total)
-        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-        flat = np.concatenate(out) if out else np.empty(0, np.int32)
-        lists = pa.LargeListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(pa.list_(pa.int32()))
-        return pa.table({"_key": stored.column("key").combine_chunks(), "ids": lists})
-
-    return _best_paths(blocks, vocabulary).groupBy("block").applyInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
+        for payload in texts.column("texts"):
+            stored = pa.ipc.open_stream(payload.as_py()).read_all()
+            out, sizes = [], []
+            for value in stored.column("text"):
+                value = value.as_py()
+                own = np.fromiter(map(known.__getitem__, _UNITS.findall(" " + value) if value else ()), np.int64)
+                length = starts[own + 1] - starts[own]
+                total = int(length.sum())
+                at = np.arange(total) + np.repeat(starts[own] - np.cumsum(length) + length, length)
+                out.append(ids[at])
+                sizes.append(total)
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+            return pa.table({"_key": stored.column("key").combine_chunks(), "ids": lists})
+        raise RuntimeError("docs gave other rows on its second reading; write it to files first")
+
+    together = _blocks(docs, key, text, units=False).groupBy("block").cogroup(paths.groupBy("block"))
+    return together.applyInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", ids: str = "ids") -> DataFrame:

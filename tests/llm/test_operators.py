@@ -1,0 +1,454 @@
+"""Each operator against brute force on small tables, with the awkward cases:
+nulls, empty and very long texts, ties, repeated rows, empty tables, extra
+columns whose names clash with the operators' own."""
+
+import functools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strataflow.llm import (
+    decontamination,
+    html_extraction,
+    iblt_fingerprints,
+    pii_surrogates,
+    sentencepieces,
+    sharding,
+    simhash_dedup,
+    substring_dedup,
+    toxicity,
+    training_order,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _key string, _text string, part long, ids string"
+
+
+def words(n, seed=0, vocab=300):
+    r = np.random.default_rng(seed)
+    return " ".join(f"w{i}" for i in r.integers(0, vocab, n))
+
+
+def docs(spark, texts, ids=None):
+    ids = list(range(len(texts))) if ids is None else ids
+    return spark.createDataFrame([(i, t, "en", "s", None, "x", "y", 1, "z") for i, t in zip(ids, texts)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    long = words(30_000, 9)
+    texts = [words(200, 1), None, "", " \n\t ", "one", words(200, 1), words(120, 2) + "\n" + words(80, 3), long, long + " tail", "é ü ß ▁ 日本 \U0001f600\x0bx", words(60, 1), words(200, 1)]
+    return docs(spark, texts, [5, 3, 8, 1, 2, 9, 12, 40, 41, 7, None, 5]), texts
+
+
+# ---- 1
+
+
+def digests_of(text):
+    return set(re.findall(r"[^\n]{1,%d}" % iblt_fingerprints.PIECE, text or ""))
+
+
+def test_fingerprints_match_sets(spark, awkward):
+    df, texts = awkward
+    rows = iblt_fingerprints.fingerprints(df).collect()
+    versions = iblt_fingerprints.versions(df).collect()
+    assert len(rows) == len(versions) == len(texts)
+    order = sorted(versions, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0)))
+    for a, b in zip(order, order[1:] + order[:1]):
+        if a["doc_id"] != b["doc_id"]:
+            assert a["next"] == b["body"]
+    for v in versions:
+        half = len(v["body"]) // 2
+        assert v["edited"] == v["body"][: len(v["body"]) - half] + v["next"][:half]
+    near = Counter()
+    for v in versions:
+        a, e, n = digests_of(v["body"]), digests_of(v["edited"]), digests_of(v["next"])
+        near[v["doc_id"], round(len(a & e) / len(a | e) if a | e else 1.0, 9), round(len(a & n) / len(a | n) if a | n else 1.0, 9)] += 1
+    assert near == Counter((r["doc_id"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in rows)
+    by_text = {}
+    for r in rows:
+        by_text.setdefault((r["doc_id"], r["n_chars"]), set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in by_text.values())
+
+
+def test_fingerprints_of_one_and_none(spark):
+    one = iblt_fingerprints.fingerprints(docs(spark, ["a\nb"])).first()
+    assert one["near_next"] == 1.0 and one["n_chars"] == 3
+    assert iblt_fingerprints.fingerprints(docs(spark, [])).isEmpty()
+
+
+# ---- 2
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 64, 1000])
+def test_permutation(spark, n):
+    got = [r[0] for r in spark.range(n).select(training_order.permuted("id", n, "k")).collect()]
+    assert sorted(got) == list(range(n))
+    if n == 1000:
+        other = [r[0] for r in spark.range(n).select(training_order.permuted("id", n, "other")).collect()]
+        assert got != other and got != sorted(got)
+
+
+def test_shards_round_trip(spark, awkward, tmp_path):
+    df, texts = awkward
+    layout = training_order.Layout(length=64, per_shard=100, rounds=3)
+    n = training_order.write_shards(df, str(tmp_path / "o"), "k", layout)
+    rows = sorted(training_order.read_shards(spark, str(tmp_path / "o"), layout).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(n)) and all(r["intact"] for r in rows)
+    assert all(r["offset"] == r["slot"] % 100 * layout.stride and r["shard"] == r["slot"] // 100 for r in rows)
+    encoding = training_order._encoding(training_order.TOKENIZER)
+    ids = [i for r in rows for i in np.frombuffer(r["tokens"], "<u2").tolist()]
+    want = Counter(i for t in texts for i in [*encoding.encode_ordinary(t or ""), training_order.END])
+    assert Counter(ids) == want
+    # a second call finds everything written
+    assert training_order.write_shards(df, str(tmp_path / "o"), "k", layout) == n
+
+
+def test_shards_of_nothing(spark, tmp_path):
+    assert training_order.write_shards(docs(spark, []), str(tmp_path / "e"), "k") == 0
+
+
+# ---- 3
+
+
+def test_contiguous_shards(spark, awkward):
+    df, texts = awkward
+    rows = sorted(sharding.shard_by_bytes(df, 4).collect(), key=lambda r: r["position"])
+    assert [r["position"] for r in rows] == list(range(len(texts)))
+    keys = [r["doc_id"] for r in rows]
+    assert keys == sorted(keys, key=lambda k: (k is not None, k or 0))
+    total, at, slots = sum(len((t or "").encode()) + 1 for t in texts), 0, Counter()
+    for r in rows:
+        assert r["shard"] == min((2 * at + r["size"]) * 4 // (2 * total), 3)
+        assert r["slot"] == slots[r["shard"]]
+        slots[r["shard"]] += 1
+        at += r["size"]
+    assert at == total
+    assert Counter((r["size"], r["text_crc32"]) for r in rows) == Counter((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for t in texts)
+    assert sharding.shard_by_bytes(docs(spark, []), 4).isEmpty()
+
+
+def test_shards_are_near_equal(spark):
+    df = docs(spark, [words(5 + i % 40, i) for i in range(800)])
+    sums = [r[0] for r in sharding.shard_by_bytes(df, 8).groupBy("shard").agg(F.sum("size")).select("sum(size)").collect()]
+    assert len(sums) == 8 and max(sums) - min(sums) < 700
+
+
+# ---- 4
+
+
+def test_toxicity_learns_and_keeps_clean(spark):
+    bad = ["vilest", "vileness", "vilely"]
+    texts, labels = [], []
+    for i in range(900):
+        t = words(60, i).split()
+        if toxic := i % 4 == 0:
+            t[i % 50] = bad[i % 3]
+        texts.append(" ".join(t))
+        labels.append((i, int(toxic)))
+    df, known = docs(spark, texts), spark.createDataFrame(labels + [(None, 1), (5000, None)], "doc_id long, toxic int")
+    network = toxicity.train(df, known)
+    got = {r["doc_id"]: r for r in toxicity.score(df, network).collect()}
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
+    right = sum(got[i]["toxic"] == bool(labels[i][1]) for i in held)
+    assert right / len(held) > 0.95
+    kept = {r["doc_id"] for r in toxicity.drop_toxic(df, network).collect()}
+    assert kept == {i for i in got if not got[i]["toxic"]}
+
+
+def test_toxicity_of_pieces_and_awkward_texts(spark, awkward):
+    df, texts = awkward
+    s = toxicity.Settings(table=1 << 10)
+    network = toxicity.Network(s)
+    got = toxicity.score(df, network).collect()
+    assert len(got) == len(texts) and all(0 <= r["score"] <= 1 for r in got)
+    # very long texts are scored piece by piece, with the same result
+    own = [w.encode() for w in words(40_000, 3, 5000).split()]
+    x = np.array([network.p["E"][toxicity.word_rows(w, s.table)].sum(0) for w in own])
+    h = []
+    for w in s.widths:
+        padded = np.concatenate([x, np.zeros((max(s.widths), s.size), np.float32)])
+        z = sum(padded[j : j + len(x)] @ network.p[f"W{w}"][j] for j in range(w))
+        h.append(np.maximum(z.max(0) + network.p[f"b{w}"], 0))
+    want = 1 / (1 + np.exp(-(np.concatenate(h) @ network.p["v"] + network.p["c"][0])))
+    assert abs(network.scorer()(own) - want) < 1e-5
+    nothing = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert nothing.scorer()([b"x"]) == 0.0
+
+
+# ---- 5
+
+
+@functools.cache
+def costs(v):
+    return {p: (i, c) for p, i, c in v.pieces}, max(c for _, _, c in v.pieces)
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return sentencepieces.load()
+
+
+@functools.cache
+def viterbi(v, unit):
+    if unit == "\n":
+        return [v.byte_base + 10]
+    table, worst = costs(v)
+    st = [(0, [])]
+    for p in range(1, len(unit) + 1):
+        best = None
+        for s in range(max(0, p - v.longest), p):
+            if (t := table.get(unit[s:p])) and (best is None or st[s][0] + t[1] < best[0]):
+                best = (st[s][0] + t[1], st[s][1] + [t[0]])
+        st.append(best or (st[p - 1][0] + 100 * worst + 1, st[p - 1][1] + [v.byte_base + b for b in unit[p - 1].encode()]))
+    return st[-1][1]
+
+
+def test_encoding_is_the_best_path_and_comes_back(spark, awkward, vocabulary):
+    df, texts = awkward
+    encoded = sentencepieces.encode(df, vocabulary)
+    got = sorted((r["doc_id"] or -1, tuple(r["ids"])) for r in encoded.collect())
+    want = sorted((i or -1, tuple(x for u in (sentencepieces._UNITS.findall(" " + t) if t else []) for x in viterbi(vocabulary, u))) for i, t in zip([r["doc_id"] for r in df.collect()], texts))
+    assert got == want
+    back = sorted((r["doc_id"] or -1, r["text"]) for r in sentencepieces.decode(encoded, vocabulary).collect())
+    assert back == sorted((r["doc_id"] or -1, r["text"] or "") for r in df.collect())
+    assert sentencepieces.encode(docs(spark, []), vocabulary).isEmpty()
+
+
+# ---- 6
+
+
+def simhash(text):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    if not w:
+        return 0
+    s = [b" ".join(w[i : i + 3]) for i in range(max(1, len(w) - 2))]
+    h = [xxhash.xxh64_intdigest(x, 42) for x in s]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def linked(marks, distance=2):
+    parent = {m: m for m in marks}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    own = list(parent)
+    for i, a in enumerate(own):
+        for b in own[i + 1 :]:
+            if (a ^ b).bit_count() <= distance:
+                parent[root(a)] = root(b)
+    return root
+
+
+def test_simhash_components(spark, awkward):
+    base = words(400, 5).split()
+    near = []
+    for i in range(60):
+        t = list(base)
+        t[i * 6] = "changed"
+        near.append(" ".join(t))
+    df, texts = awkward
+    more = docs(spark, near, list(range(100, 160)))
+    rows = simhash_dedup.near_duplicates(df.union(more)).collect()
+    text_of = {}
+    for r in df.union(more).collect():
+        text_of.setdefault(r["doc_id"], []).append(simhash(r["text"]))
+    root = linked({m for ms in text_of.values() for m in ms})
+    groups = {}
+    for k, ms in text_of.items():
+        for m in ms:
+            groups.setdefault(root(m), set()).add(k)
+    for r in rows:
+        mark = r["fingerprint"] & (1 << 64) - 1
+        assert mark in text_of[r["doc_id"]]
+        assert r["component_id"] == min((k for k in groups[root(mark)] if k is not None), default=None)
+    kept = [r["doc_id"] for r in simhash_dedup.keep_one(df.union(more)).collect()]
+    assert sorted(x for x in kept if x is not None) == sorted({min(k for k in g if k is not None) for g in groups.values() if g - {None}})
+    assert simhash_dedup.near_duplicates(docs(spark, [])).isEmpty()
+
+
+def test_simhash_links_are_complete(spark):
+    r = np.random.default_rng(3)
+    marks = {int(x) for x in r.integers(-(1 << 63), 1 << 63, 300, dtype=np.int64)}
+    for m in list(marks)[:150]:
+        a, b = r.choice(64, 2, replace=False)
+        u = (m & (1 << 64) - 1) ^ (1 << int(a)) ^ (1 << int(b))
+        marks.add(u - (1 << 64) if u >> 63 else u)
+    df = spark.createDataFrame([(m,) for m in marks], "fingerprint long")
+    got = {(x["a"], x["b"]) for x in simhash_dedup.links(df).collect()}
+    own = sorted(marks)
+    assert got == {(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
+
+
+# ---- 7
+
+
+def test_repeats_against_brute_force(spark, awkward):
+    df, _ = awkward
+    shared = words(70, 77)
+    more = docs(spark, [words(30, i) + " " + shared + " " + words(9, i) for i in range(20)], list(range(200, 220)))
+    both = df.union(more)
+    rows = [(r["doc_id"], (r["text"] or "").encode().split()) for r in both.collect()]
+    last = 1 << 62
+    first: dict = {}
+    for k, w in rows:
+        for i in range(len(w) - 49):
+            x = tuple(w[i : i + 50])
+            first[x] = min(first.get(x, last), last if k is None else k)
+    want = Counter()
+    for k, w in rows:
+        gone = [False] * len(w)
+        for i in range(len(w) - 49):
+            if first[tuple(w[i : i + 50])] < (last if k is None else k):
+                gone[i : i + 50] = [True] * 50
+        want[k, len(w), sum(gone), b" ".join(x for x, g in zip(w, gone) if not g)] += 1
+    got = substring_dedup.remove_repeats(both).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"].encode()) for r in got) == want
+    assert all(sum(s["end"] - s["start"] for s in r["intervals"]) == r["n_removed"] for r in got)
+    assert substring_dedup.remove_repeats(docs(spark, [])).isEmpty()
+
+
+# ---- 8
+
+
+def test_surrogates(spark):
+    texts = [
+        "Mail und.34@mail7.example.com or call +1 (487) 555-7209.",
+        "Again UND.34@mail7.example.com, card 4111 1111 1111 1111 and 4736962573099581.",
+        "Mr. John Smith met Mrs. Anna Smith; later Mr. Smith left. Frau Müller blieb.",
+        'token = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" from 152.143.123.131, then 152.143.123.131.',
+        "IBAN DE89 3704 0044 0532 0130 00, ssn 078-05-1120, Госпожа Иванова.",
+        "Nothing here, 12 apples. 3.5 percent, version 1.2.3",
+        None,
+        "",
+    ]
+    df = docs(spark, texts)
+    got = {r["doc_id"]: r for r in pii_surrogates.replace(df).collect()}
+    for value in ("34@mail7", "487) 555", "4111 1111", "4736962573099581", "Smith", "Anna", "Müller", "f3ef4d6b", "152.143", "DE89 3704", "078-05-1120", "Иванова"):
+        assert not any(value.lower() in (r["text"] or "").lower() for r in got.values()), value
+    a = re.search(r"\S+@\S+\.net", got[0]["text"])[0]
+    assert a.lower() in got[1]["text"].lower()  # one address, one surrogate
+    assert re.fullmatch(r"Mail [^\W\d]{3}\.\d\d@mail\d{4}\.example\.net or call \+1 \(\d{3}\) \d{3}-\d{4}\.", got[0]["text"])
+    card = re.search(r"card (\d{4} \d{4} \d{4} \d{4})", got[1]["text"])[1].replace(" ", "")
+    assert sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(card))) % 10 == 0
+    first, second, third = re.fullmatch(r"Mr\. \w+ (\w+) met Mrs\. \w+na (\w+); later Mr\. (\w+) left\. Frau \w+ blieb\.", got[2]["text"]).groups()
+    assert first == second == third
+    x, y = re.search(r"from (\S+), then (\S+)\.", got[3]["text"]).groups()
+    assert x == y and re.search(r'token = "[0-9a-f]{40}"', got[3]["text"])
+    assert re.search(r"Госпожа [А-я]+ов\.", got[4]["text"])
+    assert got[5]["text"] == texts[5] and got[5]["_n_entities"] == 0
+    assert got[6]["text"] is None and got[7]["text"] == ""
+    assert got[0]["_key"] == "x"
+    assert pii_surrogates.replace(docs(spark, [])).isEmpty()
+
+
+def test_surrogates_stay_distinct(spark):
+    # so many three-digit numbers that keyed digits must collide
+    rows = spark.range(100, 420).selectExpr("'ssn' as kind", "cast(id as string) as canonical")
+    got = pii_surrogates.surrogates(rows, "k").collect()
+    fakes = [r["fake"] for r in got]
+    assert len(set(fakes)) == 320 and max(r["attempt"] for r in got) > 0
+    assert not set(fakes) & {r["canonical"] for r in got}
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_exceptions_are_used(spark, monkeypatch, limit):
+    """Names have few first surrogates here, so some are keyed anew; both ways
+    of looking exceptions up give the same texts."""
+    monkeypatch.setattr(pii_surrogates, "_name", lambda kind, canonical, h, attempt: f"concat('n', substr(translate({h}, 'abcdef', '012345'), 1, 1 + {attempt}))")
+    monkeypatch.setattr(pii_surrogates, "MAP_LIMIT", limit)
+    names = ["Adam", "Berta", "Carl", "Dora", "Emil", "Fritz", "Gustav", "Hans", "Ida", "Jakob", "Karl", "Ludwig", "Moritz"]
+    got = pii_surrogates.replace(docs(spark, [f"Herr {n} kam. Herr {n} ging." for n in names])).collect()
+    found = [re.fullmatch(r"Herr (\w+) kam\. Herr (\w+) ging\.", r["text"]).groups() for r in got]
+    assert all(a == b for a, b in found) and len({a for a, _ in found}) == len(names)
+
+
+# ---- 9
+
+PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header>Site</header><nav><ul><li><a href=x>Home</a></ul></nav>
+<div class="cookie-notice">We use cookies</div><article><h1>A &amp; B</h1><p>One <b>two</b>
+ three<p>Four<form><input>Search this</form><p>Five<br>six &eacute;&#233;<ul><li>a1<li>b2</ul><div id="comments"><p>bad comment</p></div></article>
+<aside>related</aside><footer>c</footer></body></html>"""
+
+
+def test_main_text(spark):
+    pages = spark.createDataFrame([(1, "u", PAGE), (2, "v", None), (3, "w", ""), (4, None, "plain words only"), (5, "x", "<p>open <b>tags"), (6, "y", "<nav>only menus</nav>"), (1, "u", PAGE)], "page_id long, url string, html string")
+    got = sorted(((r["page_id"], r["url"], r["text"], r["n_chars"]) for r in html_extraction.extract(pages).collect()), key=repr)
+    body = "A & B\nOne two three\nFour\nFive six éé\na1\nb2"
+    assert got == sorted([(1, "u", body, len(body))] * 2 + [(2, "v", "", 0), (3, "w", "", 0), (4, None, "plain words only", 16), (5, "x", "open tags", 9), (6, "y", "", 0)], key=repr)
+    assert html_extraction.extract(pages.limit(0)).isEmpty()
+
+
+def test_region_is_the_maximum_subsequence():
+    """The scan finds what trying all regions finds."""
+    w = {f"hint:{h}": -3.0 for h in html_extraction.HINTS} | {f"tag:{t}": -3.0 for t in html_extraction.BESIDE} | {f"open:{t}": -0.4 for t in html_extraction.BLOCK}
+    page = "<div class=menu>x y z x y z</div><div>stray</div>" + "<table><tr><td></td></tr></table>" * 4 + "<div>" + "<p>real text goes on here</p>" * 5 + "</div>" + "<table><tr><td></td></tr></table>" * 4 + "<div>end</div>"
+    assert html_extraction.main_text(page, w) == "\n".join(["real text goes on here"] * 5)
+
+
+# ---- 10
+
+
+def shingles(w, width):
+    return Counter(tuple(w[i : i + width]) for i in range(len(w) - width + 1))
+
+
+def test_contamination_against_brute_force(spark, awkward):
+    items = [words(40, 900 + i) for i in range(12)] + ["tiny item", "", None, words(25, 5)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    r = np.random.default_rng(4)
+    texts = []
+    for i in range(60):
+        own = items[i % 12].split()
+        for _ in range(i % 5):
+            own[int(r.integers(len(own)))] = "other"
+        texts.append(words(50, i) + " " + " ".join(own).upper() + ", " + words(50, i + 7))
+    texts += ["a tiny item here", words(300, 3)]
+    both = docs(spark, texts, list(range(100, 100 + len(texts)))).union(awkward[0])
+    got = {(x["doc_id"], x["item_id"]): x["similarity"] for x in decontamination.contaminated(both, bench).collect()}
+    want = {}
+    split = [(i, decontamination.words_of((t or "").encode())) for i, t in enumerate(items)]
+    for d in both.collect():
+        w = decontamination.words_of((d["text"] or "").encode())[:500]
+        for i, own in split:
+            if not own or not w:
+                continue
+            width = min(5, len(own))
+            b = shingles(own, width)
+            for s in range(max(1, len(w) - len(own) + 1)):
+                a = shingles(w[s : s + len(own)], width)
+                both_n = sum((a & b).values())
+                if a and (sim := both_n / (sum(a.values()) + sum(b.values()) - both_n)) >= 0.8:
+                    want[d["doc_id"], i] = max(want.get((d["doc_id"], i), 0), sim)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    kept = {x["doc_id"] for x in decontamination.drop_contaminated(both, bench).collect()}
+    assert kept == {x["doc_id"] for x in both.collect()} - {k for k, _ in want}
+    assert decontamination.contaminated(docs(spark, []), bench).isEmpty()
+
+
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, words(30, i)) for i in range(8)], "item_id long, text string")
+    df = docs(spark, [words(20, 50) + " " + words(30, i) for i in range(8)])
+    one = sorted(map(tuple, decontamination.contaminated(df, bench).collect()))
+    monkeypatch.setattr(decontamination, "ITEM_BYTES", 200)
+    assert sorted(map(tuple, decontamination.contaminated(df, bench).collect())) == one and len(one) == 8
+
+
+def test_index_guarantees_its_radius():
+    index = decontamination._Index([(1, words(40, 1).encode())], 5)
+    own, marks, table = index.tables[40]
+    r = np.random.default_rng(0)
+    for _ in range(300):
+        m = int(marks[0])
+        for b in r.choice(64, decontamination.RADIUS, replace=False):
+            m ^= 1 << int(b)
+        blocks = np.array([m], "<u8").view(np.uint8)
+        assert any(table[k, blocks[k], 0] for k in range(8))
