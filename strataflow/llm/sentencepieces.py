@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import column_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 16 << 20  # of text
-PAIRS = 1 << 20  # paths a task packs at a time
+BLOCK_BYTES = 4 << 20  # of text
+PAIRS = 1 << 18  # paths a task packs at a time
 UNIT = 48  # characters of a word in one unit; a longer one is cut
 MAX_PIECES = 1_000_000
 _UNITS = re.compile(rf" ?[^\W_]{{1,{UNIT}}}| ?(?:[^\w \n]|_){{1,{UNIT}}}|\n| ")
@@ -79,6 +79,7 @@ def _blocks(docs: DataFrame, key: str, text: str, units: bool) -> DataFrame:
     """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
@@ -90,7 +91,7 @@ def _blocks(docs: DataFrame, key: str, text: str, units: bool) -> DataFrame:
                 found.discard("\n")
                 if found:
                     own = pa.array(found, pa.string())
-                    yield pa.record_batch([pa.array([number] * len(own), pa.int64()), own], ["block", "unit"])
+                    yield pa.record_batch([pa.array(np.full(len(own), number, np.int64)), own], ["block", "unit"])
             else:
                 yield pa.record_batch([pa.array([number], pa.int64()), pa.array([_stored(pa.table({"key": pa.chunked_array(keys), "text": pa.array(texts, pa.large_string())}))], pa.binary())], ["block", "texts"])
 
@@ -127,22 +128,31 @@ def _stored(table) -> bytes:
 
 def _viterbi(v: Vocabulary) -> str:
     """SQL: the ids of the best path through ``edges`` of ``unit``; of equally
-    good ones that with the longest last piece, and so on.  A character that no
-    path reaches costs more than any pieces and becomes its bytes."""
-    nothing = "cast(null as struct<cost:bigint,path:array<int>>)"
-    char = "hex(encode(substr(unit, p, 1), 'utf-8'))"
-    last = "element_at(st, p)"
+    good ones that with the longest last piece, and so on.
+
+    One fold over the edges in order of their stop.  Its state: where it is,
+    the best cost and path to each place before, and the best edge to this one.
+    Each character has an edge of its own, too, that costs more than any pieces
+    and stands for its bytes.
+    """
+    spelling = (1 << 20) - 1
     worst = max((c for _, _, c in v.pieces), default=0)
+    stop, start = f"cast(shiftright(e, {_STOP}) as int)", f"cast(shiftright(e, {_START}) & 127 as int)"
+    cost = f"if(e & {spelling}L = {spelling}L, {100 * worst + 1}L, shiftright(e, {_COST}) & {(1 << 24) - 1}L)"
+    spell = f"transform(sequence(1, length(unit)), p -> shiftleft(cast(p as long), {_STOP}) | shiftleft(cast(p - 1 as long), {_START}) | {spelling}L | shiftleft({(1 << 24) - 1}L, {_COST}))"
+    char = "hex(encode(substr(unit, a.best.start + 1, 1), 'utf-8'))"
     if v.byte_base >= 0:
         spelled = f"transform(sequence(0, length({char}) div 2 - 1), i -> {v.byte_base} + cast(conv(substr({char}, 2 * i + 1, 2), 16, 10) as int))"
     else:
         spelled = f"array({v.unknown})"
-    start, cost, piece = f"cast(shiftright(e, {_START}) & 127 as int)", f"(shiftright(e, {_COST}) & {(1 << 24) - 1}L)", f"cast(e & {(1 << 20) - 1}L as int)"
-    best = f"""aggregate(filter(edges, e -> shiftright(e, {_STOP}) = p), {nothing}, (b, e) ->
-        if(b is null or st[{start}].cost + {cost} < b.cost, named_struct('cost', st[{start}].cost + {cost}, 'path', concat(st[{start}].path, array({piece}))), b))"""
-    fallback = f"named_struct('cost', {last}.cost + {100 * worst + 1}L, 'path', concat({last}.path, {spelled}))"
-    return f"""aggregate(sequence(1, length(unit)), array(named_struct('cost', 0L, 'path', cast(array() as array<int>))),
-        (st, p) -> concat(st, array(coalesce({best}, {fallback}))), st -> element_at(st, -1).path)"""
+    ids = f"if(a.best.e & {spelling}L = {spelling}L, {spelled}, array(cast(a.best.e & {spelling}L as int)))"
+    path = f"if(a.best.e < 0, cast(array() as array<int>), concat(a.done[a.best.start].path, {ids}))"
+    first = "named_struct('at', 0, 'done', cast(array() as array<struct<cost:bigint,path:array<int>>>), 'best', named_struct('cost', 0L, 'start', 0, 'e', -1L))"
+    here = f"""named_struct('at', a.at, 'done', a.done, 'best',
+        if(a.done[{start}].cost + {cost} < a.best.cost, named_struct('cost', a.done[{start}].cost + {cost}, 'start', {start}, 'e', e), a.best))"""
+    on = f"""element_at(transform(array(concat(a.done, array(named_struct('cost', a.best.cost, 'path', {path})))), d ->
+        named_struct('at', a.at + 1, 'done', d, 'best', named_struct('cost', d[{start}].cost + {cost}, 'start', {start}, 'e', e))), 1)"""
+    return f"aggregate(sort_array(concat(edges, {spell})), {first}, (a, e) -> if({stop} = a.at, {here}, {on}), a -> {path})"
 
 
 def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -163,7 +173,7 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .where("id is not null or start < 0")
         .select("unit", "blocks", F.expr(f"shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(cost, {_COST}) | id").alias("edge"))
     )
-    grouped = edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.sort_array(F.collect_list("edge")).alias("edges"))
+    grouped = edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list("edge").alias("edges"))
     return grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
 
 

@@ -203,7 +203,8 @@ def viterbi(v, unit):
         for s in range(max(0, p - v.longest), p):
             if (t := table.get(unit[s:p])) and (best is None or st[s][0] + t[1] < best[0]):
                 best = (st[s][0] + t[1], st[s][1] + [t[0]])
-        st.append(best or (st[p - 1][0] + 100 * worst + 1, st[p - 1][1] + [v.byte_base + b for b in unit[p - 1].encode()]))
+        spelled = (st[p - 1][0] + 100 * worst + 1, st[p - 1][1] + [v.byte_base + b for b in unit[p - 1].encode()])
+        st.append(spelled if best is None or spelled[0] < best[0] else best)
     return st[-1][1]
 
 
