@@ -9,13 +9,15 @@ from ..functions import formulas as M
 from ..sources import tables as T
 from .build import oracle, query
 
-HOUR = W.partitionBy("point").orderBy("h")
+def hours():
+    """A point's hours in order (made when asked for: windows need a session)."""
+    return W.partitionBy("point").orderBy("h")
 
 
 @query(oracle(", s AS (SELECT point, h, mm, sum(mm) OVER (PARTITION BY point ORDER BY h) AS total FROM hourly), x AS (SELECT point, h, round(total / (h + 1) - 14.82 * pow(greatest(h + 1, 0.167), -0.39), 3) AS excess FROM s WHERE h < 168) SELECT point, excess, h FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY excess DESC, h) AS n FROM x) WHERE n = 1", "hourly"))
 def rainfall_trigger(spark, sf):
     """Where mean intensity since the start most exceeds the landslide threshold."""
-    s = T.hourly(spark, sf).withColumn("total", F.sum("mm").over(HOUR)).where("h < 168").withColumn("excess", F.round(F.expr(f"total / (h + 1) - {M.caine('(h + 1.0D)')}"), 3))
+    s = T.hourly(spark, sf).withColumn("total", F.sum("mm").over(hours())).where("h < 168").withColumn("excess", F.round(F.expr(f"total / (h + 1) - {M.caine('(h + 1.0D)')}"), 3))
     return s.groupBy("point").agg(F.max(F.struct("excess", (-F.col("h")).alias("n"))).alias("b")).select("point", "b.excess", (-F.col("b.n")).alias("h"))
 
 
@@ -46,9 +48,9 @@ def antecedent_index(spark, sf):
 
 @query(oracle("SELECT point, h, round(sum(mm) OVER (p ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS past24, round(sum(mm) OVER (p ROWS BETWEEN 71 PRECEDING AND CURRENT ROW), 4) AS past72, round(coalesce(sum(mm) OVER (p ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING), 0), 4) AS next24, round(coalesce(max(mm) OVER (p ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING), 0), 4) AS peak FROM hourly WINDOW p AS (PARTITION BY point ORDER BY h)", "hourly"))
 def rain_windows(spark, sf):
-    ahead = HOUR.rowsBetween(1, 24)
+    ahead = hours().rowsBetween(1, 24)
     return T.hourly(spark, sf).select(
-        "point", "h", F.round(F.sum("mm").over(HOUR.rowsBetween(-23, 0)), 4).alias("past24"), F.round(F.sum("mm").over(HOUR.rowsBetween(-71, 0)), 4).alias("past72"),
+        "point", "h", F.round(F.sum("mm").over(hours().rowsBetween(-23, 0)), 4).alias("past24"), F.round(F.sum("mm").over(hours().rowsBetween(-71, 0)), 4).alias("past72"),
         F.round(F.coalesce(F.sum("mm").over(ahead), F.lit(0.0)), 4).alias("next24"), F.round(F.coalesce(F.max("mm").over(ahead), F.lit(0.0)), 4).alias("peak"),
     )
 
@@ -56,7 +58,7 @@ def rain_windows(spark, sf):
 @query(oracle("SELECT point, h, round(avg(cloud) OVER (p ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) - avg(cloud) OVER (p ROWS BETWEEN 12 PRECEDING AND 7 PRECEDING), 6) + 0.0 AS deepening FROM hourly WINDOW p AS (PARTITION BY point ORDER BY h)", "hourly"))
 def deepening(spark, sf):
     """Mean of the last six hours over that of the six before."""
-    return T.hourly(spark, sf).select("point", "h", (F.round(F.avg("cloud").over(HOUR.rowsBetween(-6, -1)) - F.avg("cloud").over(HOUR.rowsBetween(-12, -7)), 6) + 0.0).alias("deepening"))
+    return T.hourly(spark, sf).select("point", "h", (F.round(F.avg("cloud").over(hours().rowsBetween(-6, -1)) - F.avg("cloud").over(hours().rowsBetween(-12, -7)), 6) + 0.0).alias("deepening"))
 
 
 @query(oracle("SELECT n.point, arg_max(f.h, f.cloud * 1000 - f.h) - 200 AS hours, max(f.cloud) AS top FROM hourly n JOIN hourly f ON f.point = n.point AND f.h BETWEEN 201 AND 248 AND f.cloud > n.cloud WHERE n.h = 200 GROUP BY 1", "hourly"))
@@ -72,7 +74,7 @@ def uh_convolve(spark, sf):
     """Rain through a gamma unit hydrograph of 48 hours: the hours of a window
     as an array, weighted by the ordinates, so no row is joined with others."""
     u = "transform(sequence(1, 48), t -> pow(t, 2) * exp(-t / 3D))"
-    last = T.hourly(spark, sf).withColumn("past", F.reverse(F.collect_list("mm").over(HOUR.rowsBetween(-47, 0)))).withColumn("u", F.expr(u))
+    last = T.hourly(spark, sf).withColumn("past", F.reverse(F.collect_list("mm").over(hours().rowsBetween(-47, 0)))).withColumn("u", F.expr(u))
     weighted = "aggregate(zip_with(past, slice(u, 1, size(past)), (a, b) -> a * b), 0D, (s, x) -> s + x) / aggregate(u, 0D, (s, x) -> s + x)"
     return last.select("point", "h", F.round(F.expr(weighted), 4).alias("q"))
 
@@ -103,7 +105,7 @@ def bilinear(spark, sf):
 @query(oracle(", r AS (SELECT point, h, cloud, sum(mm) OVER (PARTITION BY point ORDER BY h ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS ahead FROM hourly), b AS (SELECT point, h, cloud, round(100 * (0.7e0 * least(coalesce(ahead, 0) / 204.5e0, 1) + 0.3e0 * cloud / 100), 4) AS base FROM r WHERE h % 24 = 0) SELECT point, h, base, row_number() OVER (PARTITION BY h ORDER BY base DESC, point) AS rank FROM b WHERE base >= 18", "hourly"))
 def watch_board(spark, sf):
     """Daily boards: a cheap score first, and only what passes the gate is ranked."""
-    r = T.hourly(spark, sf).withColumn("ahead", F.sum("mm").over(HOUR.rowsBetween(1, 24))).where("h % 24 = 0")
+    r = T.hourly(spark, sf).withColumn("ahead", F.sum("mm").over(hours().rowsBetween(1, 24))).where("h % 24 = 0")
     b = r.withColumn("base", F.round(F.expr("100 * (0.7D * least(coalesce(ahead, 0) / 204.5D, 1) + 0.3D * cloud / 100)"), 4)).where("base >= 18")
     return b.select("point", "h", "base", F.row_number().over(W.partitionBy("h").orderBy(F.desc("base"), "point")).cast("long").alias("rank"))
 
@@ -111,5 +113,5 @@ def watch_board(spark, sf):
 @query(oracle(", g AS (SELECT point, h, mm, h - row_number() OVER (PARTITION BY point ORDER BY h) AS spell FROM hourly WHERE mm > 0) SELECT point, min(h) AS first, count(*) AS hours, round(sum(mm), 4) AS mm FROM g GROUP BY point, spell", "hourly"))
 def wet_spells(spark, sf):
     """Runs of wet hours: gaps and islands."""
-    g = T.hourly(spark, sf).where("mm > 0").withColumn("spell", F.col("h") - F.row_number().over(HOUR))
+    g = T.hourly(spark, sf).where("mm > 0").withColumn("spell", F.col("h") - F.row_number().over(hours()))
     return g.groupBy("point", "spell").agg(F.min("h").alias("first"), F.count("*").alias("hours"), F.round(F.sum("mm"), 4).alias("mm")).drop("spell")
