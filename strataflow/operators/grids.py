@@ -62,7 +62,7 @@ def slope_aspect(cells: DataFrame, value: str = "v", size: float = 30.0) -> Data
     df = shifted(cells, value)
     gx = f"((zmp + 2 * zzp + zpp) - (zmm + 2 * zzm + zpm)) / (8 * {size}D)"
     gy = f"((zpm + 2 * zpz + zpp) - (zmm + 2 * zmz + zmp)) / (8 * {size}D)"
-    return df.select(*cells.columns, F.expr(f"degrees(atan(sqrt(pow({gx}, 2) + pow({gy}, 2))))").alias("slope"), F.expr(f"pmod(degrees(atan2({gy}, -({gx}))) + 360.0D, 360.0D)").alias("aspect"))
+    return df.select(*cells.columns, F.expr(f"degrees(atan(sqrt(pow({gx}, 2) + pow({gy}, 2))))").alias("slope"), F.expr(f"pmod(degrees(atan2({gy}, 0D - ({gx}))) + 360.0D, 360.0D)").alias("aspect"))
 
 
 def curvature(cells: DataFrame, value: str = "v", size: float = 30.0) -> DataFrame:

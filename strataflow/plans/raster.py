@@ -36,7 +36,7 @@ def z(i: int, j: int) -> str:
 HORN = f"SELECT district, r, c, max(v) AS v, (({z(-1, 1)} + 2 * {z(0, 1)} + {z(1, 1)}) - ({z(-1, -1)} + 2 * {z(0, -1)} + {z(1, -1)})) / 240e0 AS gx, (({z(1, -1)} + 2 * {z(1, 0)} + {z(1, 1)}) - ({z(-1, -1)} + 2 * {z(-1, 0)} + {z(-1, 1)})) / 240e0 AS gy FROM ({pad(1)}) GROUP BY 1, 2, 3"
 
 
-@query(oracle(f"SELECT district, r, c, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope, round((degrees(atan2(gy, -gx)) + 360) % 360, 5) AS aspect FROM ({HORN})", "cells"))
+@query(oracle(f"SELECT district, r, c, round(degrees(atan(sqrt(gx * gx + gy * gy))), 5) AS slope, round((degrees(atan2(gy, 0e0 - gx)) + 360) % 360, 5) AS aspect FROM ({HORN})", "cells"))
 def slope_aspect(spark, sf):
     return G.slope_aspect(T.cells(spark, sf)).select("district", "r", "c", F.round("slope", 5).alias("slope"), F.round("aspect", 5).alias("aspect"))
 
@@ -58,7 +58,7 @@ def shoreline(spark, sf):
     return G.shoreline(cells, "sea").where("shore").select("district", "r", "c")
 
 
-@query(oracle("SELECT a.district, a.r, a.c, CASE WHEN min(abs(a.r - b.r) + abs(a.c - b.c)) <= 6 THEN min(abs(a.r - b.r) + abs(a.c - b.c)) END AS dist FROM cells a JOIN cells b ON b.district = a.district AND b.v > 260 GROUP BY 1, 2, 3", "cells"))
+@query(oracle("SELECT a.district, a.r, a.c, CASE WHEN min(abs(a.r - b.r) + abs(a.c - b.c)) <= 6 THEN min(abs(a.r - b.r) + abs(a.c - b.c)) END AS dist FROM cells a LEFT JOIN cells b ON b.district = a.district AND b.v > 260 GROUP BY 1, 2, 3", "cells"))
 def distance_l1(spark, sf):
     return G.distance(T.cells(spark, sf).withColumn("seed", F.col("v") > 260), "seed", 6).select("district", "r", "c", "dist")
 
@@ -76,12 +76,12 @@ def d8_receiver(spark, sf):
     return G.receivers(T.cells(spark, sf)).where("recv_r is not null").select("district", "r", "c", "recv_r", "recv_c")
 
 
-@query(oracle(f", m AS (SELECT district, r, c, max(v) AS v, avg(n) AS mean, avg(n * n) - avg(n) * avg(n) AS var FROM ({pad(1)}) GROUP BY 1, 2, 3) SELECT district, r, c, round(mean + greatest(var, 0) / (greatest(var, 0) + 400e0) * (v - mean), 5) AS filtered FROM m", "cells"))
+@query(oracle(f", m AS (SELECT district, r, c, max(v) AS v, avg(n) AS mean, avg(n * n) - avg(n) * avg(n) AS var FROM ({pad(1)}) GROUP BY 1, 2, 3) SELECT district, r, c, round(mean + greatest(var, 0) / (greatest(var, 0) + 400e0) * (v - mean) + 1e-9, 5) AS filtered FROM m", "cells"))
 def lee_filter(spark, sf):
     """Speckle filter: local mean, kept detail by local variance."""
     cells = T.cells(spark, sf).withColumn("sq", F.col("v") * F.col("v"))
     df = G.box_blur(G.box_blur(cells, "v", out="mean"), "sq", out="msq").withColumn("var", F.greatest(F.col("msq") - F.col("mean") * F.col("mean"), F.lit(0.0)))
-    return df.select("district", "r", "c", F.round(F.expr("mean + var / (var + 400D) * (v - mean)"), 5).alias("filtered"))
+    return df.select("district", "r", "c", F.round(F.expr("mean + var / (var + 400D) * (v - mean) + 1e-9D"), 5).alias("filtered"))
 
 
 @query(oracle("SELECT district, r, c, round((v - min(v) OVER w) / greatest(max(v) OVER w - min(v) OVER w, 1e-9), 6) AS norm FROM cells WINDOW w AS (PARTITION BY district)", "cells"))
@@ -115,7 +115,7 @@ def stream_extract(spark, sf):
     return T.cells(spark, sf).where("v > greatest(12, floor(40 * 40 * 0.0035D))").select("district", "r", "c")
 
 
-@query(oracle(f"SELECT district, r, c, round(greatest(0, least(1, cos(radians(48e0)) * cos(atan(sqrt(gx * gx + gy * gy))) + sin(radians(48e0)) * sin(atan(sqrt(gx * gx + gy * gy))) * cos(radians(315e0 - (degrees(atan2(gy, -gx)) + 360) % 360)))), 5) AS shade FROM ({HORN})", "cells"))
+@query(oracle(f"SELECT district, r, c, round(greatest(0, least(1, cos(radians(48e0)) * cos(atan(sqrt(gx * gx + gy * gy))) + sin(radians(48e0)) * sin(atan(sqrt(gx * gx + gy * gy))) * cos(radians(315e0 - (degrees(atan2(gy, 0e0 - gx)) + 360) % 360)))), 5) AS shade FROM ({HORN})", "cells"))
 def hillshade(spark, sf):
     """Light from azimuth 315, altitude 42."""
     s = G.slope_aspect(T.cells(spark, sf))
@@ -351,7 +351,9 @@ def hyetograph(spark, sf):
 def sar_detect(spark, sf):
     """Water in a radar scene: filtered, cut at the scene's own threshold, kept
     where it darkened against the scene before and the ground is not steep."""
-    scene = T.cells(spark, sf).withColumn("before", F.expr("-8D - (v % 7) / 5")).withColumn("after", F.expr("case when v > 160 then -19D - (v % 5) / 4 else before end"))
+    cells = T.cells(spark, sf)
+    high = cells.groupBy("district").agg(F.percentile("v", 0.7).alias("percentile_cut"))  # a row a district
+    scene = cells.join(F.broadcast(high), "district").withColumn("before", F.expr("-8D - (v % 7) / 5")).withColumn("after", F.expr("case when v > percentile_cut then -19D - (v % 5) / 4 else before end"))
     seen = G.box_blur(scene, "after", out="lee")
     cut = seen.groupBy("district").agg(F.least(F.percentile("lee", 0.5), F.lit(-13.0)).alias("cut"))
     slope = G.slope_aspect(T.cells(spark, sf)).select("district", "r", "c", "slope")

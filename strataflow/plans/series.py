@@ -38,12 +38,12 @@ def runoff_hourly(spark, sf):
     return q.select("point", "h", (F.round(F.col("q") - F.coalesce(F.lag("q").over(event), F.lit(0.0)), 4) + 0.0).alias("runoff"))
 
 
-@query(oracle(", d AS (SELECT point, h // 24 AS day, sum(mm) AS mm FROM hourly GROUP BY 1, 2) SELECT a.point, a.day, round(sum(b.mm * pow(0.87e0, a.day - b.day)), 4) AS api FROM d a JOIN d b ON b.point = a.point AND b.day BETWEEN a.day - 6 AND a.day GROUP BY 1, 2", "hourly"))
+@query(oracle(", d AS (SELECT point, h // 24 AS day, sum(mm) AS mm FROM hourly GROUP BY 1, 2) SELECT a.point, a.day, round(sum(b.mm * pow(0.87e0, a.day - b.day)) + 1e-9, 5) AS api FROM d a JOIN d b ON b.point = a.point AND b.day BETWEEN a.day - 6 AND a.day GROUP BY 1, 2", "hourly"))
 def antecedent_index(spark, sf):
     """Rain of the last seven days, older days weighing 0.87 of the next."""
     d = T.hourly(spark, sf).groupBy("point", F.expr("h div 24").alias("day")).agg(F.sum("mm").alias("mm"))
     w = W.partitionBy("point").orderBy("day").rowsBetween(-6, 0)
-    return d.withColumn("last", F.collect_list("mm").over(w)).select("point", "day", F.round(F.expr("aggregate(last, 0D, (a, x) -> a * 0.87D + x)"), 4).alias("api"))
+    return d.withColumn("last", F.collect_list("mm").over(w)).select("point", "day", F.round(F.expr("aggregate(last, 0D, (a, x) -> a * 0.87D + x) + 1e-9D"), 5).alias("api"))
 
 
 @query(oracle("SELECT point, h, round(sum(mm) OVER (p ROWS BETWEEN 23 PRECEDING AND CURRENT ROW), 4) AS past24, round(sum(mm) OVER (p ROWS BETWEEN 71 PRECEDING AND CURRENT ROW), 4) AS past72, round(coalesce(sum(mm) OVER (p ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING), 0), 4) AS next24, round(coalesce(max(mm) OVER (p ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING), 0), 4) AS peak FROM hourly WINDOW p AS (PARTITION BY point ORDER BY h)", "hourly"))
