@@ -64,14 +64,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = sentencepieces.load()
     encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), vocabulary)
-    # the ids stand in for the key, so that decoding passes them through
-    decoded = sentencepieces.decode(encoded.select(F.struct("doc_id", "ids").alias("own"), "ids"), vocabulary, key="own")
-    return decoded.select(
-        "own.doc_id",
-        F.size("own.ids").alias("n_tokens"),
-        F.sha2(F.array_join("own.ids", " "), 256).alias("ids_sha256"),
-        F.sha2("text", 256).alias("decoded_sha256"),
-    )
+    # the digest of the ids stands in for the key, so that decoding passes it through
+    own = F.struct("doc_id", F.size("ids").alias("n_tokens"), F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    decoded = sentencepieces.decode(encoded.select(own.alias("own"), "ids"), vocabulary, key="own")
+    return decoded.select("own.*", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,13 +7,15 @@ piece table; the edges found are grouped by unit, and a Viterbi fold with
 Spark's ``aggregate`` picks the best path.  Tasks pack their documents into
 blocks of bounded size; the paths go to the blocks that have their units, and
 there the documents are put together.  Neither texts nor units are ever joined
-occurrence by occurrence.
+occurrence by occurrence.  The paths of a bounded number of common units, which
+nearly every block has, are broadcast instead of sent to each.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -23,12 +25,14 @@ from .common import column_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20  # of text
-PAIRS = 1 << 18  # paths a task packs at a time
+PAIRS = 1 << 17  # paths a task packs at a time
+COMMON = 1 << 17  # units whose paths are broadcast
+LOOK = 5000  # documents, on average, in which the common units are counted
 UNIT = 48  # characters of a word in one unit; a longer one is cut
 MAX_PIECES = 1_000_000
 _UNITS = re.compile(rf" ?[^\W_]{{1,{UNIT}}}| ?(?:[^\w \n]|_){{1,{UNIT}}}|\n| ")
-#: An edge is one long: stop (12 bits), start (7), cost (24), id (20).
-_STOP, _START, _COST = 51, 44, 20
+#: An edge is one long: stop (6 bits), start (6), cost (31), id (20; all ones: spelt in bytes).
+_STOP, _START, _COST, _SPELLED = 57, 51, 20, (1 << 20) - 1
 
 
 @dataclass(frozen=True)
@@ -70,9 +74,45 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(pieces), bases[0] if len(bases) == 256 else -1, model.unk_id(), max((len(p[0]) for p in pieces), default=1))
 
 
-def _blocks(docs: DataFrame, key: str, text: str, units: bool) -> DataFrame:
-    """``block, texts`` (keys and texts of a block as compressed Arrow), or
-    ``block, unit`` for its distinct units.
+def _common(docs: DataFrame, text: str, vocabulary: Vocabulary):
+    """The paths of at most ``COMMON`` units, as a broadcast of units, their ids
+    and where each one's ids start.
+
+    Which units are common is counted in a sample of about ``LOOK`` documents.
+    It decides by which way a path reaches the documents, never what the path
+    is: units that aren't found here go through the join as all others do.
+    """
+    import numpy as np
+
+    spark = docs.sparkSession
+
+    def run(batches):
+        import pyarrow as pa
+
+        found = Counter()
+        for batch in batches:
+            for value in column_bytes(batch, "_text"):
+                if value:
+                    found.update(_UNITS.findall(" " + value.decode("utf-8", "replace")))
+                if len(found) >= PAIRS:
+                    yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+                    found = Counter()
+        if found:
+            yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+
+    rows = docs.count()
+    sample = docs.select(F.col(text).alias("_text")).sample(min(1.0, LOOK / max(rows, 1)), seed=5)
+    counts = sample.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and unit <> '\n'")
+    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).cast("long").alias("block"))
+    got = best_paths(top, vocabulary).select("unit", "ids").toArrow().combine_chunks()
+    ids = got.column("ids").combine_chunks()
+    starts = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
+    return spark.sparkContext.broadcast((got.column("unit").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), starts))
+
+
+def _blocks(docs: DataFrame, key: str, text: str, common=None) -> DataFrame:
+    """``block, texts`` (keys and texts of a block as compressed Arrow), or,
+    given the common units, ``block, unit`` for its distinct other ones.
 
     A block is named by partition and place, so both readings of ``docs`` must
     give the same rows in the same order.
@@ -85,10 +125,12 @@ def _blocks(docs: DataFrame, key: str, text: str, units: bool) -> DataFrame:
 
         number = TaskContext.get().partitionId() << 32
         keys, texts, size, found = [], [], 0, set()
+        units = common is not None
+        known = frozenset(common.value[0]) | {"\n"} if units else frozenset()
 
         def done():
             if units:
-                found.discard("\n")
+                found.difference_update(known)
                 if found:
                     own = pa.array(found, pa.string())
                     yield pa.record_batch([pa.array(np.full(len(own), number, np.int64)), own], ["block", "unit"])
@@ -114,7 +156,7 @@ def _blocks(docs: DataFrame, key: str, text: str, units: bool) -> DataFrame:
         if size:
             yield from done()
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, unit string" if units else "block long, texts binary")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, texts binary" if common is None else "block long, unit string")
 
 
 def _stored(table) -> bytes:
@@ -131,33 +173,33 @@ def _viterbi(v: Vocabulary) -> str:
     good ones that with the longest last piece, and so on.
 
     One fold over the edges in order of their stop.  Its state: where it is,
-    the best cost and path to each place before, and the best edge to this one.
-    Each character has an edge of its own, too, that costs more than any pieces
-    and stands for its bytes.
+    the best cost and path to each place before, and the best cost and edge to
+    this one.
     """
-    spelling = (1 << 20) - 1
-    worst = max((c for _, _, c in v.pieces), default=0)
-    stop, start = f"cast(shiftright(e, {_STOP}) as int)", f"cast(shiftright(e, {_START}) & 127 as int)"
-    cost = f"if(e & {spelling}L = {spelling}L, {100 * worst + 1}L, shiftright(e, {_COST}) & {(1 << 24) - 1}L)"
-    spell = f"transform(sequence(1, length(unit)), p -> shiftleft(cast(p as long), {_STOP}) | shiftleft(cast(p - 1 as long), {_START}) | {spelling}L | shiftleft({(1 << 24) - 1}L, {_COST}))"
-    char = "hex(encode(substr(unit, a.best.start + 1, 1), 'utf-8'))"
+    stop, start, cost = f"cast(shiftright(e, {_STOP}) as int)", f"cast(shiftright(e, {_START}) & 63 as int)", f"(shiftright(e, {_COST}) & {(1 << 31) - 1}L)"
+    of = f"cast(shiftright(a.e, {_START}) & 63 as int)"
+    char = f"hex(encode(substr(unit, {of} + 1, 1), 'utf-8'))"
     if v.byte_base >= 0:
         spelled = f"transform(sequence(0, length({char}) div 2 - 1), i -> {v.byte_base} + cast(conv(substr({char}, 2 * i + 1, 2), 16, 10) as int))"
     else:
         spelled = f"array({v.unknown})"
-    ids = f"if(a.best.e & {spelling}L = {spelling}L, {spelled}, array(cast(a.best.e & {spelling}L as int)))"
-    path = f"if(a.best.e < 0, cast(array() as array<int>), concat(a.done[a.best.start].path, {ids}))"
-    first = "named_struct('at', 0, 'done', cast(array() as array<struct<cost:bigint,path:array<int>>>), 'best', named_struct('cost', 0L, 'start', 0, 'e', -1L))"
-    here = f"""named_struct('at', a.at, 'done', a.done, 'best',
-        if(a.done[{start}].cost + {cost} < a.best.cost, named_struct('cost', a.done[{start}].cost + {cost}, 'start', {start}, 'e', e), a.best))"""
-    on = f"""element_at(transform(array(concat(a.done, array(named_struct('cost', a.best.cost, 'path', {path})))), d ->
-        named_struct('at', a.at + 1, 'done', d, 'best', named_struct('cost', d[{start}].cost + {cost}, 'start', {start}, 'e', e))), 1)"""
-    return f"aggregate(sort_array(concat(edges, {spell})), {first}, (a, e) -> if({stop} = a.at, {here}, {on}), a -> {path})"
+    ids = f"if(a.e & {_SPELLED}L = {_SPELLED}L, {spelled}, array(cast(a.e & {_SPELLED}L as int)))"
+    path = f"if(a.e < 0, cast(array() as array<int>), concat(a.done[{of}].path, {ids}))"
+    first = "named_struct('at', 0, 'done', cast(array() as array<struct<cost:bigint,path:array<int>>>), 'cost', 0L, 'e', -1L)"
+    here = f"if(a.done[{start}].cost + {cost} < a.cost, named_struct('at', a.at, 'done', a.done, 'cost', a.done[{start}].cost + {cost}, 'e', e), a)"
+    on = f"""named_struct('at', a.at + 1, 'done', concat(a.done, array(named_struct('cost', a.cost, 'path', {path}))),
+        'cost', if({start} = a.at, a.cost, a.done[{start}].cost) + {cost}, 'e', e)"""
+    return f"aggregate(sort_array(edges), {first}, (a, e) -> if({stop} = a.at, {here}, {on}), a -> {path})"
 
 
 def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``unit, blocks, ids`` of every distinct ``unit`` of ``units``, with the
-    blocks that have it (at most one entry for each block there is)."""
+    blocks that have it (at most one entry for each block there is).
+
+    A character without a piece has an edge of its own that costs more than any
+    path of pieces and stands for its bytes.
+    """
+    spell = 100 * max((c for _, _, c in vocabulary.pieces), default=0) + 1
     # bounded: MAX_PIECES
     pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
     distinct = units.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
@@ -170,8 +212,12 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     edges = (
         stops.withColumn("piece", F.when(F.col("start") >= 0, F.substring("unit", F.col("start") + 1, F.col("stop") - F.col("start"))))
         .join(pieces, "piece", "left")
-        .where("id is not null or start < 0")
-        .select("unit", "blocks", F.expr(f"shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(cost, {_COST}) | id").alias("edge"))
+        .where("id is not null or start < 0 or stop = start + 1")
+        .select(
+            "unit",
+            "blocks",
+            F.expr(f"if(start < 0, null, shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(coalesce(cost, {spell}L), {_COST}) | coalesce(id, {_SPELLED}L))").alias("edge"),
+        )
     )
     grouped = edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list("edge").alias("edges"))
     return grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
@@ -216,19 +262,23 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     empty text has no ids; repeated rows each come back; an empty table gives an
     empty result.
 
-    ``docs`` is read twice and must give the same rows in the same order, as a
+    ``docs`` is read three times (once a sample of it) and must give the same rows in the same order, as a
     table in files does; what comes out of a shuffle should be written first.
     If it doesn't, the job fails rather than giving other ids.
     """
     kind = docs.schema[key].dataType.simpleString()
     line = [vocabulary.byte_base + 10] if vocabulary.byte_base >= 0 else [vocabulary.unknown]
-    paths = _packed_paths(best_paths(_blocks(docs, key, text, units=True), vocabulary))
+    common = _common(docs, text, vocabulary)
+    paths = _packed_paths(best_paths(_blocks(docs, key, text, common), vocabulary))
 
     def run(texts, paths):
         import numpy as np
         import pyarrow as pa
 
-        known, ids, starts = {"\n": 0}, [np.array(line, np.int32)], [0, len(line)]
+        shared, shared_ids, shared_starts = common.value
+        known, ids = {u: i for i, u in enumerate(shared)}, [shared_ids, np.array(line, np.int32)]
+        known["\n"] = len(shared)
+        starts = [*shared_starts.tolist(), len(shared_ids) + len(line)]
         for payload in paths.column("paths"):
             table = pa.ipc.open_stream(payload.as_py()).read_all().combine_chunks()
             own = table.column("ids").combine_chunks()
@@ -253,7 +303,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
             return pa.table({"_key": stored.column("key").combine_chunks(), "ids": lists})
         raise RuntimeError("docs gave other rows on its second reading; write it to files first")
 
-    together = _blocks(docs, key, text, units=False).groupBy("block").cogroup(paths.groupBy("block"))
+    together = _blocks(docs, key, text).groupBy("block").cogroup(paths.groupBy("block"))
     return together.applyInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
 
 
