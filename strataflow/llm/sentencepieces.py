@@ -323,11 +323,14 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", i
         import pyarrow as pa
 
         for batch in batches:
-            out = []
-            for own in batch.column(1):
-                text = b"".join([table.get(i, "⁇".encode()) for i in own.as_py() or ()]).decode("utf-8", "replace")
+            out, size, start = [], 0, 0
+            for i, own in enumerate(batch.column(1)):
+                text = b"".join([table.get(x, "⁇".encode()) for x in own.as_py() or ()]).decode("utf-8", "replace")
                 out.append(text[1:] if text[:1] == " " else text)
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["_key", "text"])
+                size += len(text)
+                if size >= BLOCK_BYTES or i + 1 == batch.num_rows:
+                    yield pa.record_batch([batch.column(0).slice(start, i + 1 - start), pa.array(out, pa.string())], ["_key", "text"])
+                    out, size, start = [], 0, i + 1
 
     rows = encoded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
     return rows.mapInArrow(run, f"_key {kind}, text string").withColumnRenamed("_key", key)
