@@ -19,23 +19,27 @@ SEED = 42
 MAX_DISTANCE = 2
 
 
-def fingerprint_of(text: bytes | None, width: int) -> int:
-    """The unsigned SimHash of one text (see :func:`fingerprints`)."""
+def shingle_hashes(words: list[bytes], width: int):
+    """The XXH64 values (seed 42) of all shingles, in order; none without a word."""
     import numpy as np
     import xxhash
 
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return digest(joined, SEED)
+        return np.array([digest(joined, SEED)] if words else [], "<u8")
     ends = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(ends + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[: len(words) - width + 1].tolist()
     ends = ends[width - 1 :].tolist()
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), "<u8", len(starts))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends)), "<u8", len(starts))
+
+
+def fingerprint_of(text: bytes | None, width: int) -> int:
+    """The unsigned SimHash of one text (see :func:`fingerprints`)."""
+    import numpy as np
+
+    hashes = shingle_hashes((text or b"").lower().split(), width)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -122,6 +126,20 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
 
 
+def _labels(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """``fingerprint, component_id``: the least key ``_least`` of each node's component over the edges ``found``."""
+    member = components(found).withColumnRenamed("node", "fingerprint")
+    named = nodes.join(member, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
+    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
+    return named.join(least, "component").select("fingerprint", "component_id")
+
+
+def labelled(marks: DataFrame, found: DataFrame) -> DataFrame:
+    """``_key, fingerprint, component_id`` of every row of ``marks``."""
+    nodes = cut(marks.groupBy("fingerprint").agg(F.min("_key").alias("_least")))
+    return marks.join(_labels(nodes, found), "fingerprint").select("_key", "fingerprint", "component_id")
+
+
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3, distance: int = MAX_DISTANCE) -> DataFrame:
     """``key, fingerprint, component_id, n_links`` for every document.
 
@@ -135,14 +153,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     nodes = cut(marks.groupBy("fingerprint").agg(F.min("_key").alias("_least")))
     found = cut(links(nodes.select("fingerprint"), distance=distance))
     degree = found.select(F.explode(F.array("a", "b")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("n_links"))
-    member = components(found).withColumnRenamed("node", "fingerprint")
-    named = nodes.join(member, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    least = named.groupBy("component").agg(F.min("_least").alias("component_id"))
-    labels = (
-        named.join(least, "component")
-        .join(degree, "fingerprint", "left")
-        .select("fingerprint", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    labels = _labels(nodes, found).join(degree, "fingerprint", "left").select("fingerprint", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
     return marks.join(labels, "fingerprint").select(F.col("_key").alias(key), "fingerprint", "component_id", "n_links")
 
 
@@ -150,7 +161,11 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> Dat
     """``docs`` with one document of each near-duplicate group: the one whose
     key is the group's smallest (one row of that key, if it is repeated).
     Rows without a key cannot be named by it and all stay."""
-    found = near_duplicates(docs, key=key, text=text)
+    return keep_first(docs, near_duplicates(docs, key=key, text=text), key)
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """``docs`` with the rows whose key is their ``component_id`` in ``found``, and those without a key."""
     first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_kept")).agg(F.count("*").alias("_n"))
     first = cut(first)
     kept = docs.join(first.select("_kept"), F.col(key) == F.col("_kept"), "left_semi")

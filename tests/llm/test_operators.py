@@ -18,6 +18,7 @@ from strataflow.llm import (
     pii_surrogates,
     sentencepieces,
     sharding,
+    shingle_dedup,
     simhash_dedup,
     substring_dedup,
     toxicity,
@@ -289,6 +290,55 @@ def test_simhash_links_are_complete(spark):
     assert got == {(a, b) for i, a in enumerate(own) for b in own[i + 1 :] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2}
 
 
+def test_pipeline_keeps_one_of_near_copies(spark, awkward):
+    """The stage against all pairs: edits of 1 to 12 words, a chain, a common passage, repeated rows."""
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    texts = [words(30, 400 + i, 30) + " " + words(40, 77) for i in range(12)]
+    for i in range(40):
+        base = words(int(r.integers(6, 300)), 500 + i, 5000).split()
+        texts.append(" ".join(base))
+        for n in (1, 3, 12):
+            t = list(base)
+            for at in r.integers(0, len(t), n):
+                t[at] = f"x{at}"
+            texts.append(" ".join(t))
+    chain = words(200, 900, 5000).split()
+    texts += [" ".join(chain[3 * i :] + [f"y{j}" for j in range(3 * i)]) for i in range(20)]
+    df, _ = awkward
+    both = df.union(docs(spark, texts, [int(x) for x in 1000 + r.permutation(len(texts))]))
+
+    def shingles(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+    rows = [(x["doc_id"], shingles(x["text"])) for x in both.collect()]
+    own = sorted({s for _, s in rows}, key=len)
+    parent = list(range(len(own)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(own):
+        for j in range(i):
+            if own[j] and 5 * len(a & own[j]) >= 4 * len(a | own[j]):
+                parent[root(i)] = root(j)
+    at = {s: i for i, s in enumerate(own)}
+    least: dict = {}
+    for k, s in rows:
+        if k is not None:
+            g = root(at[s])
+            least[g] = min(k, least.get(g, k))
+    assert len(least) < len(own) - 60  # there are near copies
+    got = [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, both, "").collect()]
+    assert sorted(k for k in got if k is not None) == sorted(least.values())
+    assert got.count(None) == sum(k is None for k, _ in rows)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs(spark, []), "").isEmpty()
+
+
 # ---- 7
 
 
