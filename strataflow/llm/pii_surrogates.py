@@ -32,8 +32,8 @@ _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?
 _SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 _CARD = r"(?<![\d.])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19})(?!\d)"
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z]{0,4}\d{10,26}(?![\p{L}\p{N}])"
-_SECRET = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,255}\d)(?=[\d_+/-]{0,255}[A-Za-z])[A-Za-z0-9_+/-]{20,256}={0,2}(?![A-Za-z0-9_+/-])"
-_NAMED = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[\"']?\s?[:=]\s?[\"'])[^\s\"']{6,256}(?=[\"'])"
+_SECRET = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+\d)(?=[\d_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/-])"
+_NAMED = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[\"']?\s?[:=]\s?[\"'])[^\s\"']{6,}+(?=[\"'])"
 _PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
 ENTITY = "|".join((_EMAIL, _PERSON, _IP, _PHONE, _SSN, _IBAN, _NAMED, _CARD, _SECRET))
 #: A quick look: texts without any of this hold no entity.
@@ -51,7 +51,8 @@ def _rlike(value: str, pattern: str) -> str:
 
 def _kind(m: str) -> str:
     """SQL: the type of a match that is no person."""
-    return f"""case when {_rlike(m, "@[^@]+[.]")} then 'email'
+    # no address is longer than 600 characters
+    return f"""case when length({m}) <= 600 and {_rlike(m, "@[^@]+[.]")} then 'email'
         when {_rlike(m, rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")} then 'ip'
         when {_rlike(m, r"^\d{3}-\d{2}-\d{4}$")} then 'ssn'
         when {_rlike(m, r"^[+(][\d (]|^\d{3}[-.]\d{3}[-.]\d{4}$")} then 'phone'
@@ -102,14 +103,17 @@ def _digits(h: str) -> str:
 def _masked(s: str, h: str) -> str:
     """SQL: ``s`` with each letter and digit replaced by one of its kind."""
     at = "pmod(i, 64) + 1"
-    letters, hexes = f"translate({h}, '0123456789abcdef', 'bcdfghjkmnprstvz')", f"translate({h}, '0123456789', 'abcdefbdfa')"
-    return f"""array_join(transform(split({s}, ''), (c, i) ->
-        case when c between '0' and '9' then substr({_digits(h)}, {at}, 1)
-             when {_rlike(s, "^[0-9a-f]+$")} then substr({hexes}, {at}, 1)
-             when {_rlike(s, "^[0-9A-F]+$")} then upper(substr({hexes}, {at}, 1))
-             when {_rlike("c", r"^\p{Lu}$")} then upper(substr({letters}, {at}, 1))
-             when {_rlike("c", r"^\p{L}$")} then substr({letters}, {at}, 1)
-             else c end), '')"""
+    letters, hexes = "translate(b.h, '0123456789abcdef', 'bcdfghjkmnprstvz')", "translate(b.h, '0123456789', 'abcdefbdfa')"
+    # let-bindings, as in _replaced: the hash and the looks at the whole of a long secret are made once, not for each character
+    whole = f"named_struct('s', b.s, 'd', {_digits('b.h')}, 'l', {letters}, 'x', {hexes}, 'low', {_rlike('b.s', '^[0-9a-f]+$')}, 'up', {_rlike('b.s', '^[0-9A-F]+$')})"
+    each = f"""transform(split(b.s, ''), (c, i) ->
+        case when c between '0' and '9' then substr(b.d, {at}, 1)
+             when b.low then substr(b.x, {at}, 1)
+             when b.up then upper(substr(b.x, {at}, 1))
+             when {_rlike("c", r"^\p{Lu}$")} then upper(substr(b.l, {at}, 1))
+             when {_rlike("c", r"^\p{L}$")} then substr(b.l, {at}, 1)
+             else c end)"""
+    return f"element_at(transform(transform(array(named_struct('s', {s}, 'h', {h})), b -> {whole}), b -> array_join({each}, '')), 1)"
 
 
 def _luhn(digits: str) -> str:
@@ -217,7 +221,8 @@ def replace(docs: DataFrame, *, secret: str = "strataflow", text: str = "text",
     script and the gender of their title.  Mail goes to domains under
     example.net.  All columns of ``docs`` are kept.  A null text stays null and
     holds no entity; texts without entities stay as they are; repeated rows
-    each come back alike; an empty table gives an empty result.
+    each come back alike; an empty table gives an empty result.  A secret of any
+    length is one entity.
     """
     body = docs.withColumn("_m", _matches(text))
     found = body.select(F.explode("_m").alias("m")).select(F.explode(F.expr(_entities("m"))).alias("e")).select("e.kind", "e.canonical").distinct()

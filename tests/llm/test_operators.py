@@ -401,6 +401,18 @@ def test_surrogates(spark):
     assert pii_surrogates.replace(docs(spark, [])).isEmpty()
 
 
+def test_secrets_of_any_length(spark):
+    r = np.random.default_rng(4)
+    runs = ["".join(r.choice(list("abcdefghijkXYZ0123456789_-"), n)) for n in (20, 256, 257, 342, 5000, 100_000)]
+    named = "!ab" * 100
+    texts = [f"Bearer {x}, end." for x in runs] + [f'password = "{named}" end.', "z" * 300 + " 1"]
+    got = [r["text"] for r in pii_surrogates.replace(docs(spark, texts)).orderBy("doc_id").collect()]
+    for x, t in zip(runs, got):
+        assert x not in t and re.fullmatch(r"Bearer [A-Za-z0-9_-]{%d}, end\." % len(x), t)
+    assert named not in got[-2] and len(got[-2]) == len(texts[-2])
+    assert got[-1] == texts[-1]
+
+
 def test_surrogates_stay_distinct(spark):
     # so many three-digit numbers that keyed digits must collide
     rows = spark.range(100, 420).selectExpr("'ssn' as kind", "cast(id as string) as canonical")
