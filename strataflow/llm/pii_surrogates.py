@@ -18,6 +18,8 @@ from .common import cut
 
 #: So many exceptions are put into the plan as a map; more are joined.
 MAP_LIMIT = 1000
+#: So many attempts keep the size of a number; later ones add digits to it.
+SAME_SIZE = 8
 
 # Titles by gender.
 MALE = ("Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Sir", "Господин", "Κύριος")
@@ -100,20 +102,23 @@ def _digits(h: str) -> str:
     return f"translate(sha2({h}, 256), 'abcdef', '258147')"
 
 
-def _masked(s: str, h: str) -> str:
-    """SQL: ``s`` with each letter and digit replaced by one of its kind."""
+def _masked(s: str, h: str, attempt: str = "0") -> str:
+    """SQL: ``s`` with each letter and digit replaced by one of its kind, or all
+    of it by letters if it has neither; two letters longer with each attempt."""
     at = "pmod(i, 64) + 1"
     letters, hexes = "translate(b.h, '0123456789abcdef', 'bcdfghjkmnprstvz')", "translate(b.h, '0123456789', 'abcdefbdfa')"
     # let-bindings, as in _replaced: the hash and the looks at the whole of a long secret are made once, not for each character
-    whole = f"named_struct('s', b.s, 'd', {_digits('b.h')}, 'l', {letters}, 'x', {hexes}, 'low', {_rlike('b.s', '^[0-9a-f]+$')}, 'up', {_rlike('b.s', '^[0-9A-F]+$')})"
+    whole = f"named_struct('s', b.s, 'd', {_digits('b.h')}, 'l', {letters}, 'x', {hexes}, 'low', {_rlike('b.s', '^[0-9a-f]+$')}, 'up', {_rlike('b.s', '^[0-9A-F]+$')}, 'bare', not {_rlike('b.s', r"[\p{L}\p{N}]")})"
     each = f"""transform(split(b.s, ''), (c, i) ->
         case when c between '0' and '9' then substr(b.d, {at}, 1)
              when b.low then substr(b.x, {at}, 1)
              when b.up then upper(substr(b.x, {at}, 1))
              when {_rlike("c", r"^\p{Lu}$")} then upper(substr(b.l, {at}, 1))
-             when {_rlike("c", r"^\p{L}$")} then substr(b.l, {at}, 1)
+             when {_rlike("c", r"^\p{L}$")} or b.bare then substr(b.l, {at}, 1)
+             when {_rlike("c", r"^\p{N}$")} then substr(b.d, {at}, 1)
              else c end)"""
-    return f"element_at(transform(transform(array(named_struct('s', {s}, 'h', {h})), b -> {whole}), b -> array_join({each}, '')), 1)"
+    more = "" if attempt == "0" else f", right(case when b.low then b.x when b.up then upper(b.x) else b.l end, 2 * cast({attempt} as int))"
+    return f"element_at(transform(transform(array(named_struct('s', {s}, 'h', {h})), b -> {whole}), b -> concat(array_join({each}, ''){more})), 1)"
 
 
 def _luhn(digits: str) -> str:
@@ -144,29 +149,39 @@ def _name(kind: str, canonical: str, h: str, attempt: str) -> str:
 
 
 def _fake(key: str, kind: str, canonical: str, attempt: str = "0") -> str:
-    """SQL: the canonical form of the surrogate."""
+    """SQL: the canonical form of the surrogate.  Later attempts have more forms
+    to choose from: addresses, secrets and names grow from the first one on,
+    numbers by a digit with each attempt after ``SAME_SIZE``."""
     h = _hash(key, kind, canonical, attempt)
     domain = f"substring_index({canonical}, '@', -1)"
     octets = ", '.', ".join(f"cast(1 + conv(substr({h}, {2 * i + 1}, 2), 16, 10) % 254 as string)" for i in range(4))
-    return f"""case when {kind} = 'email' then concat({_masked(f"substring_index({canonical}, '@', 1)", h)}, '@mail', substr({_digits(_hash(key, "'domain'", domain, "'0'"))}, 1, 4), '.example.net')
-        when {kind} = 'ip' then concat({octets})
-        when {kind} in ('phone', 'ssn') then substr({_digits(h)}, 1, length({canonical}))
-        when {kind} = 'card' then {_card(canonical, h)}
-        when {kind} = 'iban' then concat(substr({canonical}, 1, 2), {_masked(f"substr({canonical}, 3)", h)})
+
+    def longer(number: str, mark: str = "") -> str:
+        if attempt == "0":
+            return number
+        return f"concat({number}, if({attempt} > {SAME_SIZE}, concat('{mark}', right({_digits(h)}, cast({attempt} as int) - {SAME_SIZE})), ''))"
+
+    return f"""case when {kind} = 'email' then concat({_masked(f"substring_index({canonical}, '@', 1)", h, attempt)}, '@mail', substr({_digits(_hash(key, "'domain'", domain, "'0'"))}, 1, 4), '.example.net')
+        when {kind} = 'ip' then {longer(f"concat({octets})", ".")}
+        when {kind} in ('phone', 'ssn') then {longer(f"substr({_digits(h)}, 1, length({canonical}))")}
+        when {kind} = 'card' then {longer(_card(canonical, h))}
+        when {kind} = 'iban' then {longer(f"concat(substr({canonical}, 1, 2), {_masked(f'substr({canonical}, 3)', h)})")}
         when {kind} in ('female', 'male', 'given', 'surname') then lower({_name(kind, canonical, h, f"cast({attempt} as int)")})
-        else {_masked(canonical, h)} end"""
+        else {_masked(canonical, h, attempt)} end"""
 
 
 def _fitted(kind: str, m: str, fake: str) -> str:
     """SQL: the surrogate in the format of the occurrence ``m``."""
-    # numbers: the last digits are the surrogate's, what stands before or between them stays
+    # numbers: the last digits are the surrogate's, what stands before or between them stays;
+    # digits of a surrogate that had to grow come after all
     n = f"length(regexp_replace({m}, '[^0-9]', ''))"
-    filled = f"""aggregate(split({m}, ''), named_struct('out', '', 'k', 1 + length({fake}) - {n}),
+    own = f"if({kind} = 'phone', least(10, {n}), {n})"
+    filled = f"""aggregate(split({m}, ''), named_struct('out', '', 'k', 1 + {own} - {n}),
         (a, c) -> case when c between '0' and '9' then named_struct('out', concat(a.out, if(a.k > 0, substr({fake}, a.k, 1), c)), 'k', a.k + 1)
-                  else named_struct('out', concat(a.out, c), 'k', a.k) end, a -> a.out)"""
+                  else named_struct('out', concat(a.out, c), 'k', a.k) end, a -> concat(a.out, substr({fake}, 1 + {own})))"""
     spaced = f"""aggregate(split({m}, ''), named_struct('out', '', 'k', 1),
         (a, c) -> case when c = ' ' then named_struct('out', concat(a.out, ' '), 'k', a.k)
-                  else named_struct('out', concat(a.out, substr({fake}, a.k, 1)), 'k', a.k + 1) end, a -> a.out)"""
+                  else named_struct('out', concat(a.out, substr({fake}, a.k, 1)), 'k', a.k + 1) end, a -> concat(a.out, substr({fake}, a.k)))"""
     cased = f"""array_join(transform(split({fake}, ''), (c, i) -> if({_rlike(f"substr({m}, i + 1, 1)", r"^\p{Lu}$")}, upper(c), c)), '')"""
     return f"""case when {kind} in ('phone', 'card', 'ssn') then {filled} when {kind} = 'iban' then {spaced}
         when {kind} = 'email' then concat(substring_index({cased}, '@', 1), '@', substring_index({fake}, '@', -1)) else {fake} end"""
@@ -193,7 +208,11 @@ def _matches(text: str) -> Column:
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """``kind, canonical, fake, attempt`` of distinct ``kind, canonical``: all
-    ``fake`` of a kind differ, and none is a canonical form of that kind."""
+    ``fake`` of a kind differ, and none is a canonical form of that kind.
+
+    Ends for any entities: each attempt has some ten times the surrogates of the
+    one before it, from the first on or after ``SAME_SIZE``.
+    """
     entities = cut(entities)
     settled = cut(entities.withColumn("attempt", F.lit(0)).withColumn("fake", F.expr(_fake(key, "kind", "canonical", "attempt"))))
     attempt = 0
@@ -205,8 +224,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if again.isEmpty():
             return settled
         attempt += 1
-        if attempt > 20:
-            raise RuntimeError("surrogates still collide: too few of this format exist")
         anew = again.withColumn("attempt", F.lit(attempt)).withColumn("fake", F.expr(_fake(key, "kind", "canonical", "attempt")))
         settled = cut(settled.join(again, ["kind", "canonical"], "left_anti").unionByName(anew))
 

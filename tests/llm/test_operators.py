@@ -422,6 +422,29 @@ def test_surrogates_stay_distinct(spark):
     assert not set(fakes) & {r["canonical"] for r in got}
 
 
+def test_surrogates_of_crowded_formats(spark):
+    """More entities than their formats have surrogates."""
+    hot = [f"{c}@one.example.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    secrets = ["******", "------", "!?!?!?", *(f"{c}*****" for c in "abcdefghijklmnopqrstuvwxyz")]
+    phones = [f"+{i} 2{i} 34" for i in range(1, 10)]
+    texts = [f"Mail {x} now." for x in hot] + [f'password = "{x}" end' for x in secrets] + [f"Call {x}, please" for x in phones]
+    got = [r["text"] for r in pii_surrogates.replace(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert len(set(got)) == len(texts) and not set(got) & set(texts)
+    assert all(re.fullmatch(r"Mail [a-z]+@mail\d{4}\.example\.net now\.", t) for t in got[:26])
+    assert not any(x in t for x in secrets[:3] for t in got)
+    assert all(re.fullmatch(r"Call \+\d \d\d \d\d, please", t) for t in got[-9:])
+
+
+def test_numbers_grow_when_all_are_taken(spark):
+    rows = spark.range(10).selectExpr("'ssn' as kind", "cast(id as string) as canonical")
+    got = pii_surrogates.surrogates(rows, "k").collect()
+    assert len({r["fake"] for r in got}) == 10 and all(len(r["fake"]) > 1 for r in got)
+    fit = lambda kind, m, fake: spark.sql("select " + pii_surrogates._fitted(f"'{kind}'", f"'{m}'", f"'{fake}'")).first()[0]
+    assert fit("phone", "+49 (123) 456 7890", "0987654321") == "+49 (098) 765 4321"
+    assert fit("phone", "+49 (123) 456 7890", "098765432177") == "+49 (098) 765 432177"
+    assert fit("iban", "DE89 3704 0", "DE12345678") == "DE12 3456 78"
+
+
 @pytest.mark.parametrize("limit", [1000, 0])
 def test_exceptions_are_used(spark, monkeypatch, limit):
     """Names have few first surrogates here, so some are keyed anew; both ways
