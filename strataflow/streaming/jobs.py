@@ -13,9 +13,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.networks import cut
+from ..operators.networks import shared_dir
 
 SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+PARTS = 1 << 16  # sums of a type and day that a task holds
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,34 +44,77 @@ def once(stream: DataFrame, late: str = "1 hour") -> DataFrame:
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
+def daily_sums(stream: DataFrame) -> DataFrame:
+    """``event_type, day, api, last, seen``: each task's values of a type and
+    day, decayed to the day's end, with the last time and the number of rows."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        def done(parts):
+            return pd.concat(parts).groupby(["event_type", "day"], dropna=False, as_index=False).agg(api=("api", lambda x: x.sum(skipna=False)), last=("last", "max"), seen=("seen", "sum"))
+
+        kept = None
+        for rows in batches:
+            at = (rows["ts"] - pd.Timestamp(0)) / pd.Timedelta(days=1)
+            day = at // 1
+            part = pd.DataFrame({"event_type": rows["event_type"], "day": day, "api": rows["value"] * 0.87 ** (day + 1 - at), "last": at, "seen": 1})
+            kept = done([part] if kept is None else [kept, part])
+            if len(kept) >= PARTS:
+                yield kept
+                kept = None
+        if kept is not None:
+            yield kept
+
+    return stream.select("event_type", "ts", "value").mapInPandas(run, "event_type string, day double, api double, last double, seen long")
+
+
 def wetness_index(stream: DataFrame) -> DataFrame:
-    """``event_type, api, seen``: the decayed sum of values, kept as state and
-    updated with each batch (0.87 a day)."""
+    """``event_type, api, seen``: the decayed sum of values up to the type's last
+    event, kept as state and updated with each batch (0.87 a day).
+
+    Tasks hand on sums of a day, so the state function gets a row a day and
+    task, however many events there are; late events decay like others.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def update(key, batches: Iterator, state: GroupState):
         import pandas as pd
 
         api, last, seen = state.get if state.exists else (0.0, 0.0, 0)
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        days = rows["ts"].astype("int64") / 8.64e13
-        for day, value in zip(days, rows["value"]):
-            api = api * 0.87 ** max(day - last, 0.0) + value if seen else value
-            last, seen = max(last, day), seen + 1
+        for rows in batches:
+            now = float(rows["last"].max())
+            now = max(last, now) if seen else now
+            api = (api * 0.87 ** (now - last) if seen else 0.0) + float((rows["api"] * 0.87 ** (now - rows["day"] - 1)).sum(skipna=False))
+            last, seen = now, seen + int(rows["seen"].sum())
         state.update((float(api), float(last), int(seen)))
         yield pd.DataFrame({"event_type": [key[0]], "api": [api], "seen": [seen]})
 
-    return stream.groupBy("event_type").applyInPandasWithState(update, "event_type string, api double, seen long", "api double, last double, seen long", "update", GroupStateTimeout.NoTimeout)
+    sums = daily_sums(stream)
+    return sums.groupBy("event_type").applyInPandasWithState(update, "event_type string, api double, seen long", "api double, last double, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a plan over all files there are and gives what it put out."""
-    name = f"drained_{uuid.uuid4().hex}"
-    job = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Runs a plan over all files there are and gives what it put out.
+
+    Executors write each batch as Parquet in the shared checkpoint folder, where
+    the job's progress is too; no row goes through the driver.
+    """
+    spark = stream.sparkSession
+    path = f"{shared_dir(spark)}/drained-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        last[:] = [number]
+
+    job = stream.writeStream.foreachBatch(write).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}-progress").start()
     job.awaitTermination()
-    out = cut(stream.sparkSession.table(name))
-    stream.sparkSession.catalog.dropTempView(name)
-    return out
+    if not last:
+        return spark.createDataFrame([], stream.schema)
+    if mode == "complete":  # each batch is the whole result so far
+        return spark.read.schema(stream.schema).parquet(f"{path}/batch={last[0]}")
+    return spark.read.option("basePath", path).parquet(path).select(*[F.col(f"`{c}`") for c in stream.columns])
 
 
 def upsert_board(stream: DataFrame, path: str, key: str = "event_type"):
