@@ -1,14 +1,16 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
 Texts are cut into units: a run of letters and digits or of other characters,
-with the space before it, or a line feed.  Every distinct unit of the corpus
+with the spaces before it, or a line feed.  No piece crosses a unit's border, so
+the units' best paths are the text's.  Every distinct unit of the corpus
 is exploded into substrings of bounded length, which are equi-joined to the
 piece table; the edges found are grouped by unit, and a Viterbi fold with
 Spark's ``aggregate`` picks the best path.  Tasks pack their documents into
 blocks of bounded size; the paths go to the blocks that have their units, and
 there the documents are put together.  Neither texts nor units are ever joined
 occurrence by occurrence.  The paths of a bounded number of common units, which
-nearly every block has, are broadcast instead of sent to each.
+nearly every block has, are broadcast instead of sent to each.  The few units
+that are too long for a packed edge have a Viterbi of their own, linear in length.
 """
 
 from __future__ import annotations
@@ -28,9 +30,10 @@ BLOCK_BYTES = 4 << 20  # of text
 PAIRS = 1 << 17  # paths a task packs at a time
 COMMON = 1 << 17  # units whose paths are broadcast
 LOOK = 5000  # documents, on average, in which the common units are counted
-UNIT = 48  # characters of a word in one unit; a longer one is cut
+UNIT = 48  # characters of a unit whose edges are packed
 MAX_PIECES = 1_000_000
-_UNITS = re.compile(rf" ?[^\W_]{{1,{UNIT}}}| ?(?:[^\w \n]|_){{1,{UNIT}}}|\n| ")
+#: One piece of the model, a superscript two and a full stop, is of both kinds of characters; its runs stay together.
+_UNITS = re.compile(r" *+[^\W_]++(?:(?<=²)(?=\.)(?:[^\w \n]|_)++)?| *+(?:[^\w \n]|_)++|\n| ++")
 #: An edge is one long: stop (6 bits), start (6), cost (31), id (20; all ones: spelt in bytes).
 _STOP, _START, _COST, _SPELLED = 57, 51, 20, (1 << 20) - 1
 
@@ -53,6 +56,8 @@ def load(path: str = MODEL) -> Vocabulary:
     A unigram model's scores are log-probabilities and are taken as they are.
     A BPE model's are ranks; by Zipf's law a piece of rank r has a
     log-probability of about -ln(r + 2), and that is taken.
+    Pieces of spaces only, which the model ranks after all others (at 1e9), are
+    taken by the same law.
     """
     import sentencepiece
 
@@ -66,9 +71,9 @@ def load(path: str = MODEL) -> Vocabulary:
     pieces = []
     for i in plain:
         text = model.id_to_piece(i)
-        if scores[i] > -1e8 and text and not re.search(r" |\n", text):
+        if text and not re.search(r" |\n", text):
             pieces.append((text.replace("▁", " "), i, min(round(1e5 * (math.log(2 - scores[i]) if ranks else max(-scores[i], 0.0))), (1 << 24) - 1)))
-    # pieces that no unit can hold are left out: spaces stand first in a unit only
+    # pieces that no unit can hold are left out (the model given has none)
     pieces = [p for p in pieces if _UNITS.fullmatch(p[0])]
     bases = [i for i in range(n) if model.is_byte(i)]
     return Vocabulary(tuple(pieces), bases[0] if len(bases) == 256 else -1, model.unk_id(), max((len(p[0]) for p in pieces), default=1))
@@ -192,6 +197,44 @@ def _viterbi(v: Vocabulary) -> str:
     return f"aggregate(sort_array(edges), {first}, (a, e) -> if({stop} = a.at, {here}, {on}), a -> {path})"
 
 
+def _long_paths(distinct: DataFrame, vocabulary: Vocabulary, spell: int) -> DataFrame:
+    """As :func:`best_paths`, with the same choices, for units of any length."""
+    pieces = distinct.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        import pyarrow as pa
+
+        v = pieces.value
+        table = {piece: (i, cost) for piece, i, cost in v.pieces}
+        for batch in batches:
+            ids = []
+            for unit in batch.column(1).to_pylist():
+                best, back = [0], [0]
+                for stop in range(1, len(unit) + 1):
+                    least, at = None, stop - 1
+                    for start in range(max(0, stop - v.longest), stop):
+                        got = table.get(unit[start:stop])
+                        if got is None and start + 1 < stop:
+                            continue
+                        cost = best[start] + (spell if got is None else got[1])
+                        if least is None or cost < least:
+                            least, at = cost, start
+                    best.append(least)
+                    back.append(at)
+                path, stop = [], len(unit)
+                while stop:
+                    piece = unit[back[stop] : stop]
+                    if piece in table:
+                        path.append(table[piece][0])
+                    else:
+                        path.extend([v.byte_base + b for b in reversed(piece.encode())] if v.byte_base >= 0 else [v.unknown])
+                    stop = back[stop]
+                ids.append(path[::-1])
+            yield pa.record_batch([batch.column(1), batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "blocks", "ids"])
+
+    return distinct.select("blocks", "unit").mapInArrow(run, "unit string, blocks array<long>, ids array<int>")
+
+
 def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``unit, blocks, ids`` of every distinct ``unit`` of ``units``, with the
     blocks that have it (at most one entry for each block there is).
@@ -202,7 +245,8 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spell = 100 * max((c for _, _, c in vocabulary.pieces), default=0) + 1
     # bounded: MAX_PIECES
     pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
-    distinct = units.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    listed = units.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    distinct = listed.where(F.length("unit") <= UNIT)
     # start -1: a row that stands for the unit itself
     starts = distinct.select("unit", "blocks", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("blocks", F.when(F.col("start") < 0, F.col("blocks")))
     stops = starts.select(
@@ -220,7 +264,8 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         )
     )
     grouped = edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list("edge").alias("edges"))
-    return grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
+    paths = grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
+    return paths.unionByName(_long_paths(listed.where(F.length("unit") > UNIT), vocabulary, spell))
 
 
 def _packed_paths(paths: DataFrame) -> DataFrame:
@@ -255,9 +300,9 @@ def _packed_paths(paths: DataFrame) -> DataFrame:
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids``: the piece ids of every whole text, in array<int>.
 
-    A space is put before the text, as SentencePiece does; pieces never cross the
-    border of a run of letters and digits, and hold a space at their start only;
-    a run of more than 48 characters is cut after each 48.  What has no piece
+    A space is put before the text, as SentencePiece does.  The ids are those of
+    the whole text's best path, however long a run of letters or spaces is, for
+    pieces that lie within a unit (all of the given model).  What has no piece
     becomes byte pieces (the unknown piece, if the model has none).  A null or
     empty text has no ids; repeated rows each come back; an empty table gives an
     empty result.

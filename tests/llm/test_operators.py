@@ -220,6 +220,28 @@ def test_encoding_is_the_best_path_and_comes_back(spark, awkward, vocabulary):
     assert sentencepieces.encode(docs(spark, []), vocabulary).isEmpty()
 
 
+def test_long_runs_and_spaces_have_the_whole_texts_best_path(spark, vocabulary):
+    """Against one Viterbi over the whole text, which knows no units."""
+    r = np.random.default_rng(6)
+    letters = "".join(r.choice(list("etaoinshrdlu"), 700))
+    texts = [
+        "def f(x):" + " " * 8 + "return   x" + " " * 37 + "# end  ",
+        "   two  and" + " " * 100,
+        letters,
+        "x" + letters[:47] + "  " + letters[:48] + " " + letters[:49],
+        "这是一个很长的句子" * 12 + "，日本語の文章もここにあります。" * 6,
+        "a 5 m². b 6 m²... c²,d.² _²._",
+        "=" * 130 + "-" * 49 + "\U0001f600" * 60,
+    ]
+    got = {x["doc_id"]: x["ids"] for x in sentencepieces.encode(docs(spark, texts), vocabulary).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == viterbi(vocabulary, " " + t), t
+    held = {p for p, _, _ in vocabulary.pieces}
+    assert {" " * n for n in range(2, 15)} <= held and "²." in held
+    back = sentencepieces.decode(sentencepieces.encode(docs(spark, texts), vocabulary), vocabulary).collect()
+    assert {x["doc_id"]: x["text"] for x in back} == dict(enumerate(texts))
+
+
 # ---- 6
 
 
