@@ -1,12 +1,14 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units: a run of letters and digits or of other characters,
-with the spaces before it, or a line feed.  No piece crosses a unit's border, so
+Texts are cut into units: a run of letters or of other characters, with the
+spaces before it, a digit, or a line feed.  No piece crosses a unit's border, so
 the units' best paths are the text's.  Every distinct unit of the corpus
 is exploded into substrings of bounded length, which are equi-joined to the
 piece table; the edges found are grouped by unit, and a Viterbi fold with
-Spark's ``aggregate`` picks the best path.  Tasks pack their documents into
-blocks of bounded size; the paths go to the blocks that have their units, and
+Spark's ``aggregate`` picks the best path.
+
+Tasks pack their documents into blocks of bounded size, as numbers of words and
+of the words' units.  The paths go to the blocks that have their units, and
 there the documents are put together.  Neither texts nor units are ever joined
 occurrence by occurrence.  The paths of a bounded number of common units, which
 nearly every block has, are broadcast instead of sent to each.  The few units
@@ -15,9 +17,10 @@ that are too long for a packed edge have a Viterbi of their own, linear in lengt
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,13 +30,16 @@ from .common import column_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20  # of text
-PAIRS = 1 << 17  # paths a task packs at a time
+BATCH = 1 << 17  # rows a task hands on at a time
 COMMON = 1 << 17  # units whose paths are broadcast
 LOOK = 5000  # documents, on average, in which the common units are counted
+LISTED = 1 << 16  # blocks, about, in one list of those that have a unit
 UNIT = 48  # characters of a unit whose edges are packed
+HEADS = 1 << 16  # slots of the table of piece lengths by first characters
 MAX_PIECES = 1_000_000
 #: One piece of the model, a superscript two and a full stop, is of both kinds of characters; its runs stay together.
-_UNITS = re.compile(r" *+[^\W_]++(?:(?<=²)(?=\.)(?:[^\w \n]|_)++)?| *+(?:[^\w \n]|_)++|\n| ++")
+_UNITS = re.compile(r" *+[^\W\d_]++(?:(?<=²)(?=\.)(?:[^\w \n]|_)++)?| *+(?:[^\w \n]|_)++|\d|\n| ++")
+_WORDS = re.compile(r" *+[^ \n]++|\n[^ \n]*+| ++")
 #: An edge is one long: stop (6 bits), start (6), cost (31), id (20; all ones: spelt in bytes).
 _STOP, _START, _COST, _SPELLED = 57, 51, 20, (1 << 20) - 1
 
@@ -79,9 +85,26 @@ def load(path: str = MODEL) -> Vocabulary:
     return Vocabulary(tuple(pieces), bases[0] if len(bases) == 256 else -1, model.unk_id(), max((len(p[0]) for p in pieces), default=1))
 
 
-def _common(docs: DataFrame, text: str, vocabulary: Vocabulary):
+def _words(text: str) -> list[str]:
+    """The text with a space before it, cut before runs of spaces and before
+    line feeds; each word without its first space (see :func:`_units`)."""
+    if not text:
+        return []
+    single = text.replace("\n", " \n")
+    if "  " in single:
+        return [w[1:] if w[0] == " " else w for w in _WORDS.findall(" " + text)]
+    return single.split(" ")
+
+
+def _units(word: str) -> list[str]:
+    if word.isalpha():
+        return [" " + word]
+    return _UNITS.findall(word if word[:1] == "\n" else " " + word)
+
+
+def _common(docs: DataFrame, text: str, rows: int, vocabulary: Vocabulary):
     """The paths of at most ``COMMON`` units, as a broadcast of units, their ids
-    and where each one's ids start.
+    and where each one's ids start; a line feed is one of them.
 
     Which units are common is counted in a sample of about ``LOOK`` documents.
     It decides by which way a path reaches the documents, never what the path
@@ -94,74 +117,118 @@ def _common(docs: DataFrame, text: str, vocabulary: Vocabulary):
     def run(batches):
         import pyarrow as pa
 
+        def done():
+            units = Counter()
+            for word, n in found.items():
+                for unit in _units(word):
+                    units[unit] += n
+            return pa.record_batch([pa.array(units.keys(), pa.string()), pa.array(units.values(), pa.int64())], ["unit", "n"])
+
         found = Counter()
         for batch in batches:
             for value in column_bytes(batch, "_text"):
-                if value:
-                    found.update(_UNITS.findall(" " + value.decode("utf-8", "replace")))
-                if len(found) >= PAIRS:
-                    yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+                found.update(_words((value or b"").decode("utf-8", "replace")))
+                if len(found) >= BATCH:
+                    yield done()
                     found = Counter()
         if found:
-            yield pa.record_batch([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], ["unit", "n"])
+            yield done()
 
-    rows = docs.count()
     sample = docs.select(F.col(text).alias("_text")).sample(min(1.0, LOOK / max(rows, 1)), seed=5)
     counts = sample.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and unit <> '\n'")
-    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).cast("long").alias("block"))
+    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).alias("part"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("name"))
     got = best_paths(top, vocabulary).select("unit", "ids").toArrow().combine_chunks()
     ids = got.column("ids").combine_chunks()
-    starts = np.append(0, np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False)))
-    return spark.sparkContext.broadcast((got.column("unit").to_pylist(), ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32), starts))
+    line = vocabulary.byte_base + 10 if vocabulary.byte_base >= 0 else vocabulary.unknown
+    starts = np.cumsum([0, *ids.value_lengths().to_pylist(), 1])
+    return spark.sparkContext.broadcast(([*got.column("unit").to_pylist(), "\n"], np.append(ids.flatten().to_numpy(zero_copy_only=False), line).astype(np.int32), starts))
 
 
-def _blocks(docs: DataFrame, key: str, text: str, common=None) -> DataFrame:
-    """``block, texts`` (keys and texts of a block as compressed Arrow), or,
-    given the common units, ``block, unit`` for its distinct other ones.
+def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None = None) -> DataFrame:
+    """``block, keys, texts`` (the documents of a block, see :func:`_opened`)
+    or, given ``parts``, ``unit, part, block, name`` for a block's units that
+    aren't common; ``name`` holds the unit's number in the block and 8 bits of
+    its checksum, ``part`` is the remainder of the block by ``parts``.
 
     A block is named by partition and place, so both readings of ``docs`` must
     give the same rows in the same order.
     """
+    whole = parts is None
 
     def run(batches):
+        import zlib
+
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 32
-        keys, texts, size, found = [], [], 0, set()
-        units = common is not None
-        known = frozenset(common.value[0]) | {"\n"} if units else frozenset()
+        block = TaskContext.get().partitionId() << 32
+        shared = len(common.value[0])
+        known = dict(zip(common.value[0], range(shared)))
+        words, keys, counts, texts, size = defaultdict(itertools.count().__next__), [], [], [], 0
 
         def done():
-            if units:
-                found.difference_update(known)
-                if found:
-                    own = pa.array(found, pa.string())
-                    yield pa.record_batch([pa.array(np.full(len(own), number, np.int64)), own], ["block", "unit"])
-            else:
-                yield pa.record_batch([pa.array([number], pa.int64()), pa.array([_stored(pa.table({"key": pa.chunked_array(keys), "text": pa.array(texts, pa.large_string())}))], pa.binary())], ["block", "texts"])
+            own: dict[str, int] = {}
+            flat, lens = [], []
+            for word in words:
+                units = _units(word)
+                lens.append(len(units))
+                for unit in units:
+                    n = known.get(unit)
+                    flat.append(own.setdefault(unit, shared + len(own)) if n is None else n)
+            marks = np.fromiter((zlib.crc32(unit.encode()) & 255 for unit in own), np.uint8, len(own))
+            if whole:
+                payload = _closed(np.array(counts, np.int32), np.concatenate([*texts, np.empty(0, np.int32)]), np.array(lens, np.int32), np.array(flat, np.int32), marks)
+                yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_stored(pa.table({"key": pa.chunked_array(keys)}))], pa.binary()), pa.array([payload], pa.list_(pa.binary()))], ["block", "keys", "texts"])
+            elif own:
+                listed, n = list(own), len(own)
+                for at in range(0, n, BATCH):
+                    m = min(BATCH, n - at)
+                    names = np.arange(at, at + m, dtype=np.int64) << 8 | marks[at : at + m]
+                    yield pa.record_batch([pa.array(listed[at : at + m], pa.string()), pa.array(np.full(m, block % parts, np.int32)), pa.array(np.full(m, block, np.int64)), pa.array(names)], ["unit", "part", "block", "name"])
 
         for batch in batches:
             start = 0
             for i, value in enumerate(column_bytes(batch, "_text")):
                 value = (value or b"").decode("utf-8", "replace")
                 size += len(value) + 16
-                if not units:
-                    texts.append(value)
-                elif value:
-                    found.update(_UNITS.findall(" " + value))
+                own = _words(value)
+                if whole:
+                    texts.append(np.fromiter(map(words.__getitem__, own), np.int32, len(own)))
+                    counts.append(len(own))
+                else:
+                    for word in own:
+                        words[word]
                 if size >= BLOCK_BYTES:
                     keys.append(batch.column(0).slice(start, i + 1 - start))
                     yield from done()
-                    number, start = number + 1, i + 1
-                    keys, texts, size, found = [], [], 0, set()
-            if start < batch.num_rows and not units:
+                    block, start = block + 1, i + 1
+                    words, keys, counts, texts, size = defaultdict(itertools.count().__next__), [], [], [], 0
+            if start < batch.num_rows:
                 keys.append(batch.column(0).slice(start))
         if size:
             yield from done()
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, texts binary" if common is None else "block long, unit string")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, keys binary, texts array<binary>" if whole else "unit string, part int, block long, name long")
+
+
+def _closed(*arrays) -> list[bytes]:
+    """Arrays of whole numbers, byte by byte, compressed."""
+    import numpy as np
+    import zstandard
+
+    return [zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes(), 3) for x in arrays]
+
+
+def _opened(payload: list[bytes]):
+    """Of a block: the words of each document, the words' numbers one document
+    after the other, the units of each word, their numbers, and the checksums
+    of the units that aren't common."""
+    import numpy as np
+    import zstandard
+
+    *numbers, marks = (np.frombuffer(zstandard.decompress(x), np.uint8) for x in payload)
+    return [np.ascontiguousarray(x.reshape(4, -1).T).view(np.int32).ravel() for x in numbers], marks
 
 
 def _stored(table) -> bytes:
@@ -232,26 +299,41 @@ def _long_paths(distinct: DataFrame, vocabulary: Vocabulary, spell: int) -> Data
                 ids.append(path[::-1])
             yield pa.record_batch([batch.column(1), batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "blocks", "ids"])
 
-    return distinct.select("blocks", "unit").mapInArrow(run, "unit string, blocks array<long>, ids array<int>")
+    return distinct.select("blocks", "unit").mapInArrow(run, "unit string, blocks array<struct<block:long,name:long>>, ids array<int>")
+
+
+def _lengths(vocabulary: Vocabulary) -> str:
+    """SQL: an array, by the low bits of a hash of the first three characters,
+    of the greatest length of the pieces that begin with them (2 if there are
+    none: two characters may be a piece whatever follows)."""
+    import xxhash
+
+    table = [2] * HEADS
+    for piece, _, _ in vocabulary.pieces:
+        at = xxhash.xxh64_intdigest(piece[:3].encode(), 42) % HEADS
+        table[at] = max(table[at], len(piece))
+    return f"cast(split('{','.join(map(str, table))}', ',') as array<int>)"
 
 
 def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit, blocks, ids`` of every distinct ``unit`` of ``units``, with the
-    blocks that have it (at most one entry for each block there is).
+    """``unit, blocks, ids`` of every distinct ``unit`` and ``part`` of
+    ``units``, with the ``block`` and ``name`` of its rows.
 
     A character without a piece has an edge of its own that costs more than any
-    path of pieces and stands for its bytes.
+    path of pieces and stands for its bytes.  Only substrings that are no longer
+    than the pieces with their first three characters are looked up.
     """
     spell = 100 * max((c for _, _, c in vocabulary.pieces), default=0) + 1
     # bounded: MAX_PIECES
     pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
-    listed = units.groupBy("unit").agg(F.collect_list("block").alias("blocks"))
+    listed = units.groupBy("unit", "part").agg(F.collect_list(F.struct("block", "name")).alias("blocks"))
     distinct = listed.where(F.length("unit") <= UNIT)
     # start -1: a row that stands for the unit itself
-    starts = distinct.select("unit", "blocks", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("blocks", F.when(F.col("start") < 0, F.col("blocks")))
+    starts = distinct.select("unit", "part", "blocks", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("blocks", F.when(F.col("start") < 0, F.col("blocks")))
+    longest = f"element_at({_lengths(vocabulary)}, 1 + cast(pmod(xxhash64(substr(unit, start + 1, 3)), {HEADS}L) as int))"
     stops = starts.select(
         "*",
-        F.explode(F.when(F.col("start") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.col("start") + 1, F.least(F.col("start") + vocabulary.longest, F.length("unit"))))).alias("stop"),
+        F.expr(f"explode(if(start < 0, array(0), sequence(start + 1, least(start + {longest}, length(unit)))))").alias("stop"),
     )
     edges = (
         stops.withColumn("piece", F.when(F.col("start") >= 0, F.substring("unit", F.col("start") + 1, F.col("stop") - F.col("start"))))
@@ -259,44 +341,16 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .where("id is not null or start < 0 or stop = start + 1")
         .select(
             "unit",
+            "part",
             "blocks",
             F.expr(f"if(start < 0, null, shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(coalesce(cost, {spell}L), {_COST}) | coalesce(id, {_SPELLED}L))").alias("edge"),
         )
     )
-    grouped = edges.groupBy("unit").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list("edge").alias("edges"))
+    grouped = edges.groupBy("unit", "part").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list("edge").alias("edges"))
     paths = grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
     return paths.unionByName(_long_paths(listed.where(F.length("unit") > UNIT), vocabulary, spell))
 
 
-def _packed_paths(paths: DataFrame) -> DataFrame:
-    """``block, paths``: the units of a block and their ids, as compressed Arrow."""
-
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        def done(rows):
-            table = pa.Table.from_batches(rows).combine_chunks()
-            blocks = table.column("block").to_numpy()
-            order = np.argsort(blocks, kind="stable")
-            edges = np.append(np.flatnonzero(np.diff(blocks[order], prepend=-1)), len(order))
-            for a, b in zip(edges[:-1], edges[1:]):
-                own = table.select(["unit", "ids"]).take(pa.array(order[a:b]))
-                yield pa.record_batch([pa.array([int(blocks[order[a]])], pa.int64()), pa.array([_stored(own)], pa.binary())], ["block", "paths"])
-
-        rows, n = [], 0
-        for batch in batches:
-            rows.append(batch)
-            n += batch.num_rows
-            if n >= PAIRS:
-                yield from done(rows)
-                rows, n = [], 0
-        if n:
-            yield from done(rows)
-
-    return paths.select(F.explode("blocks").alias("block"), "unit", "ids").mapInArrow(run, "block long, paths binary")
-
-
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, ids``: the piece ids of every whole text, in array<int>.
 
@@ -307,48 +361,47 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     empty text has no ids; repeated rows each come back; an empty table gives an
     empty result.
 
-    ``docs`` is read three times (once a sample of it) and must give the same rows in the same order, as a
-    table in files does; what comes out of a shuffle should be written first.
-    If it doesn't, the job fails rather than giving other ids.
+    ``docs`` is read four times (once for its size, once a sample) and must give
+    the same rows in the same order, as a table in files does; what comes out of
+    a shuffle should be written first.  If it doesn't, the job fails rather than
+    giving other ids.
     """
     kind = docs.schema[key].dataType.simpleString()
-    line = [vocabulary.byte_base + 10] if vocabulary.byte_base >= 0 else [vocabulary.unknown]
-    common = _common(docs, text, vocabulary)
-    paths = _packed_paths(best_paths(_blocks(docs, key, text, common), vocabulary))
+    rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
+    common = _common(docs, text, rows, vocabulary)
+    parts = 1 + (size + 16 * rows) // BLOCK_BYTES // LISTED
+    paths = best_paths(_blocks(docs, key, text, common, parts=parts), vocabulary).select(F.explode("blocks").alias("_b"), "ids").select("_b.block", "_b.name", "ids")
 
     def run(texts, paths):
         import numpy as np
         import pyarrow as pa
 
-        shared, shared_ids, shared_starts = common.value
-        known, ids = {u: i for i, u in enumerate(shared)}, [shared_ids, np.array(line, np.int32)]
-        known["\n"] = len(shared)
-        starts = [*shared_starts.tolist(), len(shared_ids) + len(line)]
-        for payload in paths.column("paths"):
-            table = pa.ipc.open_stream(payload.as_py()).read_all().combine_chunks()
-            own = table.column("ids").combine_chunks()
-            ids.append(own.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-            for unit, n in zip(table.column("unit").to_pylist(), own.value_lengths().to_pylist()):
-                known[unit] = len(starts) - 1
-                starts.append(starts[-1] + n)
-        ids, starts = np.concatenate(ids), np.array(starts)
-        for payload in texts.column("texts"):
-            stored = pa.ipc.open_stream(payload.as_py()).read_all()
-            out, sizes = [], []
-            for value in stored.column("text"):
-                value = value.as_py()
-                own = np.fromiter(map(known.__getitem__, _UNITS.findall(" " + value) if value else ()), np.int64)
-                length = starts[own + 1] - starts[own]
-                total = int(length.sum())
-                at = np.arange(total) + np.repeat(starts[own] - np.cumsum(length) + length, length)
-                out.append(ids[at])
-                sizes.append(total)
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
-            return pa.table({"_key": stored.column("key").combine_chunks(), "ids": lists})
+        def spread(values, starts, sizes):
+            """The runs of ``values`` that begin at ``starts``, one after the other."""
+            ends = np.cumsum(sizes)
+            return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+        _, ids, starts = common.value
+        shared = len(starts) - 1
+        for keys, payload in zip(texts.column("keys"), texts.column("texts").to_pylist()):
+            (counts, words, lens, flat), marks = _opened(payload)
+            names = paths.column("name").to_numpy()
+            if len(names) != len(marks) or (marks[names >> 8] != names & 255).any():
+                break
+            own = paths.column("ids").combine_chunks()
+            first, length = np.empty(shared + len(marks), np.int64), np.empty(shared + len(marks), np.int64)
+            first[:shared], length[:shared] = starts[:-1], np.diff(starts)
+            length[shared + (names >> 8)] = more = own.value_lengths().to_numpy(zero_copy_only=False)
+            first[shared + (names >> 8)] = len(ids) + np.cumsum(more) - more
+            by_word = spread(np.concatenate([ids, own.flatten().to_numpy(zero_copy_only=False)]), first[flat], length[flat])
+            ends = np.append(0, np.cumsum(length[flat]))[np.append(0, np.cumsum(lens))]
+            out = spread(by_word, ends[:-1][words], np.diff(ends)[words])
+            offsets = np.append(0, np.cumsum(np.diff(ends)[words]))[np.append(0, np.cumsum(counts))].astype(np.int32)
+            stored = pa.ipc.open_stream(keys.as_py()).read_all()
+            return pa.table({"_key": stored.column("key").combine_chunks(), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))})
         raise RuntimeError("docs gave other rows on its second reading; write it to files first")
 
-    together = _blocks(docs, key, text).groupBy("block").cogroup(paths.groupBy("block"))
+    together = _blocks(docs, key, text, common).groupBy("block").cogroup(paths.groupBy("block"))
     return together.applyInArrow(run, f"_key {kind}, ids array<int>").withColumnRenamed("_key", key)
 
 
@@ -357,25 +410,14 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", i
 
     Undoes :func:`encode` for any text if the model has byte pieces.  Unknown
     ids become U+2047; bytes that are no UTF-8 U+FFFD; a null array is an empty
-    text.
+    text.  SQL functions only: each id's bytes in hexadecimal digits are joined.
     """
-    table = {i: piece.encode() for piece, i, _ in vocabulary.pieces}
+    known = {i: piece.encode().hex() for piece, i, _ in vocabulary.pieces}
     if vocabulary.byte_base >= 0:
-        table.update((vocabulary.byte_base + b, bytes([b])) for b in range(256))
-    kind = encoded.schema[key].dataType.simpleString()
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out, size, start = [], 0, 0
-            for i, own in enumerate(batch.column(1)):
-                text = b"".join([table.get(x, "⁇".encode()) for x in own.as_py() or ()]).decode("utf-8", "replace")
-                out.append(text[1:] if text[:1] == " " else text)
-                size += len(text)
-                if size >= BLOCK_BYTES or i + 1 == batch.num_rows:
-                    yield pa.record_batch([batch.column(0).slice(start, i + 1 - start), pa.array(out, pa.string())], ["_key", "text"])
-                    out, size, start = [], 0, i + 1
-
-    rows = encoded.select(F.col(key).alias("_key"), F.col(ids).alias("_ids"))
-    return rows.mapInArrow(run, f"_key {kind}, text string").withColumnRenamed("_key", key)
+        known.update((vocabulary.byte_base + b, f"{b:02x}") for b in range(256))
+    unknown = "⁇".encode().hex()
+    table = ",".join(known.get(i, unknown) for i in range(max(known, default=0) + 1))
+    rows = encoded.select(F.col(key).alias("_key"), F.expr(f"array_join(transform(`{ids}`, i -> coalesce(get(split('{table}', ','), i), '{unknown}')), '')").alias("_hex"))
+    # the space that encode puts before a text goes
+    body = "coalesce(make_valid_utf8(cast(unhex(if(startswith(_hex, '20'), substr(_hex, 3), _hex)) as string)), '')"
+    return rows.select(F.col("_key").alias(key), F.expr(body).alias("text"))
