@@ -244,24 +244,23 @@ def _viterbi(v: Vocabulary) -> str:
     """SQL: the ids of the best path through ``edges`` of ``unit``; of equally
     good ones that with the longest last piece, and so on.
 
-    One fold over the edges in order of their stop.  Its state: where it is,
-    the best cost and path to each place before, and the best cost and edge to
-    this one.
+    One fold over the edges in order of their stop.  Its state has a long for
+    each place so far: the cost of the best path (37 bits), and its last edge's
+    start (6) and id (20).  A walk from the last place back gives the ids.
     """
-    stop, start, cost = f"cast(shiftright(e, {_STOP}) as int)", f"cast(shiftright(e, {_START}) & 63 as int)", f"(shiftright(e, {_COST}) & {(1 << 31) - 1}L)"
-    of = f"cast(shiftright(a.e, {_START}) & 63 as int)"
-    char = f"hex(encode(substr(unit, {of} + 1, 1), 'utf-8'))"
+    stop, start = f"cast(shiftright(e, {_STOP}) as int)", f"cast(shiftright(e, {_START}) & 63 as int)"
+    edge = f"(shiftright(e, {_START - _COST}) & {63 << _COST}L) | (e & {_SPELLED}L)"
+    total = f"shiftright(a[{start}], {_COST + 6}) + (shiftright(e, {_COST}) & {(1 << 31) - 1}L)"
+    reached = f"shiftleft({total}, {_COST + 6}) | {edge}"
+    best = f"aggregate(sort_array(edges), array(0L), (a, e) -> if(size(a) > {stop}, array_append(slice(a, 1, {stop}), least(a[{stop}], {reached})), array_append(a, {reached})), a -> {{}})"
+    char = "hex(encode(substr(unit, s.at, 1), 'utf-8'))"
     if v.byte_base >= 0:
         spelled = f"transform(sequence(0, length({char}) div 2 - 1), i -> {v.byte_base} + cast(conv(substr({char}, 2 * i + 1, 2), 16, 10) as int))"
     else:
         spelled = f"array({v.unknown})"
-    ids = f"if(a.e & {_SPELLED}L = {_SPELLED}L, {spelled}, array(cast(a.e & {_SPELLED}L as int)))"
-    path = f"if(a.e < 0, cast(array() as array<int>), concat(a.done[{of}].path, {ids}))"
-    first = "named_struct('at', 0, 'done', cast(array() as array<struct<cost:bigint,path:array<int>>>), 'cost', 0L, 'e', -1L)"
-    here = f"if(a.done[{start}].cost + {cost} < a.cost, named_struct('at', a.at, 'done', a.done, 'cost', a.done[{start}].cost + {cost}, 'e', e), a)"
-    on = f"""named_struct('at', a.at + 1, 'done', concat(a.done, array(named_struct('cost', a.cost, 'path', {path}))),
-        'cost', if({start} = a.at, a.cost, a.done[{start}].cost) + {cost}, 'e', e)"""
-    return f"aggregate(sort_array(edges), {first}, (a, e) -> if({stop} = a.at, {here}, {on}), a -> {path})"
+    ids = f"if(a[s.at] & {_SPELLED}L = {_SPELLED}L, concat({spelled}, s.ids), array_prepend(s.ids, cast(a[s.at] & {_SPELLED}L as int)))"
+    back = f"named_struct('at', cast(shiftright(a[s.at], {_COST}) & 63 as int), 'ids', {ids})"
+    return best.format(f"aggregate(sequence(2, size(a)), named_struct('at', size(a) - 1, 'ids', cast(array() as array<int>)), (s, x) -> if(s.at = 0, s, {back}), s -> s.ids)")
 
 
 def _long_paths(distinct: DataFrame, vocabulary: Vocabulary, spell: int) -> DataFrame:
