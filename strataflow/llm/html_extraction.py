@@ -36,93 +36,165 @@ HINTS = frozenset(
     "comment comments commentlist disqus discussion replies reply respond "
     "share sharing social toolbar hidden skip contentinfo".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Last words of compound names that mark content, whatever comes before them.
+NOUNS = frozenset("article body content entry heading post results story text title".split())
+#: In a heading or paragraph only these mark something beside the content.
+IN_TEXT = HINTS - frozenset("header masthead banner more popular trending search social legal alert related recommended".split())
+PHRASING = frozenset("h1 h2 h3 h4 h5 h6 p".split())
+#: Open elements that end where an element of the name begins.
+ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"td", "th", "tr"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(RAW) + r")\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*/>|"
-    r"<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|"
-    r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
+_NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*+)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _MARKS = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_PART = re.compile(r"[a-z]+", re.I)
+_PART = re.compile(r"[a-z]+")
 _HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+UNPAIRED = 50  # tags of a page with unpaired quotes; later ones end at the next ">" whatever the quotes
+
+
+def hints_of(name: str, value: str) -> set[str]:
+    """The hints in a class, id or role of an element.  A compound name such as
+    ``comment-list`` is one thing: its last word says what it is, or its first
+    one if the last is neutral."""
+    found = set()
+    for token in value.strip("\"'").lower().split():
+        parts = _PART.findall(token)
+        if not parts:
+            continue
+        if len(parts) == 1 or name not in PHRASING:
+            kinds = IN_TEXT if name in PHRASING else HINTS
+            if parts[-1] in kinds:
+                found.add(parts[-1])
+            elif parts[0] in kinds and parts[-1] not in NOUNS:
+                found.add(parts[0])
+    return found
+
+
+def _marks(name: str, attributes: str) -> tuple[str, ...]:
+    marks = [f"tag:{name}"] if name in BESIDE or name in CONTENT else []
+    if attributes:
+        if name not in ("body", "html", "article", "main"):
+            marks += sorted(f"hint:{w}" for w in set().union(*(hints_of(name, x) for x in _MARKS.findall(attributes))))
+        if _HIDDEN.search(_MARKS.sub("", attributes)):
+            marks.append("hint:hidden")
+    return tuple(marks)
 
 
 def tokens(page: str):
-    """``(kind, value, features)``: kind 0 text (entities undecoded), 1 opening
-    tag, 2 closing tag.  Comments, scripts, styles and the like give nothing."""
-    at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            yield 0, page[at : m.start()], ()
-        at = m.end()
-        name = m[3]
+    """``(kind, value, marks)``: kind 0 text (character references undecoded),
+    1 opening tag, 2 closing tag.  Comments, scripts, styles and the like give
+    nothing.  One scan from left to right; what looks like a tag but never
+    closes is text."""
+    at = start = unpaired = 0
+    while (lt := page.find("<", at)) >= 0:
+        name = None
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            end = len(page) if end < 0 else end + 3
+        elif page[lt + 1 : lt + 2] in ("!", "?"):
+            end = page.find(">", lt) + 1
+            if not end:
+                break
+        elif name := _NAME.match(page, lt):
+            rest = _REST.match(page, name.end()) if unpaired < UNPAIRED else None
+            if rest:
+                end = rest.end()
+            else:
+                unpaired += 1
+                end = page.find(">", name.end()) + 1
+                if not end:
+                    break
+        else:
+            at = lt + 1
+            continue
+        if lt > start:
+            yield 0, page[start:lt], ()
         if name:
-            name = name.lower()
-            if m[2]:
-                yield 2, name, ()
+            tag, closing = name[1].lower(), page[lt + 1] == "/"
+            if tag in _RAW_END:
+                if not closing and page[end - 2] != "/":
+                    over = _RAW_END[tag].search(page, end)
+                    end = over.end() if over else len(page)
+            elif closing:
+                yield 2, tag, ()
             else:
-                marks = [f"tag:{name}"] if name in BESIDE or name in CONTENT else []
-                if m[4]:
-                    if name not in ("body", "html", "article", "main"):
-                        words = {w.lower() for x in _MARKS.findall(m[4]) for w in _PART.findall(x)}
-                        marks += sorted(f"hint:{w}" for w in words & HINTS)
-                    if _HIDDEN.search(_MARKS.sub("", m[4])):
-                        marks.append("hint:hidden")
-                yield 1, name, tuple(marks)
-    if at < len(page):
-        yield 0, page[at:], ()
+                yield 1, tag, _marks(tag, page[name.end() : end - 1])
+        at = start = end
+    if start < len(page):
+        yield 0, page[start:], ()
 
 
 def walk(page: str):
-    """``(block, text or None, features, tag)`` in page order: ``block`` counts
-    the blocks, ``features`` are those of all open elements."""
-    stack: list[tuple[str, tuple]] = []
+    """``(block, text or None, marks, tag)`` in page order: ``block`` counts
+    the blocks, ``marks`` is the set of all open elements' marks.
+
+    Linear in the page: each block element holds the inline elements open in
+    it, and every element the union of the marks around it (a small fixed set).
+    """
+    nothing = frozenset()
+    frames: list[tuple[str, frozenset, list, dict]] = [("", nothing, [], {})]  # block, marks, inline elements in it, how many of each
+    blocks: dict[str, int] = {}
     block = 0
-    for kind, value, marks in tokens(page):
+
+    def around():
+        _, marks, inline, _ = frames[-1]
+        return inline[-1][1] if inline else marks
+
+    def close():
+        blocks[frames.pop()[0]] -= 1
+
+    for kind, value, own in tokens(page):
         if kind == 0:
-            yield block, value, [x for _, own in stack for x in own], None
+            yield block, value, around(), None
             continue
         if value in BLOCK:
             block += 1
         if kind == 1:
-            if value in ("p", "li", "td", "tr", "dd", "dt", "option") or value in BLOCK:  # an open paragraph ends here
-                while stack and stack[-1][0] not in BLOCK and value in BLOCK and any(x == "p" for x, _ in stack):
-                    if "p" not in [x for x, _ in stack[-8:]]:
-                        break
-                    stack.pop()
-                if stack and (stack[-1][0] == "p" or stack[-1][0] == value in ("li", "td", "tr", "dd", "dt")):
-                    stack.pop()
-            yield block, None, [x for _, own in stack for x in own], value
-            if value not in VOID:
-                stack.append((value, marks))
+            if value in BLOCK:
+                if frames[-1][0] == "p":  # an open paragraph ends here
+                    close()
+                while frames[-1][0] in ENDS.get(value, ()):
+                    close()
+            yield block, None, around(), value
+            marks = around().union(own) if own else around()
+            if value in BLOCK:
+                if value not in VOID:
+                    frames.append((value, marks, [], {}))
+                    blocks[value] = blocks.get(value, 0) + 1
+            elif value not in VOID:
+                frames[-1][2].append((value, marks))
+                frames[-1][3][value] = frames[-1][3].get(value, 0) + 1
         else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == value:
-                    # an inline element's end doesn't close blocks around it
-                    if value in BLOCK or not any(x in BLOCK for x, _ in stack[i + 1 :]):
-                        del stack[i:]
-                    break
-            yield block, None, [x for _, own in stack for x in own], value
+            if value in BLOCK:
+                if blocks.get(value):
+                    while frames[-1][0] != value:
+                        close()
+                    close()
+            elif frames[-1][3].get(value):  # an inline element's end doesn't close blocks around it
+                _, _, inline, many = frames[-1]
+                while True:
+                    last = inline.pop()[0]
+                    many[last] -= 1
+                    if last == value:
+                        break
+            yield block, None, around(), value
 
 
 def counts(page: str) -> dict[str, tuple[int, int]]:
     """Of a labelled page: feature -> its words inside and outside the content;
     ``tag:*`` for tags, ``word`` for all words.  Of other pages nothing."""
     found: dict[str, list[int]] = {}
-    roots = 0
-    for kind, value, _ in tokens(page):
-        roots += kind == 1 and value in CONTENT
-    if roots != 1:
+    steps = list(walk(page))
+    if sum(1 for kind, value, _ in tokens(page) if kind == 1 and value in CONTENT) != 1:
         return {}
-    for _, text, features, tag in walk(page):
-        inside = any(f[4:] in CONTENT for f in features if f[:4] == "tag:")
+    for _, text, marks, tag in steps:
+        inside = "tag:article" in marks or "tag:main" in marks
         if text is None:
             names, n = (f"open:{tag}",) if tag in BLOCK or tag == "a" else (), 1
         else:
             n = len(text.split())
-            names = {"word", *features}
+            names = ("word", *marks)
         for f in names:
             found.setdefault(f, [0, 0])[not inside] += n
     return {k: (a, b) for k, (a, b) in found.items()}
@@ -165,43 +237,53 @@ def learn(pages: DataFrame, *, text: str = "html") -> dict[str, float]:
     return weights
 
 
-def main_text(page: str, weights: dict[str, float]) -> str:
-    """The text of the best region of one page."""
-    words, marks, blocks = [], [], []  # one entry a run of text or a tag
-    rooted = any(kind == 1 and value in CONTENT for kind, value, _ in tokens(page))
-    for block, text, features, tag in walk(page):
-        own = [weights[f] for f in features if f in weights]
-        low = min(own, default=0.0)
-        if text is None:
-            marks.append(weights.get(f"open:{tag}", -0.02))
-            words.append(None)
-        else:
-            n = len(text.split())
-            if rooted and not any(f[4:] in CONTENT for f in features):
-                low = min(low, -0.5)  # the page marks its content, and this isn't in it
-            # the most telling element around decides: beside the content, or the content itself, or neither
-            marks.append(n * (max(low, -0.5) if low < 0 else 1.0 + max(own, default=0.0) / 4))
-            words.append(text if low >= 0 else None)
-        blocks.append(block)
-        if tag == "br" and words[-1] is None:
-            words[-1] = "\n"
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """``[a, b)`` of the contiguous run with the largest sum (the first of
+    equal ones, the shortest of those that begin alike); empty if none is
+    positive."""
     best = run = 0.0
     start = a = b = 0
-    for i, x in enumerate(marks):
+    for i, x in enumerate(scores):
         if run <= 0:
             run, start = 0.0, i
         run += x
         if run > best:
             best, a, b = run, start, i + 1
+    return a, b
+
+
+def main_text(page: str, weights: dict[str, float]) -> str:
+    """The text of the best region of one page."""
+    texts, scores, blocks = [], [], []  # one entry a run of text or a tag
+    steps = list(walk(page))
+    rooted = any(tag in CONTENT for _, text, _, tag in steps if text is None)
+    judged: dict[frozenset, tuple[float, float]] = {}  # the lowest and highest weight around
+    for block, text, marks, tag in steps:
+        if text is None:
+            scores.append(weights.get(f"open:{tag}", -0.02))
+            texts.append("\n" if tag == "br" else None)
+        else:
+            if marks not in judged:
+                own = [weights[f] for f in marks if f in weights]
+                low = min(own, default=0.0)
+                if rooted and "tag:article" not in marks and "tag:main" not in marks:
+                    low = min(low, -0.5)  # the page marks its content, and this isn't in it
+                judged[marks] = low, max(own, default=0.0)
+            low, high = judged[marks]
+            # the most telling element around decides: beside the content, or the content itself, or neither
+            scores.append(len(text.split()) * (max(low, -0.5) if low < 0 else 1.0 + high / 4))
+            texts.append(text if low >= 0 else None)
+        blocks.append(block)
+    a, b = best_region(scores)
     out: list[list[str]] = []
     last = None
     for i in range(a, b):
-        if words[i] is None:
+        if texts[i] is None:
             continue
         if blocks[i] != last:
             out.append([])
             last = blocks[i]
-        out[-1].append(words[i])
+        out[-1].append(texts[i])
     lines = (" ".join(html.unescape("".join(x)).split()) for x in out)
     return "\n".join(x for x in lines if x)
 
