@@ -5,8 +5,10 @@ One pattern finds the entities of a text.  Each entity has a canonical form
 type and canonical form makes the surrogate, so equal entities get equal
 surrogates in every document.  Over the table of distinct entities Spark checks
 that no two share a surrogate and that none equals a real entity; the few that
-do are keyed anew until all differ, and only these exceptions are looked up
-when the texts are rewritten.
+do are keyed anew until all differ, and given names get the gender that most of
+their titles have.  Only these exceptions are looked up when the texts are
+rewritten.  Names that a text has after a title are then replaced wherever the
+text has them without one.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: So many exceptions are put into the plan as a map; more are joined.
-MAP_LIMIT = 1000
+#: Documents with exceptions; a table of so many is broadcast, of more is joined by a shuffle.
+BROADCAST_LIMIT = 100_000
 #: So many attempts keep the size of a number; later ones add digits to it.
 SAME_SIZE = 8
 
@@ -27,7 +29,7 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Señora
 NEUTRAL = ("Dr", "Prof", "Mx", "Доктор")
 
 _TITLE = "(?:" + "|".join(sorted((*MALE, *FEMALE, *NEUTRAL), key=len, reverse=True)) + ")"
-_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}@[\p{L}\p{N}-]{1,63}(?:\.[\p{L}\p{N}-]{1,63}){0,6}\.\p{L}{2,24}"
+_EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)+(?<=\.\p{L}{2,24})"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _IP = rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?\d)"
 _PHONE = r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[-. ]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"
@@ -36,7 +38,8 @@ _CARD = r"(?<![\d.])(?:\d{4} \d{4} \d{4} \d{4}|\d{4}-\d{4}-\d{4}-\d{4}|\d{4}[ -]
 _IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])[A-Z]{2}\d{2}[A-Z]{0,4}\d{10,26}(?![\p{L}\p{N}])"
 _SECRET = r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+\d)(?=[\d_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/-])"
 _NAMED = r"(?<=(?:password|passwd|secret|token|api_key|apikey)[\"']?\s?[:=]\s?[\"'])[^\s\"']{6,}+(?=[\"'])"
-_PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? \p{{Lu}}[\p{{Ll}}'’-]+(?: \p{{Lu}}[\p{{Ll}}'’-]+)?"
+_WORD = r"\p{Lu}[\p{Ll}'’-]+(?:(?<=['’-])\p{Lu}[\p{Ll}'’-]+)*"
+_PERSON = rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\.? {_WORD}(?: (?:\p{{Lu}}\. )?{_WORD}){{0,2}}"
 ENTITY = "|".join((_EMAIL, _PERSON, _IP, _PHONE, _SSN, _IBAN, _NAMED, _CARD, _SECRET))
 #: A quick look: texts without any of this hold no entity.
 MAYBE = rf"[@0-9]|(?:password|passwd|secret|token|api_key|apikey)|{_TITLE}\.? \p{{Lu}}"
@@ -53,8 +56,7 @@ def _rlike(value: str, pattern: str) -> str:
 
 def _kind(m: str) -> str:
     """SQL: the type of a match that is no person."""
-    # no address is longer than 600 characters
-    return f"""case when length({m}) <= 600 and {_rlike(m, "@[^@]+[.]")} then 'email'
+    return f"""case when {_rlike(m, r"^[\p{L}\p{N}._%+-]++@[\p{L}\p{N}.-]++$")} then 'email'
         when {_rlike(m, rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")} then 'ip'
         when {_rlike(m, r"^\d{3}-\d{2}-\d{4}$")} then 'ssn'
         when {_rlike(m, r"^[+(][\d (]|^\d{3}[-.]\d{3}[-.]\d{4}$")} then 'phone'
@@ -77,20 +79,22 @@ def _is_person(m: str) -> str:
 
 
 def _gender(m: str) -> str:
-    return f"case when {_rlike(m, '^(?:' + '|'.join(sorted(FEMALE, key=len, reverse=True)) + r')\.? ')} then 'female' when {_rlike(m, '^(?:' + '|'.join(sorted(MALE, key=len, reverse=True)) + r')\.? ')} then 'male' else 'given' end"
+    """SQL: 'f', 'm' or '' (the title says nothing)."""
+    return f"case when {_rlike(m, '^(?:' + '|'.join(sorted(FEMALE, key=len, reverse=True)) + r')\.? ')} then 'f' when {_rlike(m, '^(?:' + '|'.join(sorted(MALE, key=len, reverse=True)) + r')\.? ')} then 'm' else '' end"
 
 
 def _names(m: str) -> str:
-    """SQL: ``(kind, canonical)`` of the names in a person match."""
-    rest = f"regexp_replace({m}, {_sql('^' + _TITLE + r'\.? ')}, '')"
-    return f"""transform(split({rest}, ' '), (w, i) -> named_struct(
-        'kind', case when i = 0 and size(split({rest}, ' ')) > 1 then {_gender(m)} else 'surname' end, 'canonical', lower(w)))"""
+    """SQL: ``(kind, canonical, gender, word)`` of the names in a person match:
+    the last is a surname, those before it are given names, initials none."""
+    parts = f"filter(split(regexp_replace({m}, {_sql('^' + _TITLE + r'\.? ')}, ''), ' '), w -> w not like '%.')"
+    return f"""transform(element_at(transform(array({parts}), p -> transform(p, (w, i) -> named_struct('w', w, 'given', i < size(p) - 1))), 1), x -> named_struct(
+        'kind', if(x.given, 'given', 'surname'), 'canonical', lower(x.w), 'gender', if(x.given, {_gender(m)}, ''), 'word', x.w))"""
 
 
 def _entities(m: str) -> str:
-    """SQL: all ``(kind, canonical)`` of a match."""
+    """SQL: all ``(kind, canonical, gender, word)`` of a match."""
     kind = _kind(m)
-    return f"case when {_is_person(m)} then {_names(m)} else array(named_struct('kind', {kind}, 'canonical', {_canonical('(' + kind + ')', m)})) end"
+    return f"case when {_is_person(m)} then {_names(m)} else array(named_struct('kind', {kind}, 'canonical', {_canonical('(' + kind + ')', m)}, 'gender', '', 'word', '')) end"
 
 
 def _hash(key: str, kind: str, canonical: str, attempt: str) -> str:
@@ -133,7 +137,7 @@ def _card(canonical: str, h: str) -> str:
     return f"""concat({body}, case when {_luhn(canonical)} % 10 = 0 then cast(pmod(10 - {_luhn(f"concat({body}, '0')")} % 10, 10) as string) else substr({_digits(h)}, 64, 1) end)"""
 
 
-def _name(kind: str, canonical: str, h: str, attempt: str) -> str:
+def _name(kind: str, canonical: str, gender: str, h: str, attempt: str) -> str:
     """SQL: a name in the script of the real one, its ending by gender; one
     syllable longer with each attempt."""
 
@@ -141,14 +145,14 @@ def _name(kind: str, canonical: str, h: str, attempt: str) -> str:
         c, v = f"translate({h}, '0123456789abcdef', '{consonants}')", f"translate({h}, '0123456789abcdef', '{vowels}')"
         syllables = f"array_join(transform(sequence(1, 3 + {attempt}), i -> concat(substr({c}, 2 * i, 1), substr({v}, 2 * i + 21, 1))), '')"
         female, male, given, surname = ends
-        return f"concat({syllables}, case {kind} when 'female' then '{female}' when 'male' then '{male}' when 'given' then '{given}' else '{surname}' end)"
+        return f"concat({syllables}, case when {kind} = 'surname' then '{surname}' when {gender} = 'f' then '{female}' when {gender} = 'm' then '{male}' else '{given}' end)"
 
     return f"""initcap(case when {_rlike(canonical, r"\p{IsCyrillic}")} then {spelled("бвгджзклмнпрстфх", "аеиоуаеиоуаеиоуа", ("на", "н", "й", "ов"))}
         when {_rlike(canonical, r"\p{IsGreek}")} then {spelled("βγδζθκλμνξπρστφχ", "αειουαειουαειουα", ("να", "ς", "ν", "δης"))}
         else {spelled("bdfghjklmnprstvz", "aeiouaeiouaeioua", ("na", "n", "l", "r"))} end)"""
 
 
-def _fake(key: str, kind: str, canonical: str, attempt: str = "0") -> str:
+def _fake(key: str, kind: str, canonical: str, gender: str, attempt: str = "0") -> str:
     """SQL: the canonical form of the surrogate.  Later attempts have more forms
     to choose from: addresses, secrets and names grow from the first one on,
     numbers by a digit with each attempt after ``SAME_SIZE``."""
@@ -161,12 +165,12 @@ def _fake(key: str, kind: str, canonical: str, attempt: str = "0") -> str:
             return number
         return f"concat({number}, if({attempt} > {SAME_SIZE}, concat('{mark}', right({_digits(h)}, cast({attempt} as int) - {SAME_SIZE})), ''))"
 
-    return f"""case when {kind} = 'email' then concat({_masked(f"substring_index({canonical}, '@', 1)", h, attempt)}, '@mail', substr({_digits(_hash(key, "'domain'", domain, "'0'"))}, 1, 4), '.example.net')
+    return f"""case when {kind} = 'email' then concat({_masked(f"substring_index({canonical}, '@', 1)", h, attempt)}, '@mail', substr({_digits(_hash(key, "'domain'", domain, "'0'"))}, 1, 9), '.example.net')
         when {kind} = 'ip' then {longer(f"concat({octets})", ".")}
         when {kind} in ('phone', 'ssn') then {longer(f"substr({_digits(h)}, 1, length({canonical}))")}
         when {kind} = 'card' then {longer(_card(canonical, h))}
         when {kind} = 'iban' then {longer(f"concat(substr({canonical}, 1, 2), {_masked(f'substr({canonical}, 3)', h)})")}
-        when {kind} in ('female', 'male', 'given', 'surname') then lower({_name(kind, canonical, h, f"cast({attempt} as int)")})
+        when {kind} in ('given', 'surname') then lower({_name(kind, canonical, gender, h, f"cast({attempt} as int)")})
         else {_masked(canonical, h, attempt)} end"""
 
 
@@ -187,19 +191,28 @@ def _fitted(kind: str, m: str, fake: str) -> str:
         when {kind} = 'email' then concat(substring_index({cased}, '@', 1), '@', substring_index({fake}, '@', -1)) else {fake} end"""
 
 
-def _of(key: str, kind: str, canonical: str, exceptions: str | None) -> str:
-    fake = _fake(key, kind, canonical)
+def _of(key: str, kind: str, canonical: str, gender: str, exceptions: str | None) -> str:
+    fake = _fake(key, kind, canonical, gender)
     return fake if exceptions is None else f"coalesce(try_element_at({exceptions}, concat({kind}, '|', {canonical})), {fake})"
 
 
 def _replaced(key: str, m: str, exceptions: str | None) -> str:
     kind = f"({_kind(m)})"
-    title = f"regexp_extract({m}, {_sql('^' + _TITLE + r'\.? ')}, 0)"
-    names = f"array_join(transform({_names(m)}, n -> initcap({_of(key, 'n.kind', 'n.canonical', exceptions)})), ' ')"
     # let-bindings: one-element arrays keep each part evaluated once
-    plain = f"""element_at(transform(transform(array(named_struct('kind', {kind}, 'canonical', {_canonical(kind, m)})), e -> named_struct('kind', e.kind, 'fake', {_of(key, 'e.kind', 'e.canonical', exceptions)})),
+    plain = f"""element_at(transform(transform(array(named_struct('kind', {kind}, 'canonical', {_canonical(kind, m)})), e -> named_struct('kind', e.kind, 'fake', {_of(key, 'e.kind', 'e.canonical', "''", exceptions)})),
         e -> {_fitted('e.kind', m, 'e.fake')}), 1)"""
-    return f"case when {_is_person(m)} then concat({title}, {names}) else {plain} end"
+    # a person's names go with those that stand without a title
+    return f"case when {_is_person(m)} then {m} else {plain} end"
+
+
+def _renamed(key: str, text: str, exceptions: str | None) -> str:
+    """SQL: ``text`` with the names of the person matches replaced wherever they
+    stand as words of their own, written as after the title."""
+    names = f"array_distinct(flatten(transform(filter(_m, m -> {_is_person('m')}), m -> {_names('m')})))"
+    # longer words first: a name may be a part of another (Anna, Anna-Lena)
+    listed = f"array_sort({names}, (x, y) -> case when length(x.word) > length(y.word) then -1 when length(x.word) < length(y.word) then 1 when x.kind < y.kind then -1 when x.kind > y.kind then 1 else 0 end)"
+    alone = "concat('(?<![\\\\p{L}\\\\p{N}])\\\\Q', n.word, '\\\\E(?![\\\\p{L}\\\\p{N}])')"
+    return f"aggregate({listed}, {text}, (t, n) -> regexp_replace(t, {alone}, initcap({_of(key, 'n.kind', 'n.canonical', 'n.gender', exceptions)})))"
 
 
 def _matches(text: str) -> Column:
@@ -207,24 +220,31 @@ def _matches(text: str) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """``kind, canonical, fake, attempt`` of distinct ``kind, canonical``: all
-    ``fake`` of a kind differ, and none is a canonical form of that kind.
+    """``kind, canonical, gender, fake, attempt`` of distinct ``kind, canonical``:
+    all ``fake`` of a kind differ, and none is a canonical form of that kind; a
+    name's surrogate is no name, given or surname, and of one kind only.
 
-    Ends for any entities: each attempt has some ten times the surrogates of the
-    one before it, from the first on or after ``SAME_SIZE``.
+    ``gender`` may be missing.  Ends for any entities: each attempt has some ten
+    times the surrogates of the one before it, from the first on or after
+    ``SAME_SIZE``.
     """
-    entities = cut(entities)
-    settled = cut(entities.withColumn("attempt", F.lit(0)).withColumn("fake", F.expr(_fake(key, "kind", "canonical", "attempt"))))
+    if "gender" not in entities.columns:
+        entities = entities.withColumn("gender", F.lit(""))
+    # given names and surnames share one space, as words of a text they look alike
+    space = F.when(F.col("kind").isin("given", "surname"), "name").otherwise(F.col("kind"))
+    entities = cut(entities.select("kind", "canonical", "gender").withColumn("space", space))
+    settled = cut(entities.withColumn("attempt", F.lit(0)).withColumn("fake", F.expr(_fake(key, "kind", "canonical", "gender", "attempt"))))
     attempt = 0
     while True:
-        shared = settled.groupBy("kind", "fake").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n")).where("n > 1").select("kind", "fake", "first.canonical")
-        later = settled.join(shared.withColumnRenamed("canonical", "_first"), ["kind", "fake"]).where("canonical != _first").select("kind", "canonical")
-        real = settled.join(entities.select("kind", F.col("canonical").alias("fake")), ["kind", "fake"], "left_semi").select("kind", "canonical")
+        shared = settled.groupBy("space", "fake").agg(F.min(F.struct("attempt", "kind", "canonical")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        shared = shared.select("space", "fake", F.col("first.kind").alias("_kind"), F.col("first.canonical").alias("_first"))
+        later = settled.join(shared, ["space", "fake"]).where("canonical != _first or kind != _kind").select("kind", "canonical")
+        real = settled.join(entities.select("space", F.col("canonical").alias("fake")).distinct(), ["space", "fake"], "left_semi").select("kind", "canonical")
         again = cut(later.union(real).distinct())
         if again.isEmpty():
-            return settled
+            return settled.drop("space")
         attempt += 1
-        anew = again.withColumn("attempt", F.lit(attempt)).withColumn("fake", F.expr(_fake(key, "kind", "canonical", "attempt")))
+        anew = settled.join(again, ["kind", "canonical"], "left_semi").withColumn("attempt", F.lit(attempt)).withColumn("fake", F.expr(_fake(key, "kind", "canonical", "gender", "attempt")))
         settled = cut(settled.join(again, ["kind", "canonical"], "left_anti").unionByName(anew))
 
 
@@ -232,46 +252,51 @@ def replace(docs: DataFrame, *, secret: str = "strataflow", text: str = "text",
     """``docs`` with personal data in ``text`` replaced, and ``_n_entities``
     and ``_kinds`` (sorted distinct types) added.
 
-    Types: email, phone, card, ip, ssn, iban, secret, and names after a title.
-    Phones keep country code and punctuation, cards their first digit and
-    validity, secrets and addresses their kinds of characters, names their
-    script and the gender of their title.  Mail goes to domains under
-    example.net.  All columns of ``docs`` are kept.  A null text stays null and
-    holds no entity; texts without entities stay as they are; repeated rows
-    each come back alike; an empty table gives an empty result.  A secret of any
-    length is one entity.
+    Types: email, phone, card, ip, ssn, iban, secret, and names after a title,
+    given and surname.  Phones keep country code and punctuation, cards their
+    first digit and validity, secrets and addresses their kinds of characters,
+    names their script and gender: a given name has the gender that most
+    documents' titles before it say (of equal ones the female; none if no title
+    tells), whatever title it stands after.  In a text with a name after a title
+    the name is replaced wherever it is a word, written alike; in other texts an
+    untitled name stays.  Mail goes to domains under example.net.
+
+    All columns of ``docs`` are kept, but for columns named ``_n_entities`` or
+    ``_kinds``, which the new ones replace; no other name clashes.  A null text
+    stays null and holds no entity; texts without entities stay as they are;
+    repeated rows each come back alike; an empty table gives an empty result.  A
+    secret or address of any length is one entity.  ``docs`` is read twice.
     """
-    body = docs.withColumn("_m", _matches(text))
-    found = body.select(F.explode("_m").alias("m")).select(F.explode(F.expr(_entities("m"))).alias("e")).select("e.kind", "e.canonical").distinct()
-    # digests of fewer than six digits could not be kept distinct; the pattern finds none
-    odd = surrogates(found, secret).where("attempt > 0").select(F.concat_ws("|", "kind", "canonical").alias("name"), "fake")
-    odd = cut(odd)
-    n = odd.count()
-    if n == 0:
-        exceptions = None
-    elif n <= MAP_LIMIT:
-        exceptions = "_x"
-        pairs = [x for r in odd.collect() for x in (F.lit(r["name"]), F.lit(r["fake"]))]
-        body = body.withColumn("_x", F.create_map(*pairs))
-    else:
-        exceptions = "_x"
-        mark = F.xxhash64(text)
-        own = (
-            docs.select(F.col(key).alias("_k"), mark.alias("_h"), F.explode(_matches(text)).alias("m"))
-            .select("_k", "_h", F.explode(F.expr(_entities("m"))).alias("e"))
-            .select("_k", "_h", F.concat_ws("|", "e.kind", "e.canonical").alias("name"))
-            .distinct()
-            .join(odd, "name")
-            .groupBy("_k", "_h")
-            .agg(F.map_from_entries(F.collect_list(F.struct("name", "fake"))).alias("_x"))
-        )
-        body = body.join(own, F.col(key).eqNullSafe(F.col("_k")) & (mark == F.col("_h")), "left").drop("_k", "_h")
-    out = body.withColumn(
-        text,
-        F.when(
-            F.size("_m") > 0,
-            F.expr(f"array_join(zip_with(split(`{text}`, {_sql(ENTITY)}, -1), array_append(transform(_m, m -> {_replaced(secret, 'm', exceptions)}), ''), (a, b) -> concat(a, b)), '')"),
-        ).otherwise(F.col(text)),
+    body = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text).alias("_t"), F.col(key).alias("_k"))
+    body = body.withColumn("_m", _matches("_t"))
+    mark = F.xxhash64("_t")
+    # a row for each distinct entity of a text
+    own = body.select("_k", mark.alias("_h"), F.explode(F.expr(f"array_distinct(flatten(transform(_m, m -> {_entities('m')})))")).alias("e"))
+    own = cut(own.select("_k", "_h", "e.kind", "e.canonical", "e.gender").distinct())
+    tell = lambda g: F.count(F.when(F.col("gender") == g, True))
+    found = own.groupBy("kind", "canonical").agg(tell("f").alias("f"), tell("m").alias("m"), tell("").alias("none"))
+    gender = F.when(F.col("f") + F.col("m") == 0, "").when(F.col("f") >= F.col("m"), "f").otherwise("m")
+    mixed = (F.col("f") > 0).cast("int") + (F.col("m") > 0).cast("int") + (F.col("none") > 0).cast("int") > 1
+    found = cut(found.select("kind", "canonical", gender.alias("gender"), mixed.alias("mixed")))
+    odd = surrogates(found, secret).join(found.select("kind", "canonical", "mixed"), ["kind", "canonical"]).where("attempt > 0 or mixed")
+    looked_up = cut(
+        own.join(odd.select("kind", "canonical", "fake"), ["kind", "canonical"])
+        .select("_k", "_h", F.concat_ws("|", "kind", "canonical").alias("name"), "fake")
+        .distinct()
+        .groupBy("_k", "_h")
+        .agg(F.map_from_entries(F.collect_list(F.struct("name", "fake"))).alias("_x"))
     )
+    n = looked_up.count()
+    exceptions = "_x" if n else None
+    if n:
+        looked_up = looked_up.withColumnsRenamed({"_k": "_k2", "_h": "_h2"})
+        if n <= BROADCAST_LIMIT:
+            looked_up = F.broadcast(looked_up)
+        body = body.join(looked_up, F.col("_k").eqNullSafe(F.col("_k2")) & (mark == F.col("_h2")), "left")
+    filled = f"array_join(zip_with(split(_t, {_sql(ENTITY)}, -1), array_append(transform(_m, m -> {_replaced(secret, 'm', exceptions)}), ''), (a, b) -> concat(a, b)), '')"
+    out = body.withColumn("_new", F.when(F.size("_m") > 0, F.expr(filled)).otherwise(F.col("_t")))
+    person = f"exists(_m, m -> {_is_person('m')})"
+    out = out.withColumn("_new", F.expr(f"if({person}, {_renamed(secret, '_new', exceptions)}, _new)"))
     kinds = F.expr(f"sort_array(array_distinct(transform(flatten(transform(_m, m -> {_entities('m')})), e -> e.kind)))")
-    return out.withColumn("_n_entities", F.size("_m")).withColumn("_kinds", kinds).drop("_m", "_x")
+    kept = [(F.col("_new") if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns if c not in ("_n_entities", "_kinds")]
+    return out.select(*kept, F.size("_m").alias("_n_entities"), kinds.alias("_kinds"))
