@@ -44,6 +44,40 @@ def release(spark: SparkSession) -> None:
         time.sleep(1)
 
 
+def tidy() -> None:
+    """Gives the free memory of a Python worker back.  Workers stay for later
+    tasks, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
+def tidied(run):
+    """``run``, a function of batches, that tidies up after its last one."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            tidy()
+
+    return wrapped
+
+
+def kept_rows(batch, keep: list[bool], at_once: int = 512):
+    """The rows of an Arrow batch that stay, in small batches."""
+    import pyarrow as pa
+
+    for start in range(0, batch.num_rows, at_once):
+        yield batch.slice(start, at_once).filter(pa.array(keep[start : start + at_once], pa.bool_()))
+
+
 def range_edges(df: DataFrame, key: str, buckets: int) -> list[int]:
     """At most ``buckets - 1`` increasing cut points of a whole-number column.
 

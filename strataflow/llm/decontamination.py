@@ -16,12 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes
+from .common import column_bytes, kept_rows, tidied
 from .substring_dedup import _Powers, window_hashes
 
 RADIUS = 23
 BLOCKS = 8
 ITEM_BYTES = 8 << 20  # of items in one broadcast block
+AT_ONCE = 1 << 22  # windows times items that are looked up at a time
 _PUNCTUATION = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 
 
@@ -107,7 +108,10 @@ class _Index:
                 np.add.at(near, p + 1, -1)
                 starts = np.flatnonzero(np.cumsum(near)[: len(words) - size + 1] > 0)
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    self._look_up(h, run, count, size, length, own, threshold, best)
+                    # by pieces: a piece's table has a byte for each of its windows and each item of this length
+                    step = max(1, AT_ONCE // len(self.tables[length][0]))
+                    for at in range(0, len(run), step):
+                        self._look_up(h, run[at : at + step], count, size, length, own, threshold, best)
         return best
 
     def _look_up(self, h, starts, count, size, length, own, threshold, best):
@@ -204,12 +208,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, *, text: str = "text",
     for index in _indexes(items, item_key, item_text, width):
 
         def run(batches, index=index):
-            import pyarrow as pa
-
             powers = _Powers()
             for batch in batches:
-                keep = [not index.matches(words_of(value), powers, threshold) for value in column_bytes(batch, at)]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+                yield from kept_rows(batch, [not index.matches(words_of(value), powers, threshold) for value in column_bytes(batch, at)])
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidied(run), docs.schema)
     return docs

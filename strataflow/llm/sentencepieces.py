@@ -26,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes
+from .common import column_bytes, tidied, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20  # of text
@@ -155,6 +155,7 @@ def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None =
     """
     whole = parts is None
 
+    @tidied
     def run(batches):
         import zlib
 
@@ -397,6 +398,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
             out = spread(by_word, ends[:-1][words], np.diff(ends)[words])
             offsets = np.append(0, np.cumsum(np.diff(ends)[words]))[np.append(0, np.cumsum(counts))].astype(np.int32)
             stored = pa.ipc.open_stream(keys.as_py()).read_all()
+            tidy()
             return pa.table({"_key": stored.column("key").combine_chunks(), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(out, pa.int32()))})
         raise RuntimeError("docs gave other rows on its second reading; write it to files first")
 
