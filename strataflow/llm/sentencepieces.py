@@ -35,6 +35,8 @@ COMMON = 1 << 17  # units whose paths are broadcast
 LOOK = 5000  # documents, on average, in which the common units are counted
 LISTED = 1 << 16  # blocks, about, in one list of those that have a unit
 UNIT = 48  # characters of a unit whose edges are packed
+#: A unit's place in the corpus is one long: partition and block in it (32 bits), number in the block (26), checksum (5).
+BLOCKS, NUMBERS, CHECK = 1 << 12, 1 << 26, 5
 HEADS = 1 << 16  # slots of the table of piece lengths by first characters
 MAX_PIECES = 1_000_000
 #: One piece of the model, a superscript two and a full stop, is of both kinds of characters; its runs stay together.
@@ -136,8 +138,9 @@ def _common(docs: DataFrame, text: str, rows: int, vocabulary: Vocabulary):
 
     sample = docs.select(F.col(text).alias("_text")).sample(min(1.0, LOOK / max(rows, 1)), seed=5)
     counts = sample.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and unit <> '\n'")
-    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).alias("part"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("name"))
-    got = best_paths(top, vocabulary).select("unit", "ids").toArrow().combine_chunks()
+    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).alias("part"), (-F.col("n")).alias("place"))
+    # the most common first: small numbers take little space
+    got = best_paths(top, vocabulary).select("unit", "ids", F.col("places")[0].alias("n")).toArrow().sort_by([("n", "ascending"), ("unit", "ascending")]).combine_chunks()
     ids = got.column("ids").combine_chunks()
     line = vocabulary.byte_base + 10 if vocabulary.byte_base >= 0 else vocabulary.unknown
     starts = np.cumsum([0, *ids.value_lengths().to_pylist(), 1])
@@ -146,8 +149,8 @@ def _common(docs: DataFrame, text: str, rows: int, vocabulary: Vocabulary):
 
 def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None = None) -> DataFrame:
     """``block, keys, texts`` (the documents of a block, see :func:`_opened`)
-    or, given ``parts``, ``unit, part, block, name`` for a block's units that
-    aren't common; ``name`` holds the unit's number in the block and 8 bits of
+    or, given ``parts``, ``unit, part, place`` for a block's units that aren't
+    common; ``place`` holds the block, the unit's number in it and 5 bits of
     its checksum, ``part`` is the remainder of the block by ``parts``.
 
     A block is named by partition and place, so both readings of ``docs`` must
@@ -163,30 +166,40 @@ def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() * BLOCKS
         shared = len(common.value[0])
         known = dict(zip(common.value[0], range(shared)))
         words, keys, counts, texts, size = defaultdict(itertools.count().__next__), [], [], [], 0
 
         def done():
             own: dict[str, int] = {}
-            flat, lens = [], []
+            first, rest, lens = [], [], []
             for word in words:
                 units = _units(word)
                 lens.append(len(units))
-                for unit in units:
+                for at, unit in enumerate(units):
                     n = known.get(unit)
-                    flat.append(own.setdefault(unit, shared + len(own)) if n is None else n)
-            marks = np.fromiter((zlib.crc32(unit.encode()) & 255 for unit in own), np.uint8, len(own))
+                    n = own.setdefault(unit, shared + len(own)) if n is None else n
+                    (rest if at else first).append(n)
+            if len(own) >= NUMBERS or block % BLOCKS == BLOCKS - 1:
+                raise ValueError("a partition or a text of docs is too large; give docs more partitions")
+            marks = np.fromiter((zlib.crc32(unit.encode()) & (1 << CHECK) - 1 for unit in own), np.uint8, len(own))
             if whole:
-                payload = _closed(np.array(counts, np.int32), np.concatenate([*texts, np.empty(0, np.int32)]), np.array(lens, np.int32), np.array(flat, np.int32), marks)
+                # words in order of their first unit: its numbers have small steps, and common words small numbers
+                first, lens = np.array(first, np.int32), np.array(lens, np.int64)
+                order = np.argsort(first, kind="stable")
+                moved = np.empty(len(order), np.int32)
+                moved[order] = np.arange(len(order), dtype=np.int32)
+                more = lens - 1
+                rest = _spread(np.array(rest, np.int32), (np.cumsum(more) - more)[order], more[order])
+                payload = _closed(np.array(counts, np.int32), moved[np.concatenate([*texts, np.empty(0, np.int32)])], lens[order].astype(np.int32), np.diff(first[order], prepend=np.int32(0)), rest, marks)
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_stored(pa.table({"key": pa.chunked_array(keys)}))], pa.binary()), pa.array([payload], pa.list_(pa.binary()))], ["block", "keys", "texts"])
             elif own:
                 listed, n = list(own), len(own)
                 for at in range(0, n, BATCH):
                     m = min(BATCH, n - at)
-                    names = np.arange(at, at + m, dtype=np.int64) << 8 | marks[at : at + m]
-                    yield pa.record_batch([pa.array(listed[at : at + m], pa.string()), pa.array(np.full(m, block % parts, np.int32)), pa.array(np.full(m, block, np.int64)), pa.array(names)], ["unit", "part", "block", "name"])
+                    places = (block * NUMBERS + np.arange(at, at + m, dtype=np.int64) << CHECK) | marks[at : at + m]
+                    yield pa.record_batch([pa.array(listed[at : at + m], pa.string()), pa.array(np.full(m, block % parts, np.int32)), pa.array(places)], ["unit", "part", "place"])
 
         for batch in batches:
             start = 0
@@ -210,7 +223,7 @@ def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None =
         if size:
             yield from done()
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, keys binary, texts array<binary>" if whole else "unit string, part int, block long, name long")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, keys binary, texts array<binary>" if whole else "unit string, part int, place long")
 
 
 def _closed(*arrays) -> list[bytes]:
@@ -229,7 +242,21 @@ def _opened(payload: list[bytes]):
     import zstandard
 
     *numbers, marks = (np.frombuffer(zstandard.decompress(x), np.uint8) for x in payload)
-    return [np.ascontiguousarray(x.reshape(4, -1).T).view(np.int32).ravel() for x in numbers], marks
+    counts, words, lens, first, rest = (np.ascontiguousarray(x.reshape(4, -1).T).view(np.int32).ravel() for x in numbers)
+    begins = np.cumsum(lens) - lens
+    flat = np.empty(int(lens.sum()), np.int32)
+    later = np.ones(len(flat), bool)
+    later[begins] = False
+    flat[begins], flat[later] = np.cumsum(first), rest
+    return counts, words, lens, flat, marks
+
+
+def _spread(values, starts, sizes):
+    """The runs of ``values`` that begin at ``starts``, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(sizes)
+    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _stored(table) -> bytes:
@@ -297,9 +324,9 @@ def _long_paths(distinct: DataFrame, vocabulary: Vocabulary, spell: int) -> Data
                         path.extend([v.byte_base + b for b in reversed(piece.encode())] if v.byte_base >= 0 else [v.unknown])
                     stop = back[stop]
                 ids.append(path[::-1])
-            yield pa.record_batch([batch.column(1), batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "blocks", "ids"])
+            yield pa.record_batch([batch.column(1), batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["unit", "places", "ids"])
 
-    return distinct.select("blocks", "unit").mapInArrow(run, "unit string, blocks array<struct<block:long,name:long>>, ids array<int>")
+    return distinct.select("places", "unit").mapInArrow(run, "unit string, places array<long>, ids array<int>")
 
 
 def _lengths(vocabulary: Vocabulary) -> str:
@@ -316,8 +343,8 @@ def _lengths(vocabulary: Vocabulary) -> str:
 
 
 def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``unit, blocks, ids`` of every distinct ``unit`` and ``part`` of
-    ``units``, with the ``block`` and ``name`` of its rows.
+    """``unit, places, ids`` of every distinct ``unit`` and ``part`` of
+    ``units``, with the ``place`` of each of its rows.
 
     A character without a piece has an edge of its own that costs more than any
     path of pieces and stands for its bytes.  Only substrings that are no longer
@@ -326,10 +353,11 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spell = 100 * max((c for _, _, c in vocabulary.pieces), default=0) + 1
     # bounded: MAX_PIECES
     pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
-    listed = units.groupBy("unit", "part").agg(F.collect_list(F.struct("block", "name")).alias("blocks"))
-    distinct = listed.where(F.length("unit") <= UNIT)
+    # the length as an aggregate: a filter on it stays above the shuffle, which both branches then share
+    listed = units.groupBy("unit", "part").agg(F.collect_list("place").alias("places"), F.max(F.length("unit")).alias("_n"))
+    distinct = listed.where(F.col("_n") <= UNIT)
     # start -1: a row that stands for the unit itself
-    starts = distinct.select("unit", "part", "blocks", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("blocks", F.when(F.col("start") < 0, F.col("blocks")))
+    starts = distinct.select("unit", "part", "places", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("places", F.when(F.col("start") < 0, F.col("places")))
     longest = f"element_at({_lengths(vocabulary)}, 1 + cast(pmod(xxhash64(substr(unit, start + 1, 3)), {HEADS}L) as int))"
     stops = starts.select(
         "*",
@@ -342,13 +370,13 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .select(
             "unit",
             "part",
-            "blocks",
+            "places",
             F.expr(f"if(start < 0, null, shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(coalesce(cost, {spell}L), {_COST}) | coalesce(id, {_SPELLED}L))").alias("edge"),
         )
     )
-    grouped = edges.groupBy("unit", "part").agg(F.first("blocks", ignorenulls=True).alias("blocks"), F.collect_list("edge").alias("edges"))
-    paths = grouped.select("unit", "blocks", F.expr(_viterbi(vocabulary)).alias("ids"))
-    return paths.unionByName(_long_paths(listed.where(F.length("unit") > UNIT), vocabulary, spell))
+    grouped = edges.groupBy("unit", "part").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
+    paths = grouped.select("unit", "places", F.expr(_viterbi(vocabulary)).alias("ids"))
+    return paths.unionByName(_long_paths(listed.where(F.col("_n") > UNIT), vocabulary, spell))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -370,32 +398,31 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     common = _common(docs, text, rows, vocabulary)
     parts = 1 + (size + 16 * rows) // BLOCK_BYTES // LISTED
-    paths = best_paths(_blocks(docs, key, text, common, parts=parts), vocabulary).select(F.explode("blocks").alias("_b"), "ids").select("_b.block", "_b.name", "ids")
+    packed = F.expr("unhex(array_join(transform(ids, i -> lpad(hex(i), 6, '0')), ''))")  # three bytes an id
+    paths = best_paths(_blocks(docs, key, text, common, parts=parts), vocabulary).select("places", packed.alias("ids")).select(F.explode("places").alias("place"), "ids")
+    paths = paths.select(F.shiftright("place", CHECK + 26).alias("block"), F.expr(f"cast(place & {(NUMBERS << CHECK) - 1}L as int)").alias("name"), "ids")
 
     def run(texts, paths):
         import numpy as np
         import pyarrow as pa
 
-        def spread(values, starts, sizes):
-            """The runs of ``values`` that begin at ``starts``, one after the other."""
-            ends = np.cumsum(sizes)
-            return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-
         _, ids, starts = common.value
         shared = len(starts) - 1
         for keys, payload in zip(texts.column("keys"), texts.column("texts").to_pylist()):
-            (counts, words, lens, flat), marks = _opened(payload)
+            counts, words, lens, flat, marks = _opened(payload)
             names = paths.column("name").to_numpy()
-            if len(names) != len(marks) or (marks[names >> 8] != names & 255).any():
+            if len(names) != len(marks) or (marks[names >> CHECK] != names & (1 << CHECK) - 1).any():
                 break
-            own = paths.column("ids").combine_chunks()
+            packed = paths.column("ids").combine_chunks().cast(pa.large_binary())
+            begins = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int64)
+            own = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[begins[0] : begins[-1]].reshape(-1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
             first, length = np.empty(shared + len(marks), np.int64), np.empty(shared + len(marks), np.int64)
             first[:shared], length[:shared] = starts[:-1], np.diff(starts)
-            length[shared + (names >> 8)] = more = own.value_lengths().to_numpy(zero_copy_only=False)
-            first[shared + (names >> 8)] = len(ids) + np.cumsum(more) - more
-            by_word = spread(np.concatenate([ids, own.flatten().to_numpy(zero_copy_only=False)]), first[flat], length[flat])
+            first[shared + (names >> CHECK)] = len(ids) + (begins[:-1] - begins[0]) // 3
+            length[shared + (names >> CHECK)] = np.diff(begins) // 3
+            by_word = _spread(np.concatenate([ids, own]), first[flat], length[flat])
             ends = np.append(0, np.cumsum(length[flat]))[np.append(0, np.cumsum(lens))]
-            out = spread(by_word, ends[:-1][words], np.diff(ends)[words])
+            out = _spread(by_word, ends[:-1][words], np.diff(ends)[words])
             offsets = np.append(0, np.cumsum(np.diff(ends)[words]))[np.append(0, np.cumsum(counts))].astype(np.int32)
             stored = pa.ipc.open_stream(keys.as_py()).read_all()
             tidy()
