@@ -7,6 +7,10 @@ hashes that start in several documents and marks those starts that are not in
 the document of smallest key.  The marks go back to their documents, where
 overlapping windows merge into maximal removal intervals.
 
+The bucket comes from a second hash of the window, so windows count as equal
+only if 64 bits of the one and the bucket of the other agree: at 100 TB, with
+some 2**23 buckets, that is 87 bits.
+
 A whole bucket is bounded: the number of buckets grows with the bytes of text,
 and before the shuffle each task keeps only one start of a hash among its
 documents (of the smallest key) for counting, and sends the others on as marks,
@@ -46,22 +50,37 @@ class _Powers:
         return self.up[:n], self.down[:n]
 
 
-def window_hashes(words: list[bytes], window: int, powers: _Powers):
-    """The Rabin-Karp hash of each window of a list of words, mixed."""
+def word_digests(words: list[bytes]):
     import numpy as np
     import xxhash
 
-    n = len(words)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def mixed(h):
+    """splitmix64: equal numbers stay equal, and remainders come out even."""
+    import numpy as np
+
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def rolled(digests, window: int, powers: _Powers):
+    """The Rabin-Karp hash of each window of a sequence of digests, mixed."""
+    import numpy as np
+
+    n = len(digests)
     if n < window:
         return np.empty(0, np.uint64)
     up, down = powers.upto(n)
-    digests = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, n)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(digests * down, dtype=np.uint64)))
-    h = (sums[window:] - sums[:-window]) * up[: n - window + 1]
-    # splitmix64: equal sums stay equal, and buckets come out even
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    return mixed((sums[window:] - sums[:-window]) * up[: n - window + 1])
+
+
+def window_hashes(words: list[bytes], window: int, powers: _Powers):
+    """The Rabin-Karp hash of each window of a list of words."""
+    return rolled(word_digests(words), window, powers)
 
 
 def _planes(values) -> bytes:
@@ -103,19 +122,17 @@ def _starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
                 yield (int(bucket[own[0]]), marked, b"" if marked else h[own].tobytes(), _planes(place[own]), _planes(keys[there]), sums[there].tobytes(), _planes(counts.astype(np.uint32)))
 
         def block(found):
-            keys = np.array([k for k, _, _ in found], np.int64)
-            sums = np.array([c for _, c, _ in found], np.uint32)
-            lens = [len(x) for _, _, x in found]
-            h = np.concatenate([x for _, _, x in found])
+            keys, sums = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.uint32)
+            lens = [len(x[2]) for x in found]
+            h, bucket = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
             doc = np.repeat(np.arange(len(found), dtype=np.int32), lens)
             place = np.concatenate([np.arange(n, dtype=np.uint32) for n in lens])
-            order = np.lexsort((keys[doc], h))
-            first = np.diff(h[order], prepend=~h[order[:1]]) != 0
+            order = np.lexsort((keys[doc], bucket, h))
+            first = (np.diff(h[order], prepend=~h[order[:1]]) != 0) | (np.diff(bucket[order], prepend=-1) != 0)
             least = keys[doc[order]][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
             late = np.zeros(len(h), bool)
             late[order] = keys[doc[order]] > least
             del order, first, least
-            bucket = (h % np.uint64(buckets)).astype(np.int32)
             out = list(rows(False, bucket[~late], h[~late], place[~late], doc[~late], keys, sums))
             if late.any():
                 own = (keys[doc[late]] % buckets).astype(np.int32)
@@ -126,9 +143,10 @@ def _starts(docs: DataFrame, window: int, buckets: int) -> DataFrame:
         found, n = [], 0
         for batch in batches:
             for key, text in zip(batch.column(0), column_bytes(batch, "_text")):
-                h = window_hashes((text or b"").split(), window, powers)
+                digests = word_digests((text or b"").split())
+                h = rolled(digests, window, powers)
                 if len(h):
-                    found.append((key.as_py(), zlib.crc32(text), h))
+                    found.append((key.as_py(), zlib.crc32(text), h, (rolled(mixed(digests), window, powers) % np.uint64(buckets)).astype(np.int64)))
                     n += len(h)
                 if n >= BLOCK:
                     yield from block(found)
@@ -189,14 +207,14 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, key: str = "doc_id", te
 
     A null text has no words; a text of fewer than ``window`` words loses
     none.  Rows of equal key don't make each other go, whatever their texts;
-    each is judged against smaller keys.  A row of null key counts as later
-    than all others and comes back with a null key.  An empty table gives an
-    empty result.  Two windows are held to be equal if their 64-bit hashes are.
+    each is judged against smaller keys.  Keys are whole numbers; a row of null
+    key counts as later than all others (as one of the largest long), and every
+    row comes back with its own key.  An empty table gives an empty result.
     """
     last = (1 << 63) - 1
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("_key"), F.col(text).alias("_text"))
+    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(last)).alias("_key"), F.col(text).alias("_text"), F.col(key).alias("_own"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    marks = cut(_mark(_starts(rows, window, max(64, -(-size // BUCKET_BYTES)))))
+    marks = cut(_mark(_starts(rows.select("_key", "_text"), window, max(64, -(-size // BUCKET_BYTES)))))
     release(docs.sparkSession)  # the windows' shuffle files are no longer needed
     marks = marks.groupBy("_key", "_sum").agg(F.collect_list("starts").alias("starts"))
 
@@ -224,9 +242,10 @@ def remove_repeats(docs: DataFrame, *, window: int = 50, key: str = "doc_id", te
             span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.record_batch(
                 [batch.column(0), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], span), pa.array(columns[3], pa.binary()).cast(pa.string())],
-                ["_key", "n_words", "n_removed", "intervals", "kept_text"],
+                ["_own", "n_words", "n_removed", "intervals", "kept_text"],
             )
 
     met = rows.withColumn("_sum", F.crc32(F.coalesce("_text", F.lit("")).cast("binary"))).join(marks, ["_key", "_sum"], "left")
-    out = met.select("_key", "_text", "starts").mapInArrow(run, "_key long, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string")
-    return out.select(F.when(F.col("_key") != last, F.col("_key")).alias(key), "n_words", "n_removed", "intervals", "kept_text")
+    kind = docs.schema[key].dataType.simpleString()
+    out = met.select("_own", "_text", "starts").mapInArrow(run, f"_own {kind}, n_words long, n_removed long, intervals array<struct<start:long,end:long>>, kept_text string")
+    return out.withColumnRenamed("_own", key)
