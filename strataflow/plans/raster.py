@@ -263,10 +263,10 @@ def flood_fill(spark, sf):
     return networks.flood_fill(T.cells(spark, sf), "v < 190", "r = 0")
 
 
-@query(oracle(", ok AS (SELECT district, r, c FROM cells WHERE v < 170), f AS (SELECT district, r, c FROM ok WHERE r = 20 AND c = 20 UNION SELECT o.district, o.r, o.c FROM f JOIN ok o ON o.district = f.district AND greatest(abs(o.r - f.r), abs(o.c - f.c)) = 1) SELECT DISTINCT district, r, c FROM f", "cells", recursive=True))
+@query(oracle(", ok AS (SELECT district, r, c FROM cells WHERE v % 97 < 55), f AS (SELECT district, r, c FROM ok WHERE r BETWEEN 19 AND 21 AND c BETWEEN 19 AND 21 UNION SELECT o.district, o.r, o.c FROM f JOIN ok o ON o.district = f.district AND greatest(abs(o.r - f.r), abs(o.c - f.c)) = 1) SELECT DISTINCT district, r, c FROM f", "cells", recursive=True))
 def road_reach(spark, sf):
     """What stays reachable from a centre over eight neighbours."""
-    return networks.flood_fill(T.cells(spark, sf), "v < 170", "r = 20 and c = 20", diagonal=True)
+    return networks.flood_fill(T.cells(spark, sf), "v % 97 < 55", "r between 19 and 21 and c between 19 and 21", diagonal=True)
 
 
 @query()
@@ -307,25 +307,35 @@ def place_facilities(spark, sf):
     return T.settlements(spark, sf).selectExpr("id", "id * 3 % 7 as share").where("share > 0").withColumn("n", F.explode(F.expr("sequence(0L, share - 1)"))).select("id", "n")
 
 
-@query(oracle("SELECT district, r, c, true AS solved FROM cells", "cells"))
+def rating(h: str) -> str:
+    """The discharge at a depth, numbers as doubles in both engines."""
+    return M.conveyance(h, "width", "0.045e0", "3.2e0", "1100.0e0").replace("5.0 / 3.0", "5e0 / 3e0").replace("0.0)", "0e0)")
+
+
+STAGE = f"""WITH RECURSIVE g AS ({T.CELLS}), s AS (SELECT district, r, c, 5e0 + v * 8 AS q, 20e0 + v % 97 AS width, 0e0 AS lo, 30e0 AS hi, 0 AS i FROM g
+ UNION ALL SELECT district, r, c, q, width, CASE WHEN {rating('((lo + hi) / 2)')} < q THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {rating('((lo + hi) / 2)')} < q THEN hi ELSE (lo + hi) / 2 END, i + 1 FROM s WHERE i < 22)
+ SELECT district, r, c, round((lo + hi) / 2, 3) AS depth FROM s WHERE i = 22"""
+
+
+@query(STAGE)
 def stage_bisect(spark, sf):
-    """Depth that carries a discharge, by 22 halvings inside one expression;
-    solved says whether the rating curve gives the discharge back."""
-    cells = T.cells(spark, sf).selectExpr("district", "r", "c", "5.0D + v * 8 as q", "20.0D + v % 97 as width")
+    """Depth that carries a discharge, by 22 halvings of 0 to 30 m inside one expression."""
+    cells = T.cells(spark, sf).selectExpr("district", "r", "c", "5e0 + v * 8 as q", "20e0 + v % 97 as width")
+    halves = f"aggregate(sequence(1, 22), named_struct('lo', 0e0, 'hi', 30e0), (a, i) -> if({rating('((a.lo + a.hi) / 2)')} < q, named_struct('lo', (a.lo + a.hi) / 2, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) / 2)), a -> (a.lo + a.hi) / 2)"
+    return cells.select("district", "r", "c", F.round(F.expr(halves), 3).alias("depth"))
 
-    def rating(h: str) -> str:
-        return M.conveyance(h, "width", "0.045D", "3.2D", "1100.0D").replace("5.0 / 3.0", "5D / 3D")
 
-    halves = f"aggregate(sequence(1, 48), named_struct('lo', 0D, 'hi', 30D), (a, i) -> if({rating('((a.lo + a.hi) / 2)')} < q, named_struct('lo', (a.lo + a.hi) / 2, 'hi', a.hi), named_struct('lo', a.lo, 'hi', (a.lo + a.hi) / 2)), a -> (a.lo + a.hi) / 2)"
-    return cells.withColumn("h", F.expr(halves)).select("district", "r", "c", F.expr(f"abs({rating('h')} - q) <= 0.02D * q").alias("solved"))
+NEWTON = "{t} - (2 * {t} + sin(2 * {t}) - pi() * sin(radians(lat))) / (2 + 2 * cos(2 * {t}))"
+RADIUS_KM = M.EARTH_KM
+MOLLWEIDE = f"""WITH RECURSIVE p AS ({T.POINTS}), s AS (SELECT k, lat, lon, radians(lat) AS t, 0 AS i FROM p UNION ALL SELECT k, lat, lon, {NEWTON.format(t='t')}, i + 1 FROM s WHERE i < 60)
+ SELECT k, round(CAST({RADIUS_KM} AS DOUBLE) * 2 * sqrt(2e0) / pi() * radians(lon) * cos(t), 4) + 0.0 AS x, round(CAST({RADIUS_KM} AS DOUBLE) * sqrt(2e0) * sin(t), 4) + 0.0 AS y FROM s WHERE i = 60"""
 
 
-@query(oracle("SELECT k, true AS solved FROM points", "points"))
+@query(MOLLWEIDE)
 def mollweide(spark, sf):
-    """The equal-area projection's angle by Newton steps in one expression."""
-    theta = "aggregate(sequence(1, 60), radians(lat), (t, i) -> t - (2 * t + sin(2 * t) - pi() * sin(radians(lat))) / (2 + 2 * cos(2 * t)))"
-    p = T.points(spark, sf).withColumn("t", F.expr(theta))
-    return p.select("k", F.expr("abs(2 * t + sin(2 * t) - pi() * sin(radians(lat))) < 1e-9D").alias("solved"))
+    """The equal-area projection in km, its angle by 60 Newton steps in one expression."""
+    p = T.points(spark, sf).withColumn("t", F.expr(f"aggregate(sequence(1, 60), radians(lat), (t, i) -> {NEWTON.format(t='t')})"))
+    return p.selectExpr("k", f"round({RADIUS_KM}D * 2 * sqrt(2e0) / pi() * radians(lon) * cos(t), 4) + 0e0 as x", f"round({RADIUS_KM}D * sqrt(2e0) * sin(t), 4) + 0e0 as y")
 
 
 @query("SELECT k, array_max_n AS n FROM (SELECT range AS k, greatest(range % 5 + 3, range % 7 + 3) AS array_max_n FROM range(20))")
@@ -335,16 +345,18 @@ def ring_largest_part(spark, sf):
     return parts.select("k", F.expr("array_max(transform(parts, p -> struct(cast(size(p) as bigint) as n, p))).n").alias("n"))
 
 
-@query()
+SHAPES = {
+    "convective": "exp(-0.5e0 * pow((t - 33.6e0) / 8.64e0, 2))",
+    "orographic": "(0.55e0 + 0.45e0 * pow(sin(2 * pi() * t / 40.32e0), 2)) * (exp(-0.5e0 * pow((t - 43.2e0) / 31.68e0, 2)) + 0.35e0)",
+    "depression": "exp(-0.5e0 * pow((t - 28.8e0) / 15.36e0, 2)) + 0.85e0 * exp(-0.5e0 * pow((t - 63.36e0) / 19.2e0, 2))",
+}
+
+
+@query("WITH h AS (SELECT range AS t FROM range(96)), w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS shape, t, {e} AS w FROM h" for n, e in SHAPES.items()) + ") SELECT shape, t, round(w / sum(w) OVER (PARTITION BY shape), 9) AS share FROM w")
 def hyetograph(spark, sf):
     """Storm shapes over 96 hours; each sums to one."""
-    shapes = {
-        "convective": "exp(-0.5D * pow((t - 33.6D) / 8.64D, 2))",
-        "orographic": "(0.55D + 0.45D * pow(sin(2 * pi() * t / 40.32D), 2)) * (exp(-0.5D * pow((t - 43.2D) / 31.68D, 2)) + 0.35D)",
-        "depression": "exp(-0.5D * pow((t - 28.8D) / 15.36D, 2)) + 0.85D * exp(-0.5D * pow((t - 63.36D) / 19.2D, 2))",
-    }
-    t = spark.range(96).withColumnRenamed("id", "t").select("t", *[F.expr(e).alias(n) for n, e in shapes.items()]).unpivot(["t"], list(shapes), "shape", "w")
-    return t.select("shape", "t", (F.col("w") / F.sum("w").over(W.partitionBy("shape"))).alias("share"))
+    t = spark.range(96).withColumnRenamed("id", "t").select("t", *[F.expr(e).alias(n) for n, e in SHAPES.items()]).unpivot(["t"], list(SHAPES), "shape", "w")
+    return t.select("shape", "t", F.round(F.col("w") / F.sum("w").over(W.partitionBy("shape")), 9).alias("share"))
 
 
 @query()

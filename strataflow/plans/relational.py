@@ -28,21 +28,21 @@ def lookup_join(spark, sf):
     return T.table(spark, sf, "nation").join(T.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
-@query(oracle(", norms AS (SELECT printf('%.2f,%.2f', lat, lon) AS place, avg(pop) AS norm FROM points WHERE k % 2 = 0 GROUP BY 1) SELECT k, norm FROM points LEFT JOIN norms ON printf('%.2f,%.2f', lat, lon) = place", "points"))
+@query(oracle(", norms AS (SELECT printf('%.2f,%.2f', lat, lon) AS place, avg(pop) AS norm FROM points WHERE pop > 0 GROUP BY 1) SELECT k, norm FROM points LEFT JOIN norms ON printf('%.2f,%.2f', lat, lon) = place", "points"))
 def rounded_key_join(spark, sf):
     p = T.points(spark, sf).withColumn("place", F.format_string("%.2f,%.2f", "lat", "lon"))
-    norms = p.where("k % 2 = 0").groupBy("place").agg(F.avg("pop").alias("norm"))
+    norms = p.where("pop > 0").groupBy("place").agg(F.avg("pop").alias("norm"))
     return p.join(norms, "place", "left").select("k", "norm")
 
 
 @query("""WITH alias AS (SELECT * FROM (VALUES ('unitedstates', 'usa'), ('unitedkingdom', 'uk')) t(long, short)),
  named AS (SELECT n_nationkey, regexp_replace(lower(n_name), '[^a-z0-9]', '', 'g') AS plain FROM nation)
  SELECT n_nationkey, coalesce(short, plain) AS matched, count(c_custkey) AS customers FROM named LEFT JOIN alias ON plain = long
- LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 3 = 0 GROUP BY 1, 2""")
+ LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1, 2""")
 def name_alias_join(spark, sf):
     alias = spark.createDataFrame([("unitedstates", "usa"), ("unitedkingdom", "uk")], "long string, short string")
     named = T.table(spark, sf, "nation").select("n_nationkey", F.regexp_replace(F.lower("n_name"), "[^a-z0-9]", "").alias("plain"))
-    some = T.table(spark, sf, "customer").where("c_custkey % 3 = 0").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
+    some = T.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("n"))
     joined = named.join(F.broadcast(alias), F.col("plain") == F.col("long"), "left").join(some, "n_nationkey", "left")
     return joined.select("n_nationkey", F.coalesce("short", "plain").alias("matched"), F.coalesce("n", F.lit(0)).cast("long").alias("customers"))
 
@@ -165,12 +165,12 @@ def asof_replay(spark, sf):
     return seen.groupBy("c_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey")).alias("b")).select("c_custkey", "b.o_orderkey")
 
 
-@query(oracle(", f AS (SELECT h, sum(mm) AS mm FROM hourly WHERE h < 24 GROUP BY 1) SELECT district, h, round(mm * sum(v), 4) + 0.0 AS load FROM cells CROSS JOIN f GROUP BY district, h, mm", "cells", "hourly"))
+@query(oracle(", f AS (SELECT h, sum(mm) AS mm FROM hourly GROUP BY 1) SELECT district, h, round(mm * sum(v), 4) + 0.0 AS load FROM cells CROSS JOIN f GROUP BY district, h, mm", "cells", "hourly"))
 def factor_cube(spark, sf):
     """Hour by cell sums from the two factors: the weights are summed first, so
     the cube itself never exists."""
     weight = T.cells(spark, sf).groupBy("district").agg(F.sum("v").alias("w"))
-    hours = T.hourly(spark, sf).where("h < 24").groupBy("h").agg(F.sum("mm").alias("mm"))
+    hours = T.hourly(spark, sf).groupBy("h").agg(F.sum("mm").alias("mm"))
     return weight.crossJoin(F.broadcast(hours)).selectExpr("district", "h", "round(mm * w, 4) + 0.0D as load")
 
 
@@ -262,10 +262,10 @@ def block_reduce(spark, sf):
     return got.select("district", "br", "bc", F.round("mean", 6).alias("mean"), F.round("p90", 6).alias("p90"), "high", "total")
 
 
-@query("SELECT l_partkey AS cell, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS v FROM lineitem WHERE l_quantity > 5 GROUP BY 1")
+@query("SELECT l_partkey AS cell, arg_min(l_quantity, l_orderkey * 10 + l_linenumber) AS v FROM lineitem GROUP BY 1")
 def mosaic_first(spark, sf):
     """The first tile that covers a cell wins."""
-    return T.table(spark, sf, "lineitem").where("l_quantity > 5").groupBy(F.col("l_partkey").alias("cell")).agg(F.min_by("l_quantity", F.expr("l_orderkey * 10 + l_linenumber")).alias("v"))
+    return T.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("cell")).agg(F.min_by("l_quantity", F.expr("l_orderkey * 10 + l_linenumber")).alias("v"))
 
 
 @query("SELECT year(l_shipdate) AS epoch, count(*) FILTER (l_partkey % 5 = 0) AS inside, count(*) FILTER (l_partkey % 5 <> 0) AS outside FROM lineitem GROUP BY 1")

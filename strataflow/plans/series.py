@@ -14,10 +14,10 @@ def hours():
     return W.partitionBy("point").orderBy("h")
 
 
-@query(oracle(", s AS (SELECT point, h, mm, sum(mm) OVER (PARTITION BY point ORDER BY h) AS total FROM hourly), x AS (SELECT point, h, round(total / (h + 1) - 14.82 * pow(greatest(h + 1, 0.167), -0.39), 3) AS excess FROM s WHERE h < 168) SELECT point, excess, h FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY excess DESC, h) AS n FROM x) WHERE n = 1", "hourly"))
+@query(oracle(", s AS (SELECT point, h, mm, sum(mm) OVER (PARTITION BY point ORDER BY h) AS total FROM hourly), x AS (SELECT point, h, round(total / (h + 1) - 14.82 * pow(greatest(h + 1, 0.167), -0.39), 3) AS excess FROM s) SELECT point, excess, h FROM (SELECT *, row_number() OVER (PARTITION BY point ORDER BY excess DESC, h) AS n FROM x) WHERE n = 1", "hourly"))
 def rainfall_trigger(spark, sf):
     """Where mean intensity since the start most exceeds the landslide threshold."""
-    s = T.hourly(spark, sf).withColumn("total", F.sum("mm").over(hours())).where("h < 168").withColumn("excess", F.round(F.expr(f"total / (h + 1) - {M.caine('(h + 1.0D)')}"), 3))
+    s = T.hourly(spark, sf).withColumn("total", F.sum("mm").over(hours())).withColumn("excess", F.round(F.expr(f"total / (h + 1) - {M.caine('(h + 1.0D)')}"), 3))
     return s.groupBy("point").agg(F.max(F.struct("excess", (-F.col("h")).alias("n"))).alias("b")).select("point", "b.excess", (-F.col("b.n")).alias("h"))
 
 

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 SIDE = 40
 DISTRICTS = 4
-HOURS = 720
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,18 +61,21 @@ POINTS = "SELECT c_custkey AS k, CAST(c_nationkey AS BIGINT) AS nation, CAST(gre
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``point, h, mm, cloud``: a dense hourly record by event type; mm sums
     values (by hundredths, so the order of addition doesn't show), cloud is the
-    number of events, as percent."""
+    number of events, as percent.  It runs from the first hour of 2024, or of an
+    earlier event, to the last event's."""
     got = (
         table(spark, sf_dir, "events")
         .groupBy(F.col("event_type").alias("point"), F.expr("cast(timestampdiff(HOUR, timestamp_ntz'2024-01-01 00:00:00', ts) as bigint)").alias("h"))
         .agg(F.sum(F.expr("cast(round(value * 100) as bigint)")).alias("hundredths"), F.count("*").alias("n"))
     )
-    spine = got.select("point").distinct().crossJoin(F.broadcast(spark.range(HOURS).select(F.col("id").alias("h"))))
+    # a row an hour of the calendar, whatever the number of events
+    ends = got.agg(F.least(F.min("h"), F.lit(0)).alias("lo"), F.max("h").alias("hi")).where("hi is not null")
+    spine = got.select("point").distinct().crossJoin(F.broadcast(ends.select(F.explode(F.sequence("lo", F.greatest("lo", "hi"))).alias("h"))))
     return spine.join(got, ["point", "h"], "left").selectExpr("point", "h", "coalesce(hundredths, 0) / 1000.0D as mm", "least(coalesce(n, 0) * 7, 100) as cloud")
 
 
 HOURLY = f"""SELECT point, h, coalesce(hundredths, 0) / CAST(1000 AS DOUBLE) AS mm, least(coalesce(n, 0) * 7, 100) AS cloud
- FROM (SELECT DISTINCT event_type AS point FROM events) CROSS JOIN (SELECT range AS h FROM range({HOURS}))
+ FROM (SELECT DISTINCT event_type AS point FROM events) CROSS JOIN (SELECT unnest(range(lo, greatest(lo, hi) + 1)) AS h FROM (SELECT least(min(h), 0) AS lo, max(h) AS hi FROM (SELECT date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS h FROM events)))
  LEFT JOIN (SELECT event_type AS point, date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS h, sum(CAST(round(value * 100) AS BIGINT)) AS hundredths, count(*) AS n FROM events GROUP BY 1, 2) USING (point, h)"""
 
 

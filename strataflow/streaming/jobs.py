@@ -118,9 +118,38 @@ def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
 
 
 def upsert_board(stream: DataFrame, path: str, key: str = "event_type"):
-    """Starts a job that keeps the newest row of each key in a Parquet board."""
+    """Starts a job that keeps the row of each key that its last batch gave.
+
+    Each batch writes a whole board, ``path/version=N``, from the one before it,
+    so a batch that is run again gives the same board; :func:`read_board` reads
+    the newest.  The board has a row a key.
+    """
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        before = _newest(spark, path, number)
+        if before is not None:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/version={before}"))
+        names = rows.columns
+        # the newest batch, and within one batch the largest row
+        best = rows.groupBy(F.col(key).alias("_key")).agg(F.max(F.struct("batch", *[c for c in names if c != "batch"])).alias("_row"))
+        best.select(*[F.col(f"_row.{c}").alias(c) for c in names]).write.mode("overwrite").parquet(f"{path}/version={number}")
 
     return stream.writeStream.outputMode("update").foreachBatch(write).trigger(availableNow=True).option("checkpointLocation", f"{path}-progress").start()
+
+
+def _newest(spark: SparkSession, path: str, below: int | None = None) -> int | None:
+    """The number of the newest complete board (before ``below``)."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/version=*/_SUCCESS")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    numbers = [int(x.getPath().getParent().getName().partition("=")[2]) for x in found]
+    return max((n for n in numbers if below is None or n < below), default=None)
+
+
+def read_board(spark: SparkSession, path: str) -> DataFrame:
+    """The newest board that :func:`upsert_board` wrote below ``path``."""
+    number = _newest(spark, path)
+    if number is None:
+        raise ValueError(f"no board below {path}")
+    return spark.read.parquet(f"{path}/version={number}")

@@ -109,9 +109,48 @@ def test_runoff_never_exceeds_rain(spark):
     assert df.where(f"{M.runoff('p', 'cn')} > p or {M.runoff('p', 'cn')} < 0").isEmpty()
 
 
-def test_png(spark):
-    layer = grid(spark, 4, lambda r, c: r).selectExpr("district", "r", "c", "cast(v * 60 as short) red", "0 as green", "0 as blue", "255 as alpha")
-    assert bytes(sinks.png(layer).first()["png"])[:8] == b"\x89PNG\r\n\x1a\n"
+def test_a_circle_ends_with_a_message(spark, monkeypatch):
+    monkeypatch.setattr(networks, "ROUNDS", 3)
+    flow = spark.createDataFrame([(1, 2, 1), (2, 1, 1), (3, 1, 1)], "cell long, recv long, w long")
+    with pytest.raises(ValueError, match="circle"):
+        networks.accumulate(flow)
+    with pytest.raises(ValueError, match="circle"):
+        networks.outlet(flow, "cell = 99")
+
+
+def test_png_holds_its_pixels(spark):
+    """Read back chunk by chunk; a cell that is missing is transparent."""
+    import zlib
+
+    layer = grid(spark, 4, lambda r, c: r * 4 + c).where("v != 5").selectExpr("district", "r", "c", "cast(v * 15 as int) red", "cast(c as int) green", "7 as blue", "255 as alpha")
+    data = bytes(sinks.png(layer).first()["png"])
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, found = 8, {}
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 4], "big")
+        found[data[at + 4 : at + 8]] = data[at + 8 : at + 8 + n]
+        assert int.from_bytes(data[at + 8 + n : at + 12 + n], "big") == zlib.crc32(data[at + 4 : at + 8 + n])
+        at += 12 + n
+    assert list(found) == [b"IHDR", b"IDAT", b"IEND"] and found[b"IHDR"] == bytes((0, 0, 0, 4, 0, 0, 0, 4, 8, 6, 0, 0, 0))
+    lines = zlib.decompress(found[b"IDAT"])
+    for r in range(4):
+        line = lines[r * 17 : r * 17 + 17]
+        assert line[0] == 0
+        assert [tuple(line[1 + 4 * c : 5 + 4 * c]) for c in range(4)] == [(0, 0, 0, 0) if r * 4 + c == 5 else ((r * 4 + c) * 15, c, 7, 255) for c in range(4)]
+
+
+def test_board_adds_new_dates_only(spark, tmp_path):
+    path = str(tmp_path / "board")
+    rows = lambda *x: spark.createDataFrame(list(x), "date string, v long")
+    sinks.board(rows(("2024-01-01", 1)), path)
+    sinks.board(rows(("2024-01-01", 9), ("2024-01-02", 2)), path)
+    assert sorted((str(x["date"]), x["v"]) for x in spark.read.json(path).collect()) == [("2024-01-01", 1), ("2024-01-02", 2)]
+
+
+def test_csv_export(spark, tmp_path):
+    sinks.csv_export(spark.createDataFrame([(1, "a,b", None), (2, "c", "d")], "i long, x string, y string").coalesce(1), str(tmp_path / "c"))
+    lines = next((tmp_path / "c").glob("*.csv")).read_text().splitlines()
+    assert lines == ["i,x,y", '1,"a,b",', "2,c,d"]
 
 
 def test_csv_units_row(spark, tmp_path):

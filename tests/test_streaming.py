@@ -51,3 +51,22 @@ def test_the_state_gets_a_row_a_day(spark, folder):
     days = jobs.daily_sums(spark.read.parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1))
     n = spark.read.parquet(folder).select("event_type", F.to_date("ts")).distinct().count()
     assert days.count() == n
+
+
+def test_board_keeps_the_last_row_of_each_key(spark, tmp_path):
+    """Three runs of one job, the last with nothing new; one row a key."""
+    source, board = tmp_path / "in", str(tmp_path / "board")
+
+    def send(rows):
+        spark.createDataFrame(rows, "event_type string, v long").coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        stream = spark.readStream.schema("event_type string, v long").parquet(str(source))
+        jobs.upsert_board(stream, board).awaitTermination()
+        return sorted((r["event_type"], r["v"]) for r in jobs.read_board(spark, board).collect())
+
+    send([("a", 1), ("b", 5), ("a", 3)])
+    assert run() == [("a", 3), ("b", 5)]
+    send([("a", 2), ("c", 9)])
+    assert run() == [("a", 2), ("b", 5), ("c", 9)]
+    assert run() == [("a", 2), ("b", 5), ("c", 9)]
