@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import column_bytes, tidied, tidy
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-BLOCK_BYTES = 4 << 20  # of text
+BLOCK_BYTES = 6 << 20  # of text
 BATCH = 1 << 17  # rows a task hands on at a time
 COMMON = 1 << 17  # units whose paths are broadcast
 LOOK = 5000  # documents, on average, in which the common units are counted
@@ -353,9 +353,10 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spell = 100 * max((c for _, _, c in vocabulary.pieces), default=0) + 1
     # bounded: MAX_PIECES
     pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
-    # the length as an aggregate: a filter on it stays above the shuffle, which both branches then share
-    listed = units.groupBy("unit", "part").agg(F.collect_list("place").alias("places"), F.max(F.length("unit")).alias("_n"))
-    distinct = listed.where(F.col("_n") <= UNIT)
+    listed = units.groupBy("unit", "part").agg(F.collect_list("place").alias("places"))
+    # a filter that names the aggregate stays above the shuffle, which both branches then share
+    length = F.length("unit") + 0 * F.size("places")
+    distinct = listed.where(length <= UNIT)
     # start -1: a row that stands for the unit itself
     starts = distinct.select("unit", "part", "places", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("places", F.when(F.col("start") < 0, F.col("places")))
     longest = f"element_at({_lengths(vocabulary)}, 1 + cast(pmod(xxhash64(substr(unit, start + 1, 3)), {HEADS}L) as int))"
@@ -376,7 +377,7 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     )
     grouped = edges.groupBy("unit", "part").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
     paths = grouped.select("unit", "places", F.expr(_viterbi(vocabulary)).alias("ids"))
-    return paths.unionByName(_long_paths(listed.where(F.col("_n") > UNIT), vocabulary, spell))
+    return paths.unionByName(_long_paths(listed.where(length > UNIT), vocabulary, spell))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -398,7 +399,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     rows, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()
     common = _common(docs, text, rows, vocabulary)
     parts = 1 + (size + 16 * rows) // BLOCK_BYTES // LISTED
-    packed = F.expr("unhex(array_join(transform(ids, i -> lpad(hex(i), 6, '0')), ''))")  # three bytes an id
+    width = 2 if max((i for _, i, _ in vocabulary.pieces), default=0) < 1 << 16 else 3  # bytes an id
+    packed = F.expr(f"unhex(array_join(transform(ids, i -> lpad(hex(i), {2 * width}, '0')), ''))")
     paths = best_paths(_blocks(docs, key, text, common, parts=parts), vocabulary).select("places", packed.alias("ids")).select(F.explode("places").alias("place"), "ids")
     paths = paths.select(F.shiftright("place", CHECK + 26).alias("block"), F.expr(f"cast(place & {(NUMBERS << CHECK) - 1}L as int)").alias("name"), "ids")
 
@@ -415,11 +417,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
                 break
             packed = paths.column("ids").combine_chunks().cast(pa.large_binary())
             begins = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(packed) + 1] if len(packed) else np.zeros(1, np.int64)
-            own = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[begins[0] : begins[-1]].reshape(-1, 3).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)
+            own = np.frombuffer(packed.buffers()[2] or b"", np.uint8)[begins[0] : begins[-1]].reshape(-1, width).astype(np.int32) @ np.array([1 << 16, 1 << 8, 1], np.int32)[3 - width :]
             first, length = np.empty(shared + len(marks), np.int64), np.empty(shared + len(marks), np.int64)
             first[:shared], length[:shared] = starts[:-1], np.diff(starts)
-            first[shared + (names >> CHECK)] = len(ids) + (begins[:-1] - begins[0]) // 3
-            length[shared + (names >> CHECK)] = np.diff(begins) // 3
+            first[shared + (names >> CHECK)] = len(ids) + (begins[:-1] - begins[0]) // width
+            length[shared + (names >> CHECK)] = np.diff(begins) // width
             by_word = _spread(np.concatenate([ids, own]), first[flat], length[flat])
             ends = np.append(0, np.cumsum(length[flat]))[np.append(0, np.cumsum(lens))]
             out = _spread(by_word, ends[:-1][words], np.diff(ends)[words])
