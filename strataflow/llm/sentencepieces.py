@@ -37,6 +37,7 @@ LISTED = 1 << 16  # blocks, about, in one list of those that have a unit
 UNIT = 48  # characters of a unit whose edges are packed
 #: A unit's place in the corpus is one long: partition and block in it (32 bits), number in the block (26), checksum (5).
 BLOCKS, NUMBERS, CHECK = 1 << 12, 1 << 26, 5
+BUCKETS = 1 << 11  # lists that a block's units are dealt to by their checksums
 HEADS = 1 << 16  # slots of the table of piece lengths by first characters
 MAX_PIECES = 1_000_000
 #: One piece of the model, a superscript two and a full stop, is of both kinds of characters; its runs stay together.
@@ -138,7 +139,7 @@ def _common(docs: DataFrame, text: str, rows: int, vocabulary: Vocabulary):
 
     sample = docs.select(F.col(text).alias("_text")).sample(min(1.0, LOOK / max(rows, 1)), seed=5)
     counts = sample.mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).where("n > 1 and unit <> '\n'")
-    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).alias("part"), (-F.col("n")).alias("place"))
+    top = counts.orderBy(F.desc("n"), "unit").limit(COMMON).select("unit", F.lit(0).alias("part"), F.lit(0).alias("bucket"), (-F.col("n")).alias("place"))
     # the most common first: small numbers take little space
     got = best_paths(top, vocabulary).select("unit", "ids", F.col("places")[0].alias("n")).toArrow().sort_by([("n", "ascending"), ("unit", "ascending")]).combine_chunks()
     ids = got.column("ids").combine_chunks()
@@ -149,9 +150,10 @@ def _common(docs: DataFrame, text: str, rows: int, vocabulary: Vocabulary):
 
 def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None = None) -> DataFrame:
     """``block, keys, texts`` (the documents of a block, see :func:`_opened`)
-    or, given ``parts``, ``unit, part, place`` for a block's units that aren't
-    common; ``place`` holds the block, the unit's number in it and 5 bits of
-    its checksum, ``part`` is the remainder of the block by ``parts``.
+    or, given ``parts``, ``part, bucket, place, units`` for a block's units that
+    aren't common: a line for each, those of one ``bucket`` in order.  ``place``
+    holds the block and the first one's number in it, from which they count up;
+    ``part`` is the remainder of the block by ``parts``.
 
     A block is named by partition and place, so both readings of ``docs`` must
     give the same rows in the same order.
@@ -183,23 +185,29 @@ def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None =
                     (rest if at else first).append(n)
             if len(own) >= NUMBERS or block % BLOCKS == BLOCKS - 1:
                 raise ValueError("a partition or a text of docs is too large; give docs more partitions")
-            marks = np.fromiter((zlib.crc32(unit.encode()) & (1 << CHECK) - 1 for unit in own), np.uint8, len(own))
+            listed, sums = list(own), np.fromiter((zlib.crc32(unit.encode()) for unit in own), np.int64, len(own))
+            buckets = sums >> CHECK & BUCKETS - 1
+            # the block's own units are numbered by bucket, in order of the units
+            ranked = np.array(sorted(range(len(own)), key=list(zip(buckets.tolist(), listed)).__getitem__), np.int64)
             if whole:
+                marks = (sums & (1 << CHECK) - 1).astype(np.uint8)[ranked]
+                numbers = np.arange(shared + len(own), dtype=np.int32)
+                numbers[shared + ranked] = numbers[shared:].copy()
                 # words in order of their first unit: its numbers have small steps, and common words small numbers
-                first, lens = np.array(first, np.int32), np.array(lens, np.int64)
+                first, lens = numbers[np.array(first, np.int64)], np.array(lens, np.int64)
                 order = np.argsort(first, kind="stable")
                 moved = np.empty(len(order), np.int32)
                 moved[order] = np.arange(len(order), dtype=np.int32)
                 more = lens - 1
-                rest = _spread(np.array(rest, np.int32), (np.cumsum(more) - more)[order], more[order])
+                rest = _spread(numbers[np.array(rest, np.int64)], (np.cumsum(more) - more)[order], more[order])
                 payload = _closed(np.array(counts, np.int32), moved[np.concatenate([*texts, np.empty(0, np.int32)])], lens[order].astype(np.int32), np.diff(first[order], prepend=np.int32(0)), rest, marks)
                 yield pa.record_batch([pa.array([block], pa.int64()), pa.array([_stored(pa.table({"key": pa.chunked_array(keys)}))], pa.binary()), pa.array([payload], pa.list_(pa.binary()))], ["block", "keys", "texts"])
             elif own:
-                listed, n = list(own), len(own)
-                for at in range(0, n, BATCH):
-                    m = min(BATCH, n - at)
-                    places = (block * NUMBERS + np.arange(at, at + m, dtype=np.int64) << CHECK) | marks[at : at + m]
-                    yield pa.record_batch([pa.array(listed[at : at + m], pa.string()), pa.array(np.full(m, block % parts, np.int32)), pa.array(places)], ["unit", "part", "place"])
+                buckets = buckets[ranked]
+                starts = np.flatnonzero(np.diff(buckets, prepend=-1))
+                lines = ["\n".join(map(listed.__getitem__, own_bucket.tolist())) for own_bucket in np.split(ranked, starts[1:])]
+                places = block * NUMBERS + starts << CHECK
+                yield pa.record_batch([pa.array(np.full(len(starts), block % parts, np.int32)), pa.array(buckets[starts].astype(np.int32)), pa.array(places), pa.array(lines, pa.string())], ["part", "bucket", "place", "units"])
 
         for batch in batches:
             start = 0
@@ -223,7 +231,7 @@ def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None =
         if size:
             yield from done()
 
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, keys binary, texts array<binary>" if whole else "unit string, part int, place long")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, "block long, keys binary, texts array<binary>" if whole else "part int, bucket int, place long, units string")
 
 
 def _closed(*arrays) -> list[bytes]:
@@ -344,7 +352,8 @@ def _lengths(vocabulary: Vocabulary) -> str:
 
 def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """``unit, places, ids`` of every distinct ``unit`` and ``part`` of
-    ``units``, with the ``place`` of each of its rows.
+    ``units``, with the ``place`` of each of its rows.  A unit's ``bucket`` is
+    the same in all of them; rows that lie together by both stay where they are.
 
     A character without a piece has an edge of its own that costs more than any
     path of pieces and stands for its bytes.  Only substrings that are no longer
@@ -353,12 +362,12 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     spell = 100 * max((c for _, _, c in vocabulary.pieces), default=0) + 1
     # bounded: MAX_PIECES
     pieces = F.broadcast(units.sparkSession.createDataFrame(list(vocabulary.pieces), "piece string, id long, cost long"))
-    listed = units.groupBy("unit", "part").agg(F.collect_list("place").alias("places"))
+    listed = units.groupBy("part", "bucket", "unit").agg(F.collect_list("place").alias("places"))
     # a filter that names the aggregate stays above the shuffle, which both branches then share
     length = F.length("unit") + 0 * F.size("places")
     distinct = listed.where(length <= UNIT)
     # start -1: a row that stands for the unit itself
-    starts = distinct.select("unit", "part", "places", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("places", F.when(F.col("start") < 0, F.col("places")))
+    starts = distinct.select("unit", "part", "bucket", "places", F.explode(F.sequence(F.lit(-1), F.length("unit") - 1)).alias("start")).withColumn("places", F.when(F.col("start") < 0, F.col("places")))
     longest = f"element_at({_lengths(vocabulary)}, 1 + cast(pmod(xxhash64(substr(unit, start + 1, 3)), {HEADS}L) as int))"
     stops = starts.select(
         "*",
@@ -371,11 +380,12 @@ def best_paths(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         .select(
             "unit",
             "part",
+            "bucket",
             "places",
             F.expr(f"if(start < 0, null, shiftleft(cast(stop as long), {_STOP}) | shiftleft(cast(start as long), {_START}) | shiftleft(coalesce(cost, {spell}L), {_COST}) | coalesce(id, {_SPELLED}L))").alias("edge"),
         )
     )
-    grouped = edges.groupBy("unit", "part").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
+    grouped = edges.groupBy("part", "bucket", "unit").agg(F.first("places", ignorenulls=True).alias("places"), F.collect_list("edge").alias("edges"))
     paths = grouped.select("unit", "places", F.expr(_viterbi(vocabulary)).alias("ids"))
     return paths.unionByName(_long_paths(listed.where(length > UNIT), vocabulary, spell))
 
@@ -401,7 +411,13 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     parts = 1 + (size + 16 * rows) // BLOCK_BYTES // LISTED
     width = 2 if max((i for _, i, _ in vocabulary.pieces), default=0) < 1 << 16 else 3  # bytes an id
     packed = F.expr(f"unhex(array_join(transform(ids, i -> lpad(hex(i), {2 * width}, '0')), ''))")
-    paths = best_paths(_blocks(docs, key, text, common, parts=parts), vocabulary).select("places", packed.alias("ids")).select(F.explode("places").alias("place"), "ids")
+    # whole lists are shuffled, which takes fewer bytes than a row a unit; their bytes tell
+    # little of the rows in them, so partitions aren't coalesced by bytes
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = _blocks(docs, key, text, common, parts=parts).repartition(partitions, "part", "bucket")
+    units = lists.select("part", "bucket", "place", F.posexplode(F.split("units", "\n")).alias("at", "unit"))
+    place = F.expr(f"place + shiftleft(cast(at as long), {CHECK}) + (crc32(unit) & {(1 << CHECK) - 1}L)")
+    paths = best_paths(units.select("unit", "part", "bucket", place.alias("place")), vocabulary).select("places", packed.alias("ids")).select(F.explode("places").alias("place"), "ids")
     paths = paths.select(F.shiftright("place", CHECK + 26).alias("block"), F.expr(f"cast(place & {(NUMBERS << CHECK) - 1}L as int)").alias("name"), "ids")
 
     def run(texts, paths):

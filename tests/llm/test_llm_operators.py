@@ -298,6 +298,18 @@ def test_long_runs_and_spaces_have_the_whole_texts_best_path(spark, vocabulary):
     assert {x["doc_id"]: x["text"] for x in back} == dict(enumerate(texts))
 
 
+def test_small_blocks_and_several_parts_give_the_same(spark, vocabulary, monkeypatch):
+    """Nearly all units go through the lists of buckets, and by several parts."""
+    texts = [" ".join([f"x{n % 7}é-{n}ü", *(f"{w}{'aeiou'[n % 5]}" for w in words(40 + n, n).split())]) + "\n\t\r\0ß" * (n % 3) for n in range(60)]
+    for name, value in (("BLOCK_BYTES", 1500), ("LISTED", 3), ("COMMON", 2)):
+        monkeypatch.setattr(sentencepieces, name, value)
+    encoded = sentencepieces.encode(docs(spark, texts).repartition(3).checkpoint(), vocabulary)
+    got = {x["doc_id"]: x["ids"] for x in encoded.collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [x for u in sentencepieces._UNITS.findall(" " + t) for x in viterbi(vocabulary, u)], t
+    assert {x["doc_id"]: x["text"] for x in sentencepieces.decode(encoded, vocabulary).collect()} == dict(enumerate(texts))
+
+
 # ---- 6
 
 
