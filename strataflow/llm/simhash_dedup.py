@@ -91,17 +91,25 @@ def links(nodes: DataFrame, *, distance: int = MAX_DISTANCE) -> DataFrame:
     return met.select("a", "b").distinct()
 
 
-def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
-    """``node, component``: the smallest node reachable, for every node in the
-    edge list ``a, b`` (nodes without an edge are not in it).
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether, of edges ``a > b``, each ``a`` has one and no ``b`` is an ``a``."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("child").alias("n"), F.max("parent").alias("p")).where("n > 1 or n = 1 and p = 1").isEmpty()
+
+
+def stars(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+    """``a, b``: each node of the edge list ``a, b`` but the smallest of its
+    component, with that one.
 
     Alternating large-star and small-star rounds; each round shrinks the graph
-    towards stars around the smallest nodes, in about log rounds.  Each round
-    is cut into the shared checkpoint folder.
+    towards stars around the smallest nodes, in about log rounds, and none is
+    made once it consists of stars.  Each round is cut into the shared
+    checkpoint folder.
     """
-    edges = cut(edges.select("a", "b"))
-    before = None
+    edges = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     for _ in range(max_rounds):
+        if _are_stars(edges):
+            return edges
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every larger neighbour points at the least one
@@ -116,12 +124,13 @@ def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
             .where(F.col("a") != F.col("b"))
             .distinct()
         )
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components did not settle; raise max_rounds")
+    raise RuntimeError("components did not settle; raise max_rounds")
+
+
+def components(edges: DataFrame, *, max_rounds: int = 40) -> DataFrame:
+    """``node, component``: the smallest node reachable, for every node in the
+    edge list ``a, b`` (nodes with no edge to another are not in it)."""
+    edges = stars(edges, max_rounds=max_rounds)
     own = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
 

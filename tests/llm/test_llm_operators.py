@@ -340,6 +340,27 @@ def linked(marks, distance=2):
     return root
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_stars_match_union_find(spark, seed):
+    r = np.random.default_rng(seed)
+    chain = [(i, i + 1) for i in range(40)]
+    edges = [[(5, 5)], chain, [(9, 1), (1, 9), (9, 1), (9, 4), (3, 2)], [tuple(map(int, e)) for e in r.integers(-80, 80, (90, 2))]][seed]
+    root = {n: n for e in edges for n in e}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in edges:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    df = spark.createDataFrame(edges, "a long, b long")
+    assert sorted(map(tuple, simhash_dedup.stars(df).collect())) == sorted((n, find(n)) for n in root if find(n) != n)
+    linked = {n for a, b in edges if a != b for n in (a, b)}
+    assert sorted(map(tuple, simhash_dedup.components(df).collect())) == sorted((n, find(n)) for n in linked)
+
+
 def test_simhash_components(spark, awkward):
     base = words(400, 5).split()
     near = []
