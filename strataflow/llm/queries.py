@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity, training_order, vector_packing
+from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, product_codes, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity, training_order, vector_packing
 from .common import table
 
 
@@ -93,6 +93,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, books = product_codes.compress(table(spark, sf_dir, "embeddings"))
+    return got.select("vec_id", "code", "error", "label_error", F.lit(product_codes.digest(books)).alias("codebooks_sha256"), "label")
+
+
 def op13_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = vector_packing.pack(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss", "padded")
@@ -110,6 +115,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": op8_pii_surrogates,
         "op9_html_extraction": op9_html_extraction,
         "op10_decontamination": op10_decontamination,
+        "op12_vector_codes": op12_vector_codes,
         "op13_vector_packing": op13_vector_packing,
     }
 
