@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_extraction, iblt_fingerprints, pii_surrogates, product_codes, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity, training_order, vector_packing
+from . import decontamination, hard_negatives, html_extraction, iblt_fingerprints, pii_surrogates, product_codes, sentencepieces, sharding, simhash_dedup, substring_dedup, toxicity, training_order, vector_packing
 from .common import table
 
 
@@ -93,6 +93,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     got, books = product_codes.compress(table(spark, sf_dir, "embeddings"))
     return got.select("vec_id", "code", "error", "label_error", F.lit(product_codes.digest(books)).alias("codebooks_sha256"), "label")
@@ -115,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii_surrogates": op8_pii_surrogates,
         "op9_html_extraction": op9_html_extraction,
         "op10_decontamination": op10_decontamination,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_vector_codes": op12_vector_codes,
         "op13_vector_packing": op13_vector_packing,
     }

@@ -6,7 +6,9 @@ import math
 import numpy as np
 import pytest
 
-from strataflow.llm import integer_vectors, product_codes
+from pyspark.sql import functions as F
+
+from strataflow.llm import hard_negatives, integer_vectors, product_codes
 from strataflow.llm.product_codes import Settings
 from strataflow.llm.queries import queries
 
@@ -127,3 +129,78 @@ def test_codes_query(spark):
     assert {r["vec_id"]: (r["code"], r["error"]) for r in got} == want and {r["codebooks_sha256"] for r in got} == {digest}
     for label in {r["label"] for r in got}:
         assert {r["label_error"] for r in got if r["label"] == label} == {sum(r["error"] for r in got if r["label"] == label)}
+
+
+# ---- 11
+
+
+def mined(rows, is_anchor, s):
+    """Every pair's score, in Python's whole numbers; rows are told apart by place."""
+    kept = [r for r in usable(rows, s.scale) if r[2] is not None]
+    order = lambda k: (k is None, k or 0)
+    out = []
+    for i, (k, v, l) in enumerate(kept):
+        if k is None or not is_anchor(k):
+            continue
+        scored = [(-sum(a * b for a, b in zip(v, w)), order(q), q, m, j) for j, (q, w, m) in enumerate(kept)]
+        same = sorted(x for x in scored if x[3] == l and x[4] != i)[: s.positives]
+        rest = sorted(x for x in scored if x[3] != l)
+        for p in same:
+            fits = [x for x in rest if s.low * -p[0] <= 100 * -x[0] <= s.high * -p[0]][: s.negatives]
+            out += [(k, p[2], r + 1, x[2], -p[0], -x[0]) for r, x in enumerate(fits)]
+    return sorted(out, key=str)
+
+
+def rows_of(df):
+    names = ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+    return sorted((tuple(r[c] for c in names) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("case", ["many", "cells", "hot", "wide", "ties", "awkward"])
+def test_negatives(spark, case):
+    s = hard_negatives.Settings()
+    rows, step = vectors(700, 16, 1), 20
+    if case == "cells":  # several blocks of anchors and stripes of rows
+        s = hard_negatives.Settings(anchors=9, rows=100)
+    elif case == "hot":  # one label has two thirds, one vector a third of all rows
+        rows = [(k, rows[0][1] if k % 3 == 0 else v, 0 if k % 3 else l) for k, v, l in rows]
+    elif case == "wide":  # components beyond 16 bits
+        rows = [(k, [float(np.float32(3e4 * x)) for x in v], l) for k, v, l in rows]
+    elif case == "ties":
+        rows = [(i, [float(i % 2), 1.0, 0.5, 0.0], i % 3) for i in range(200)]
+    elif case == "awkward":
+        again = [(20, rows[20][1], rows[20][2]), (20, rows[21][1], 9), (40, [-0.5] * 16, 11), (None, rows[3][1], 1), (None, rows[4][1], 2), (60, rows[60][1], None), (41, rows[20][1], rows[20][2])]
+        rows = [*vectors(150, 16, 2), *again, *[(k, v and v * 2, l) for k, v, l in BAD], (50, rows[20][1], 77)]
+    got = rows_of(hard_negatives.mine(table(spark, rows, 5), F.col("vec_id") % step == 0, s))
+    assert got == mined(rows, lambda k: k % step == 0, s) and got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_survivors_are_the_pairs_within(seed):
+    r = np.random.default_rng(seed)
+    size = [40, 300, 5, 2**25][seed]
+    a, x = r.integers(-size, size, (30, 12)), r.integers(-size // 2, size, (200, 12))
+    full = a @ x.T
+    floor, ceiling = np.percentile(full, 80, axis=1).astype(np.int64), np.percentile(full, 95, axis=1).astype(np.int64)
+    alive = r.random(full.shape) < 0.8
+    i, j, score = hard_negatives.survivors(a, x, int(x.min()), int(x.max()), alive.copy(), floor, ceiling)
+    within = alive & (full >= floor[:, None]) & (full <= ceiling[:, None])
+    assert set(zip(i.tolist(), j.tolist())) == set(zip(*(y.tolist() for y in np.nonzero(within)))) and (full[i, j] == score).all()
+    i, j, score = hard_negatives.survivors(a, x, int(x.min()), int(x.max()), alive.copy(), np.full(30, -(1 << 62)), np.full(30, 1 << 62), 5)
+    for k in range(30):
+        best = np.sort(full[k][alive[k]])[-5]
+        assert set(j[i == k].tolist()) >= set(np.flatnonzero(alive[k] & (full[k] >= best)).tolist())
+
+
+def test_negatives_of_nothing(spark):
+    for rows in ([], BAD, [(1, [1.0], 1)], [(20, [1.0], 1)], [(20, [1.0], 1), (21, [1.0], 1)], [(20, [], 1), (21, [], 1)]):
+        assert hard_negatives.mine(table(spark, rows, 1), F.col("vec_id") % 20 == 0).isEmpty()
+    for bad in ([(20, [1.0], 1), (2, [1.0, 2.0], 1)], [(20, [1e12, 1.0], 1)]):
+        with pytest.raises(Exception, match="lengths|large"):
+            hard_negatives.mine(table(spark, bad, 1), F.col("vec_id") % 20 == 0).collect()
+
+
+def test_negatives_query(spark):
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    rows = [(k, v, (l + 1) % 10 if k % 7 == 0 else l) for k, v, l in rows]
+    assert rows_of(queries()["op11_hard_negatives"](spark, SF)) == mined(rows, lambda k: k % 100 == 0, hard_negatives.Settings())
