@@ -141,7 +141,7 @@ def _anchors(table):
 
     for at in range(0, table.num_rows, AT_ONCE):
         lot = table.slice(at, AT_ONCE)
-        a = np.array([numbers_of(d, 1, dim)[0] for d, dim in zip(lot["data"].to_pylist(), lot["dim"].to_pylist())], np.int64).reshape(lot.num_rows, -1)
+        a = np.array([numbers_of(d, 1, dim)[0] for d, dim in zip(lot["data"].to_pylist(), lot["size"].to_pylist())], np.int64).reshape(lot.num_rows, -1)
         yield lot, a, lot["label"].to_numpy()
 
 
@@ -241,15 +241,15 @@ def mine(
     # small tables get as many stripes as there are tasks, each of one block at least
     stripes = max(-(-got["rows"] // s.rows), min(2 * spark.sparkContext.defaultParallelism, got["blocks"]))
     tasks = 3 * groups * stripes  # cells are dealt out by a hash: few meet
-    size = F.length("data").cast("long").alias("_size")
-    width = F.expr("cast(_size div greatest(n * dim, 1) as int)")
-    every = packed.select("first", "n", "dim", "keys", "labels", "marks", "data", size).select("*", width.alias("_width"), F.posexplode("marks").alias("_at", "_mark")).where("_mark")
+    bytes_ = F.length("data").cast("long").alias("_bytes")
+    width = F.expr("cast(_bytes div greatest(n * dim, 1) as int)")
+    every = packed.select("first", "n", "dim", "keys", "labels", "marks", "data", bytes_).select("*", width.alias("_width"), F.posexplode("marks").alias("_at", "_mark")).where("_mark")
     anchors = cut(
         every.select(
             (F.col("first") + F.col("_at")).alias("number"),
             F.get("keys", "_at").alias("anchor_id"),
             F.get("labels", "_at").alias("label"),
-            "dim",
+            F.col("dim").alias("size"),  # a column that both sides of a cogroup have from one source gets lost
             F.substring("data", F.expr("_at * dim * _width + 1").cast("int"), F.expr("dim * _width").cast("int")).alias("data"),
         )
     )
