@@ -57,40 +57,3 @@ def nearest_with_room(demand: DataFrame, sites: DataFrame, reach: float, most: i
         return pd.DataFrame(out, columns=["district", "id", "site", "placed"]).astype({"site": "Int64"})
 
     return pairs.select("district", "id", "turn", "people", "site", "room", "away").groupBy("district").applyInPandas(allot, "district long, id long, site long, placed long")
-
-
-def least_cost(cells: DataFrame, cost: str, source: DataFrame) -> DataFrame:
-    """``district, r, c, cost``: cheapest way from the district's source cell
-    over eight neighbours, an edge costing the mean of its ends, a diagonal
-    1.414 of it."""
-
-    def walk(pdf):
-        import heapq
-
-        import numpy as np
-
-        h, w = int(pdf.r.max()) + 1, int(pdf.c.max()) + 1
-        price = np.full((h, w), np.inf)
-        price[pdf.r, pdf.c] = pdf._price
-        best = np.full((h, w), np.inf)
-        heap = []
-        for i, j in pdf.loc[pdf._source, ["r", "c"]].itertuples(index=False):
-            best[i, j] = 0.0
-            heap.append((0.0, int(i), int(j)))
-        while heap:
-            d, i, j = heapq.heappop(heap)
-            if d > best[i, j]:
-                continue
-            for a in range(max(i - 1, 0), min(i + 2, h)):
-                for b in range(max(j - 1, 0), min(j + 2, w)):
-                    step = d + (price[i, j] + price[a, b]) / 2 * (1.414 if a != i and b != j else 1.0)
-                    if step < best[a, b]:
-                        best[a, b] = step
-                        heapq.heappush(heap, (step, a, b))
-        out = pdf[["district", "r", "c"]].copy()
-        out["cost"] = best[out.r, out.c]
-        return out
-
-    marked = cells.join(source.select("district", F.col("r0").alias("r"), F.col("c0").alias("c"), F.lit(True).alias("_source")), ["district", "r", "c"], "left")
-    rows = marked.select("district", "r", "c", F.expr(cost).cast("double").alias("_price"), F.coalesce("_source", F.lit(False)).alias("_source"))
-    return rows.groupBy("district").applyInPandas(walk, "district long, r long, c long, cost double")

@@ -12,7 +12,7 @@ from ..sources import tables as T
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-_CTES = {"cells": T.CELLS, "settlements": T.SETTLEMENTS, "points": T.POINTS, "hourly": T.HOURLY, "forest": T.FOREST}
+_CTES = {"cells": T.CELLS, "settlements": T.SETTLEMENTS, "points": T.POINTS, "hourly": T.HOURLY, "terrain": T.TERRAIN}
 
 
 def oracle(body: str, *uses: str, recursive: bool = False) -> str:

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import bands as B
 from ..functions import formulas as M
 from ..operators import grids as G
-from ..operators import networks
 from ..sources import tables as T
 from .build import oracle, query
 from .raster import pad
@@ -40,11 +39,6 @@ def design_storm(spark, sf):
     return depth.crossJoin(F.broadcast(share)).select("district", "t", F.round(F.col("depth") * F.col("share"), 5).alias("mm"))
 
 
-@query(oracle(", up AS (SELECT cell AS top, cell, recv FROM forest UNION ALL SELECT u.top, f.cell, f.recv FROM up u JOIN forest f ON f.cell = u.recv) SELECT up.cell, CAST(sum(t.z) AS BIGINT) AS accum FROM up JOIN forest t ON t.cell = top GROUP BY 1", "forest", recursive=True))
-def flow_accum_w(spark, sf):
-    return networks.accumulate(T.forest(spark), "z").select("cell", F.col("accum").cast("long").alias("accum"))
-
-
 TEHD = f"({M.slope_rating('v % 53')} + {M.relief_rating('v')} + {M.land_rating('(v % 89) / 89e0', '(v % 97) / 97e0', 'v % 53')} + 2.0)"
 
 

@@ -228,35 +228,6 @@ def rasterize_lines(spark, sf):
     return s.selectExpr("cast(bround(ra + (rb - ra) * t / 80D, 0) as bigint) as r", "cast(bround(ca + (cb - ca) * t / 80D, 0) as bigint) as c").distinct()
 
 
-@query(oracle(", recursive_up AS (SELECT cell AS top, cell, recv FROM forest UNION ALL SELECT u.top, f.cell, f.recv FROM recursive_up u JOIN forest f ON f.cell = u.recv) SELECT cell, CAST(sum(1 + top % 3) AS BIGINT) AS accum FROM recursive_up GROUP BY 1", "forest", recursive=True))
-def flow_accum(spark, sf):
-    return networks.accumulate(T.forest(spark))
-
-
-@query(oracle(", up AS (SELECT cell AS top, cell, recv, cell % 17 = 0 AS stop FROM forest UNION ALL SELECT u.top, f.cell, f.recv, f.cell % 17 = 0 FROM up u JOIN forest f ON f.cell = u.recv WHERE NOT u.stop), o AS (SELECT top, arg_min(cell, cell) AS outlet FROM up GROUP BY 1) SELECT top AS cell, outlet, CASE WHEN outlet % 17 = 0 THEN greatest(a.z - b.z, 0) ELSE 0 END AS hand FROM o JOIN forest a ON a.cell = top JOIN forest b ON b.cell = outlet", "forest", recursive=True))
-def hand(spark, sf):
-    """Height above the nearest drainage downstream."""
-    return networks.height_above_drainage(T.forest(spark), "z", "cell % 17 = 0")
-
-
-@query(oracle(", d AS (SELECT cell, recv, 0 AS k FROM forest WHERE cell % 97 = 5 UNION ALL SELECT f.cell, f.recv, k + 1 FROM d JOIN forest f ON f.cell = d.recv WHERE k < 25) SELECT DISTINCT cell FROM d", "forest", recursive=True))
-def flash_path(spark, sf):
-    f = T.forest(spark)
-    return networks.downstream(f, f.where("cell % 97 = 5"), 25)
-
-
-@query(oracle(", d AS (SELECT cell AS origin, cell, recv, 0 AS k FROM forest WHERE cell % 211 = 7 UNION ALL SELECT origin, f.cell, f.recv, k + 1 FROM d JOIN forest f ON f.cell = d.recv WHERE k < 6) SELECT cell, min(origin) AS origin FROM d GROUP BY 1", "forest", recursive=True))
-def runout(spark, sf):
-    """Six steps downhill from each slide; a shared cell is the lowest origin's."""
-    f = T.forest(spark)
-    front = f.where("cell % 211 = 7").select(F.col("cell").alias("origin"), "cell")
-    reached = front
-    for _ in range(6):
-        front = front.join(f.select("cell", "recv"), "cell").where("recv is not null").select("origin", F.col("recv").alias("cell"))
-        reached = reached.union(front)
-    return reached.groupBy("cell").agg(F.min("origin").alias("origin"))
-
-
 @query(oracle(", ok AS (SELECT district, r, c FROM cells WHERE v < 190), f AS (SELECT district, r, c FROM ok WHERE r = 0 UNION SELECT o.district, o.r, o.c FROM f JOIN ok o ON o.district = f.district AND abs(o.r - f.r) + abs(o.c - f.c) = 1) SELECT DISTINCT district, r, c FROM f", "cells", recursive=True))
 def flood_fill(spark, sf):
     """What water from the northern rim can reach over four neighbours."""
@@ -269,11 +240,6 @@ def road_reach(spark, sf):
     return networks.flood_fill(T.cells(spark, sf), "v % 97 < 55", "r between 19 and 21 and c between 19 and 21", diagonal=True)
 
 
-@query()
-def priority_flood(spark, sf):
-    return networks.fill_depressions(T.cells(spark, sf))
-
-
 @query()
 def spaced_maxima(spark, sf):
     """Up to eight best cells of each district, at least six apart."""
@@ -295,12 +261,6 @@ def allocate_shelter(spark, sf):
     return choices.nearest_with_room(demand, sites, 60.0, most=25)
 
 
-@query()
-def least_cost(spark, sf):
-    hq = T.settlements(spark, sf).groupBy("district").agg(F.min(F.struct("id", "r0", "c0")).alias("b")).select("district", "b.r0", "b.c0")
-    return choices.least_cost(T.cells(spark, sf), "1 + 0.35 * (v % 53)", hq)
-
-
 @query("SELECT id, n FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, n_nationkey * 3 % 7 AS share FROM nation) JOIN (SELECT range AS n FROM range(7)) ON n < share")
 def place_facilities(spark, sf):
     """Each place's share of facilities, one row each."""

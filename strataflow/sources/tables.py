@@ -79,12 +79,30 @@ HOURLY = f"""SELECT point, h, coalesce(hundredths, 0) / CAST(1000 AS DOUBLE) AS
  LEFT JOIN (SELECT event_type AS point, date_diff('hour', TIMESTAMP '2024-01-01 00:00:00', ts) AS h, sum(CAST(round(value * 100) AS BIGINT)) AS hundredths, count(*) AS n FROM events GROUP BY 1, 2) USING (point, h)"""
 
 
-def forest(spark: SparkSession, n: int = 2000) -> DataFrame:
-    """``cell, recv, w``: a flow forest, every cell draining to a lower number."""
-    return spark.range(n).selectExpr("id as cell", "case when id > 0 then id - 1 - (id * 7919) % least(id, 5) end as recv", "cast(1 + id % 3 as bigint) as w", "cast((id * 37) % 1009 as double) as z")
+REGIONS = 25
 
 
-FOREST = "SELECT range AS cell, CASE WHEN range > 0 THEN range - 1 - (range * 7919) % least(range, 5) END AS recv, CAST(1 + range % 3 AS BIGINT) AS w, CAST((range * 37) % 1009 AS DOUBLE) AS z FROM range(2000)"
+def side(spark: SparkSession, sf_dir: str) -> int:
+    """Rows and columns of a ``terrain`` grid: about a cell an item, 24 at least."""
+    return max(24, int((table(spark, sf_dir, "lineitem").count() / REGIONS) ** 0.5))
+
+
+def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``district, r, c, v``: 25 square grids that grow with ``lineitem``; v sums quantities."""
+    n = side(spark, sf_dir)
+    full = spark.range(REGIONS * n * n).select(F.expr(f"id div {n * n}").alias("district"), F.expr(f"(id % {n * n}) div {n}").alias("r"), F.expr(f"id % {n}").alias("c"))
+    sums = (
+        table(spark, sf_dir, "lineitem")
+        .groupBy(F.expr(f"l_suppkey % {REGIONS}").alias("district"), F.expr(f"l_partkey % {n}").alias("r"), F.expr(f"l_orderkey % {n}").alias("c"))
+        .agg(F.sum("l_quantity").cast("double").alias("v"))
+    )
+    return full.join(sums, ["district", "r", "c"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
+
+
+SIDE_SQL = f"(SELECT greatest(24, CAST(floor(sqrt(count(*) / {REGIONS}e0)) AS BIGINT)) FROM lineitem)"
+TERRAIN = f"""SELECT district, r, c, CAST(coalesce(v, 0.0) AS DOUBLE) AS v
+ FROM (SELECT range AS district FROM range({REGIONS})) CROSS JOIN (SELECT unnest(range({SIDE_SQL})) AS r) CROSS JOIN (SELECT unnest(range({SIDE_SQL})) AS c)
+ LEFT JOIN (SELECT l_suppkey % {REGIONS} AS district, l_partkey % {SIDE_SQL} AS r, l_orderkey % {SIDE_SQL} AS c, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2, 3) USING (district, r, c)"""
 
 
 def gauges_csv(spark: SparkSession, path: str) -> DataFrame:

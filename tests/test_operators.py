@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataflow.functions import formulas as M
-from strataflow.operators import choices, grids, networks
+from strataflow.operators import choices, drainage, grids, networks
 from strataflow.sources import sinks
 
 
@@ -58,7 +58,7 @@ def test_depression_fills_to_its_spill(spark):
     def z(r, c):
         return 2 if (r, c) == (5, 5) else 6 if c == 5 and r < 5 else 10
 
-    got = as_array(networks.fill_depressions(grid(spark, 11, z)), "filled", 11)
+    got = as_array(drainage.fill_depressions(grid(spark, 11, z)), "filled", 11)
     assert got[5, 5] == 6 and got[3, 1] == 10
 
 
