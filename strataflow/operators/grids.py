@@ -94,14 +94,14 @@ def receivers(cells: DataFrame, value: str = "v", size: float = 30.0) -> DataFra
     """``recv_r, recv_c`` of the steepest descent among eight neighbours (null
     in a pit); of equally steep ones the first direction."""
     marks = {-1: "m", 0: "z", 1: "p"}
-    df = shifted(cells, value)
-    side = W.partitionBy("district")
+    ends = cells.groupBy("district").agg(F.max("r").alias("_hr"), F.max("c").alias("_hc"))  # a row a district
+    df = shifted(cells, value).join(ends, "district")
     inside = "(r + {a} between 0 and _hr) and (c + {b} between 0 and _hc)"
     drops = [
         f"case when {inside.format(a=a, b=b)} and {value} > z{marks[a]}{marks[b]} then named_struct('drop', ({value} - z{marks[a]}{marks[b]}) / {'1.0D' if a == 0 or b == 0 else 'sqrt(2.0D)'}, 'rank', {-i}, 'r', r + {a}, 'c', c + {b}) end"
         for i, (a, b) in enumerate(DIRECTIONS)
     ]
-    df = df.withColumn("_hr", F.max("r").over(side)).withColumn("_hc", F.max("c").over(side)).withColumn("_best", F.expr(f"array_max(array({', '.join(drops)}))"))
+    df = df.withColumn("_best", F.expr(f"array_max(array({', '.join(drops)}))"))
     return df.select(*cells.columns, F.col("_best.r").alias("recv_r"), F.col("_best.c").alias("recv_c"))
 
 
@@ -112,9 +112,9 @@ def shoreline(cells: DataFrame, mask: str) -> DataFrame:
 
 
 def normalised(df: DataFrame, value: str, by: str = "district", out: str = "norm") -> DataFrame:
-    w = W.partitionBy(by)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return df.withColumn(out, (F.col(value) - low) / F.greatest(high - low, F.lit(1e-9)))
+    ends = df.groupBy(F.col(by).alias("_by")).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))  # a row a district
+    share = (F.col(value) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-9))
+    return df.join(ends, F.col(by).eqNullSafe(F.col("_by"))).withColumn(out, share).drop("_by", "_low", "_high")
 
 
 def block_reduce(cells: DataFrame, k: int, value: str = "v") -> DataFrame:

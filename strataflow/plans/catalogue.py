@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composed, ground, learning, pointwise, raster, relational, series, streams  # noqa: F401  (they register)
+from . import composed, ground, learning, pointwise, raster, rasters, relational, series, streams  # noqa: F401  (they register)
 from .build import QUERIES, SQL
 
 

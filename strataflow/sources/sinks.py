@@ -13,14 +13,18 @@ def csv_export(df: DataFrame, path: str) -> None:
 
 def board(df: DataFrame, path: str, by: str = "date") -> None:
     """One folder of JSON documents a date; dates that are there already are
-    kept as they are, new ones are added."""
+    kept as they are, new ones are added.
+
+    Dates are compared as values, null among them, whatever their folders are
+    called.  Two writers at once may both add a date that neither has seen.
+    """
     spark = df.sparkSession
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
-        # the folders' names, a row a date
-        there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(path)
-        known = there.select(F.regexp_extract("path", rf"/{by}=([^/]+)/", 1).alias("_there")).distinct()
-        df = df.join(known, F.col(by).cast("string") == F.col("_there"), "left_anti")
+        # the folders' names, as Spark reads them back: a row a date
+        kind = df.schema[by].dataType.simpleString()
+        known = spark.read.schema(f"`{by}` {kind}").json(path).select(F.col(by).alias("_there")).distinct()
+        df = df.join(known, F.col(by).eqNullSafe(F.col("_there")), "left_anti")
     df.write.mode("append").partitionBy(by).json(path)
 
 

@@ -147,6 +147,16 @@ def test_board_adds_new_dates_only(spark, tmp_path):
     assert sorted((str(x["date"]), x["v"]) for x in spark.read.json(path).collect()) == [("2024-01-01", 1), ("2024-01-02", 2)]
 
 
+def test_board_dates_of_any_kind(spark, tmp_path):
+    path = str(tmp_path / "board")
+    rows = lambda *x: spark.createDataFrame(list(x), "date string, v long")
+    first = rows(("2024-01-01 06:00", 1), (None, 2), ("a/b=c %", 3))
+    for _ in range(3):
+        sinks.board(first.unionByName(rows(("2024-01-02 18:30", 9))), path)
+    got = spark.read.schema("v long, date string").json(path).collect()
+    assert sorted(((x["date"], x["v"]) for x in got), key=str) == sorted([("2024-01-01 06:00", 1), (None, 2), ("a/b=c %", 3), ("2024-01-02 18:30", 9)], key=str)
+
+
 def test_csv_export(spark, tmp_path):
     sinks.csv_export(spark.createDataFrame([(1, "a,b", None), (2, "c", "d")], "i long, x string, y string").coalesce(1), str(tmp_path / "c"))
     lines = next((tmp_path / "c").glob("*.csv")).read_text().splitlines()
