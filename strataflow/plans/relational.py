@@ -139,15 +139,6 @@ def facilities_by_zone(spark, sf):
     return f.join(nearest(spark, sf).where("v > 120"), ["district", "r", "c"]).groupBy("zone").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("k")).alias("facilities"))
 
 
-RULES = (("R1", "immediate", "v > 350"), ("R2", "immediate", "slope > 40 and v > 150"), ("R3", "urgent", "built > 0.5"), ("R4", "urgent", "v between 100 and 200 and slope < 10"), ("R5", "routine", "built < 0.05 or missing > 1"))
-
-
-@query(oracle(", f AS (SELECT district, r, c, v, v % 53 AS slope, (v % 89) / 89.0e0 AS built, CAST(NULL AS DOUBLE) AS missing FROM cells) " + " UNION ALL ".join(f"SELECT district, r, c, '{i}' AS rule, '{p}' AS priority FROM f WHERE {w}" for i, p, w in RULES), "cells"))
-def rule_match(spark, sf):
-    """All rules in one projection; a predicate over missing facts is no match."""
-    facts = T.cells(spark, sf).selectExpr("district", "r", "c", "v", "v % 53 as slope", "(v % 89) / 89.0D as built", "cast(null as double) as missing")
-    hits = F.array_compact(F.array(*[F.when(F.expr(w), F.struct(F.lit(i).alias("rule"), F.lit(p).alias("priority"))) for i, p, w in RULES]))
-    return facts.select("district", "r", "c", F.explode(hits).alias("m")).select("district", "r", "c", "m.rule", "m.priority")
 
 
 @query(oracle("SELECT district, r, c FROM cells x WHERE v > 200 AND NOT EXISTS (SELECT 1 FROM settlements s WHERE s.district = x.district AND abs(x.r - r0) <= 5 AND abs(x.c - c0) <= 5)", "cells", "settlements"))
