@@ -18,13 +18,6 @@ def scan_cells(spark, sf):
     return T.cells(spark, sf).where("district = 2").select("r", "c", "v")
 
 
-@query("SELECT k, CAST(3 + k % 4 AS BIGINT) AS points, CAST(k AS DOUBLE) AS lon FROM (SELECT range AS k FROM range(12))")
-def geojson_explode(spark, sf):
-    """Features parsed from their JSON text, one row a ring."""
-    ring = "transform(sequence(0, cast(k % 4 as int) + 2), i -> array(cast(k + i as double), cast(k - i as double)))"
-    text = spark.range(12).withColumnRenamed("id", "k").select("k", F.to_json(F.expr(f"named_struct('geometry', named_struct('type', 'Polygon', 'coordinates', array({ring})))")).alias("feature"))
-    shape = F.from_json("feature", "geometry struct<type: string, coordinates: array<array<array<double>>>>")
-    return text.select("k", F.explode(shape["geometry"]["coordinates"]).alias("ring")).select("k", F.size("ring").cast("long").alias("points"), F.col("ring")[0][0].alias("lon"))
 
 
 STORM = "exp(-0.5e0 * pow((t - 33.6e0) / 8.64e0, 2))"

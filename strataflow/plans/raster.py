@@ -122,9 +122,6 @@ def hillshade(spark, sf):
     return s.select("district", "r", "c", F.round(F.expr("greatest(0D, least(1D, cos(radians(48D)) * cos(radians(slope)) + sin(radians(48D)) * sin(radians(slope)) * cos(radians(315D - aspect))))"), 5).alias("shade"))
 
 
-@query("SELECT range AS step, CAST(floor(255 * range / 5e0) AS BIGINT) AS shade FROM range(6)")
-def legend(spark, sf):
-    return spark.range(6).selectExpr("id as step", "cast(floor(255 * id / 5D) as bigint) as shade")
 
 
 @query(oracle(", q AS (SELECT district, quantile_cont(v, 0.02) AS lo, quantile_cont(v, 0.98) AS hi FROM cells GROUP BY 1) SELECT district, r, c, round(CASE WHEN v < 30 THEN 0 ELSE 0.34e0 * s + 0.30e0 * (1 - s) + 0.21e0 * ((v % 89) / 89e0) + 0.15e0 * ((v % 97) / 97e0) END, 6) AS susceptibility FROM (SELECT *, greatest(0, least(1, (v - lo) / greatest(hi - lo, 1e-9))) AS s FROM cells JOIN q USING (district))", "cells"))
@@ -221,11 +218,6 @@ def route_probe(spark, sf):
     return p.join(T.cells(spark, sf), ["district", "r", "c"]).groupBy("i").agg(F.count("*").alias("n"), F.max("v").alias("worst"))
 
 
-@query(oracle(", s AS (SELECT range AS i, range * 3 AS ra, (range * 7) % 40 AS ca, (range * 5 + 20) % 40 AS rb, (range * 11 + 9) % 40 AS cb FROM range(10)) SELECT DISTINCT CAST(round_even(ra + (rb - ra) * t / 80e0, 0) AS BIGINT) AS r, CAST(round_even(ca + (cb - ca) * t / 80e0, 0) AS BIGINT) AS c FROM s CROSS JOIN (SELECT range AS t FROM range(81))"))
-def rasterize_lines(spark, sf):
-    """Cells that ways pass through, each way sampled finer than a cell."""
-    s = spark.range(10).selectExpr("id as i", "id * 3 as ra", "(id * 7) % 40 as ca", "(id * 5 + 20) % 40 as rb", "(id * 11 + 9) % 40 as cb").withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(80))))
-    return s.selectExpr("cast(bround(ra + (rb - ra) * t / 80D, 0) as bigint) as r", "cast(bround(ca + (cb - ca) * t / 80D, 0) as bigint) as c").distinct()
 
 
 @query(oracle(", ok AS (SELECT district, r, c FROM cells WHERE v < 190), f AS (SELECT district, r, c FROM ok WHERE r = 0 UNION SELECT o.district, o.r, o.c FROM f JOIN ok o ON o.district = f.district AND abs(o.r - f.r) + abs(o.c - f.c) = 1) SELECT DISTINCT district, r, c FROM f", "cells", recursive=True))
@@ -298,11 +290,6 @@ def mollweide(spark, sf):
     return p.selectExpr("k", f"round({RADIUS_KM}D * 2 * sqrt(2e0) / pi() * radians(lon) * cos(t), 4) + 0e0 as x", f"round({RADIUS_KM}D * sqrt(2e0) * sin(t), 4) + 0e0 as y")
 
 
-@query("SELECT k, array_max_n AS n FROM (SELECT range AS k, greatest(range % 5 + 3, range % 7 + 3) AS array_max_n FROM range(20))")
-def ring_largest_part(spark, sf):
-    """The longest ring of several parts."""
-    parts = spark.range(20).selectExpr("id as k", "array(sequence(1L, id % 5 + 3), sequence(1L, id % 7 + 3)) as parts")
-    return parts.select("k", F.expr("array_max(transform(parts, p -> struct(cast(size(p) as bigint) as n, p))).n").alias("n"))
 
 
 SHAPES = {
@@ -312,11 +299,13 @@ SHAPES = {
 }
 
 
-@query("WITH h AS (SELECT range AS t FROM range(96)), w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS shape, t, {e} AS w FROM h" for n, e in SHAPES.items()) + ") SELECT shape, t, round(w / sum(w) OVER (PARTITION BY shape), 9) AS share FROM w")
+@query(oracle(", h AS (SELECT range AS t FROM range(96)), w AS (" + " UNION ALL ".join(f"SELECT '{n}' AS shape, t, {e} AS w FROM h" for n, e in SHAPES.items()) + "), d AS (SELECT district, avg(v) AS depth FROM cells GROUP BY 1) SELECT district, shape, t, round(w / sum(w) OVER (PARTITION BY district, shape), 9) AS share, round(depth * w / sum(w) OVER (PARTITION BY district, shape), 6) AS mm FROM d CROSS JOIN w", "cells"))
 def hyetograph(spark, sf):
-    """Storm shapes over 96 hours; each sums to one."""
+    """Each district's mean depth over the storm shapes' 96 hours; shares sum to one."""
     t = spark.range(96).withColumnRenamed("id", "t").select("t", *[F.expr(e).alias(n) for n, e in SHAPES.items()]).unpivot(["t"], list(SHAPES), "shape", "w")
-    return t.select("shape", "t", F.round(F.col("w") / F.sum("w").over(W.partitionBy("shape")), 9).alias("share"))
+    shares = t.withColumn("p", F.col("w") / F.sum("w").over(W.partitionBy("shape")))
+    depth = T.cells(spark, sf).groupBy("district").agg(F.avg("v").alias("depth"))
+    return depth.crossJoin(F.broadcast(shares)).select("district", "shape", "t", F.round("p", 9).alias("share"), F.round(F.col("depth") * F.col("p"), 6).alias("mm"))  # 288 rows
 
 
 @query()

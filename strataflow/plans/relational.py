@@ -442,12 +442,6 @@ def resource_plan(spark, sf):
     return p.crossJoin(F.broadcast(s)).selectExpr("nation", "item", "cast(ceil(pop * rate * 3) as bigint) as amount", "cast(ceil(pop / 2500.0D) as bigint) as boats")
 
 
-@query(oracle(f", g AS (SELECT lat, lon FROM (SELECT 6 + range * 1.0e0 AS lat FROM range(32)) CROSS JOIN (SELECT 68 + range * 1.0e0 AS lon FROM range(31))), e AS (SELECT * FROM (VALUES " + ", ".join(f"({a[0]}e0, {a[1]}e0, {b[0]}e0, {b[1]}e0)" for a, b in zip(RING, RING[1:] + RING[:1])) + ") t(y1, x1, y2, x2)), i AS (SELECT lat, lon FROM g JOIN e ON (y1 > lat) <> (y2 > lat) AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1 GROUP BY 1, 2 HAVING count(*) % 2 = 1) SELECT lat, lon, row_number() OVER (ORDER BY lat, lon) AS id FROM i"))
-def tessellate(spark, sf):
-    """The one-degree lattice inside the outline, numbered."""
-    g = spark.range(32).selectExpr("6 + id * 1.0D as lat").crossJoin(F.broadcast(spark.range(31).selectExpr("68 + id * 1.0D as lon")))
-    crossings = " + ".join(f"if(({a[0]}D > lat) != ({b[0]}D > lat) and lon < ({b[1]}D - {a[1]}D) * (lat - {a[0]}D) / ({b[0]}D - {a[0]}D) + {a[1]}D, 1, 0)" for a, b in zip(RING, RING[1:] + RING[:1]))
-    return g.where(f"({crossings}) % 2 = 1").withColumn("id", F.row_number().over(W.orderBy("lat", "lon")).cast("long"))
 
 
 @query(oracle(", a AS (SELECT nation, sum(pop) AS pop, max(lat) AS lat FROM points GROUP BY 1) SELECT n_nationkey, CASE WHEN n_nationkey % 5 = 0 THEN 'modelled' WHEN n_nationkey % 5 = 4 THEN 'offline' ELSE 'screening' END AS tier, CASE WHEN n_nationkey % 5 = 0 THEN round(45 * least(pop / 300000.0e0, 1), 5) WHEN n_nationkey % 5 = 4 THEN NULL ELSE round(lat, 5) END AS score FROM nation LEFT JOIN a ON nation = n_nationkey", "points"))

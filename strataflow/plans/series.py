@@ -79,11 +79,11 @@ def uh_convolve(spark, sf):
     return last.select("point", "h", F.round(F.expr(weighted), 4).alias("q"))
 
 
-@query("SELECT t, round(g / sum(g) OVER (), 9) AS u FROM (SELECT range + 1 AS t, pow(range + 1, 2) * exp(-(range + 1) / 3e0) AS g FROM range(48))")
+@query("WITH u AS (SELECT CAST(n_nationkey AS BIGINT) AS nation, range + 1 AS t, pow(range + 1, 2) * exp(-(range + 1) / (2 + n_nationkey % 5 / 2e0)) AS g FROM nation CROSS JOIN range(48)) SELECT nation, t, round(g / sum(g) OVER (PARTITION BY nation), 9) AS u FROM u")
 def unit_hydrograph(spark, sf):
-    """The ordinates for a time to peak of 6 hours (shape 3)."""
-    u = spark.range(1).select(F.expr("transform(sequence(1, 48), t -> pow(t, 2) * exp(-t / 3D))").alias("u"))
-    return u.select(F.posexplode("u").alias("i", "g"), F.expr("aggregate(u, 0D, (s, x) -> s + x)").alias("s")).select((F.col("i") + 1).cast("long").alias("t"), F.round(F.col("g") / F.col("s"), 9).alias("u"))
+    """The ordinates of each catchment, whose time to peak is its own (shape 3)."""
+    u = T.table(spark, sf, "nation").selectExpr("cast(n_nationkey as bigint) as nation", "transform(sequence(1, 48), t -> pow(t, 2) * exp(-t / (2 + n_nationkey % 5 / 2D))) as u")
+    return u.select("nation", F.posexplode("u").alias("i", "g"), F.expr("aggregate(u, 0D, (s, x) -> s + x)").alias("s")).select("nation", (F.col("i") + 1).cast("long").alias("t"), F.round(F.col("g") / F.col("s"), 9).alias("u"))
 
 
 @query(oracle("SELECT point, round(sum(mm), 4) AS wettest FROM (SELECT point, mm, row_number() OVER (PARTITION BY point ORDER BY mm DESC, h) AS n FROM hourly) WHERE n <= 24 GROUP BY 1", "hourly"))
@@ -93,13 +93,6 @@ def topk_sum(spark, sf):
     return T.hourly(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 24").groupBy("point").agg(F.round(F.sum("mm"), 4).alias("wettest"))
 
 
-@query("WITH p AS (SELECT range AS i, (range * 13 % 16) * 1.0e0 AS v FROM range(16)), t AS (SELECT range AS x, range / 100.0e0 * 15 AS u FROM range(101)) SELECT x, round((1 - (u - floor(u))) * a.v + (u - floor(u)) * b.v, 6) AS v FROM t JOIN p a ON a.i = floor(u) JOIN p b ON b.i = least(floor(u) + 1, 15)")
-def bilinear(spark, sf):
-    """Each target from the sources beside it, by weight."""
-    p = F.broadcast(spark.range(16).selectExpr("id as i", "(id * 13 % 16) * 1.0D as v"))
-    t = spark.range(101).selectExpr("id as x", "id / 100.0D * 15 as at").withColumns({"lo": F.floor("at"), "hi": F.least(F.floor("at") + 1, F.lit(15))})
-    a, b = p.selectExpr("i as lo", "v as va"), p.selectExpr("i as hi", "v as vb")
-    return t.join(a, "lo").join(b, "hi").selectExpr("x", "round((1 - (at - lo)) * va + (at - lo) * vb, 6) as v")
 
 
 @query(oracle(", r AS (SELECT point, h, cloud, sum(mm) OVER (PARTITION BY point ORDER BY h ROWS BETWEEN 1 FOLLOWING AND 24 FOLLOWING) AS ahead FROM hourly), b AS (SELECT point, h, cloud, round(100 * (0.7e0 * least(coalesce(ahead, 0) / 204.5e0, 1) + 0.3e0 * cloud / 100), 4) AS base FROM r WHERE h % 24 = 0) SELECT point, h, base, row_number() OVER (PARTITION BY h ORDER BY base DESC, point) AS rank FROM b WHERE base >= 18", "hourly"))
