@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import composed, doctrine, ground, learning, pointwise, raster, rasters, relational, series, shapes, streams  # noqa: F401  (they register)
+from . import composed, doctrine, ground, learning, pictures, pointwise, raster, rasters, relational, series, shapes, streams  # noqa: F401  (they register)
 from .build import QUERIES, SQL
 
 
