@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..streaming import jobs
+from ..streaming import desk, jobs
 from .build import query
 
 
@@ -34,3 +34,18 @@ def dedup(spark, sf):
 def state_api(spark, sf):
     got = jobs.drain(jobs.wetness_index(jobs.events(spark, sf)), "update")
     return got.groupBy("event_type").agg(F.max_by("api", "seen").alias("api"), F.max("seen").alias("seen"))
+
+
+@query()
+def live_assessments(spark, sf):
+    """What happens to each group of users' live assessment: opened, raised,
+    held back, expired 900 s after its last reading, standing down for 600 s
+    after a refusal (an event in eleven)."""
+    was = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    desk.prepare(spark)
+    try:
+        readings = jobs.events(spark, sf).selectExpr("cast(user_id % 40 as string) as place", "ts as at", "case when event_id % 11 > 0 then value end as level")
+        got = jobs.drain(desk.assessments(readings), "append")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", was)
+    return got.select("place", F.unix_seconds("at").alias("at"), "what", "level")
