@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import formulas as M
-from ..operators import choices, networks
+from ..operators import choices, networks, radar
 from ..operators import grids as G
 from ..sources import tables as T
 from .build import oracle, query
@@ -308,16 +308,16 @@ def hyetograph(spark, sf):
     return depth.crossJoin(F.broadcast(shares)).select("district", "shape", "t", F.round("p", 9).alias("share"), F.round(F.col("depth") * F.col("p"), 6).alias("mm"))  # 288 rows
 
 
+def scene(spark, sf):
+    """A radar scene over each grid, before and after the wettest ground went
+    under, with what the detection holds it against."""
+    cells = T.cells(spark, sf).withColumn("z", F.col("v") / 40)
+    high = cells.groupBy("district").agg(F.percentile("v", 0.7).alias("high"))
+    ground = G.slope_aspect(cells, "z").join(high, "district")  # a row a district
+    return ground.selectExpr("district", "r", "c", "slope", "v % 60 as hand", "v % 31 = 0 as stream", "v < 40 as sea", "-8D - (v % 7) / 5 - if(v % 31 = 0, 9, 0) as before", "if(v > high, -19D - (v % 5) / 4, -8D - (v % 7) / 5) as after")
+
+
 @query()
 def sar_detect(spark, sf):
-    """Water in a radar scene: filtered, cut at the scene's own threshold, kept
-    where it darkened against the scene before and the ground is not steep."""
-    cells = T.cells(spark, sf)
-    high = cells.groupBy("district").agg(F.percentile("v", 0.7).alias("percentile_cut"))  # a row a district
-    scene = cells.join(F.broadcast(high), "district").withColumn("before", F.expr("-8D - (v % 7) / 5")).withColumn("after", F.expr("case when v > percentile_cut then -19D - (v % 5) / 4 else before end"))
-    seen = G.box_blur(scene, "after", out="lee")
-    cut = seen.groupBy("district").agg(F.least(F.percentile("lee", 0.5), F.lit(-13.0)).alias("cut"))
-    slope = G.slope_aspect(T.cells(spark, sf)).select("district", "r", "c", "slope")
-    # a row a district
-    found = seen.join(F.broadcast(cut), "district").where("lee < cut and before - lee >= 2.5D").join(slope, ["district", "r", "c"]).where("slope <= 80")
-    return found.select("district", "r", "c", F.when(F.col("cut") - F.col("lee") > 3, "high").otherwise("moderate").alias("confidence"))
+    """Flood and permanent water in each scene, and how far its cut is to be trusted."""
+    return radar.detect(scene(spark, sf)).where("flood or permanent")
