@@ -34,7 +34,9 @@ def raster_scan(spark, sf):
  p AS (SELECT *, (x - 2 * district) * 128 - 0.5e0 AS fc, (40 - y) * 128 - 0.5e0 AS fr FROM t), q AS (SELECT *, a, b, (1 - abs(fr - floor(fr) - a)) * (1 - abs(fc - floor(fc) - b)) AS w FROM p CROSS JOIN range(2) i(a) CROSS JOIN range(2) j(b))
  SELECT q.district, q.r, q.c, round(sum(w * s.v) / sum(w) FILTER (s.v IS NOT NULL), 6) AS value FROM q LEFT JOIN terrain s ON s.district = q.district AND s.r = floor(fr) + a AND s.c = floor(fc) + b AND s.v <> 7 WHERE w > 0 GROUP BY 1, 2, 3""", "terrain"))
 def raster_reproject(spark, sf):
-    """The files' cells on another lattice, bilinear."""
+    """The files' cells on another lattice, bilinear; grids wider than two
+    degrees lie over their neighbours, and each counts only for its own district."""
     n = T.side(spark, sf) * 4 // 5
     target = T.terrain(spark, sf).where(f"r < {n} and c < {n}").selectExpr("district", "r", "c", "2 * district + (c + 0.75D) * 5 / 512D as x", "40 - (r + 0.75D) * 5 / 512D as y")
-    return rasters.bilinear(written(spark, sf), target, STEP, STEP, ["district", "r", "c"]).select("district", "r", "c", F.round("value", 6).alias("value"))
+    of = written(spark, sf).withColumn("district", F.regexp_extract("file", r"([0-9]+)-[0-9]+-[0-9]+\.tif$", 1).cast("long"))
+    return rasters.bilinear(of, target, STEP, STEP, ["district", "r", "c"], ["district"]).select("district", "r", "c", F.round("value", 6).alias("value"))

@@ -241,18 +241,20 @@ def write(cells: DataFrame, path: str, *, x0: str, y0: str, dx: float, dy: float
     return squares.groupBy("district", "tr", "tc").applyInArrow(save, "file string, cells long")
 
 
-def bilinear(raster: DataFrame, target: DataFrame, dx: float, dy: float, keys: list[str]) -> DataFrame:
+def bilinear(raster: DataFrame, target: DataFrame, dx: float, dy: float, keys: list[str], within: list[str] = []) -> DataFrame:
     """``keys, value``: each target from the four cells around its ``x, y``,
     weighted by nearness.
 
     ``raster``: x, y (cells' centres on one lattice of spacing ``dx, dy`` with a
     corner at 0, 0), value, file; where files overlap the first by name counts.
+    Columns ``within``, of the keys and of ``raster``, part the grids: a target
+    takes only cells of its own, whatever else lies over them.
     Cells without a value give their weight to the others; a target without
     any has a null.  The four are joined by their place on the lattice, so
     neither side is held whole anywhere.
     """
     spot = lambda at, size: F.col(at) / F.lit(size) - 0.5  # noqa: E731  of a cell's centre: a whole number
-    lattice = raster.groupBy(F.round(spot("x", dx)).cast("long").alias("_i"), F.round(spot("y", dy)).cast("long").alias("_j")).agg(F.min_by("value", "file").alias("_v"))
+    lattice = raster.groupBy(*within, F.round(spot("x", dx)).cast("long").alias("_i"), F.round(spot("y", dy)).cast("long").alias("_j")).agg(F.min_by("value", "file").alias("_v"))
     # a centre found by rounding is one, not a hair beside it
     exact = lambda e: F.when(F.abs(e - F.round(e)) < 1e-9, F.round(e)).otherwise(e)
     at = target.select(*keys, exact(spot("x", dx)).alias("_x"), exact(spot("y", dy)).alias("_y"))
@@ -263,5 +265,5 @@ def bilinear(raster: DataFrame, target: DataFrame, dx: float, dy: float, keys: l
         (F.floor("_y") + F.col("_k.b")).alias("_j"),
         ((1 - F.abs(F.col("_x") - F.floor("_x") - F.col("_k.a"))) * (1 - F.abs(F.col("_y") - F.floor("_y") - F.col("_k.b")))).alias("_w"),
     )
-    got = four.where("_w > 0").join(lattice, ["_i", "_j"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_w")))
+    got = four.where("_w > 0").join(lattice, [*within, "_i", "_j"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_w")))
     return got.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("value"))
