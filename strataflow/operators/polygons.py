@@ -54,18 +54,27 @@ def fill(lines: DataFrame, keys: Sequence[str], *, x0: float, y0: float, dx: flo
     return cells.where(f"{centre_x} >= _x and {centre_x} < _end").select(*keys, "r", "c")
 
 
-def locate(points: DataFrame, lines: DataFrame, keys: Sequence[str], own: Sequence[str], tile: float = 1.0) -> DataFrame:
+def locate(points: DataFrame, lines: DataFrame, keys: Sequence[str], own: Sequence[str], tile: float = 1.0, piece: int = 1024) -> DataFrame:
     """``own, keys``: the polygons that each point ``x, y`` is in.
 
-    A point meets the polygons whose bounds share its tile, and of their edges
-    those in its band of the polygon: equi-joins both, whatever the sizes.
-    ``own`` names the points.
+    A polygon's edges are gathered by bands of height ``tile``, in arrays of
+    ``piece`` edges at most, and a point meets the bands whose bounds share its
+    tile: one equi-join that shuffles, whatever the sizes; neither edges nor
+    pairs are broadcast.  Only bands of several pieces are added up after it.
+    ``own`` names the points; a point given twice counts once.
     """
     of = lambda e: F.floor(F.expr(e) / F.lit(tile)).cast("long")
-    bounds = lines.groupBy(*keys).agg(F.min(F.least("x1", "x2")).alias("_l"), F.max(F.greatest("x1", "x2")).alias("_r"), F.min(F.least("y1", "y2")).alias("_b"), F.max(F.greatest("y1", "y2")).alias("_t"))
-    tiled = bounds.withColumn("_i", F.explode(F.sequence(of("_l"), of("_r")))).withColumn("_j", F.explode(F.sequence(of("_b"), of("_t"))))
-    spots = points.select(*own, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).withColumn("_i", of("_x")).withColumn("_j", of("_y"))
-    near = spots.join(tiled, ["_i", "_j"]).where("_x >= _l and _x <= _r and _y >= _b and _y <= _t")
+    band = W.partitionBy(*keys, "_j")
     banded = lines.withColumn("_j", F.explode(F.sequence(of("least(y1, y2)"), of("greatest(y1, y2)"))))
-    pairs = near.select(*own, *keys, "_x", "_y", "_j").join(banded, [*keys, "_j"])
-    return pairs.where(f"(y1 > _y) != (y2 > _y) and _x < {_at('_y')}").groupBy(*own, *keys, "_x", "_y").agg(F.count("*").alias("_n")).where("_n % 2 = 1").select(*own, *keys)
+    number = F.floor((F.row_number().over(band.orderBy("x1", "y1", "x2", "y2")) - 1) / piece)
+    bounds = [F.min(F.least("x1", "x2")).over(band).alias("_l"), F.max(F.greatest("x1", "x2")).over(band).alias("_r"), (F.count("*").over(band) > piece).alias("_many")]
+    cut = banded.select(*keys, "_j", F.struct("x1", "y1", "x2", "y2").alias("_e"), *bounds, number.alias("_piece"))
+    pieces = cut.groupBy(*keys, "_j", "_l", "_r", "_many", "_piece").agg(F.collect_list("_e").alias("_edges"))
+    tiled = pieces.withColumn("_i", F.explode(F.sequence(of("_l"), of("_r"))))
+    spots = points.select(*own, F.col("x").cast("double").alias("_x"), F.col("y").cast("double").alias("_y")).distinct().withColumn("_i", of("_x")).withColumn("_j", of("_y"))
+    # estimates of exploded rows are far too small, and would have them broadcast
+    near = lambda few: spots.join(tiled.where(few).hint("merge"), ["_i", "_j"]).where("_x >= _l and _x <= _r")
+    n = F.expr("size(filter(_edges, e -> (e.y1 > _y) != (e.y2 > _y) and _x < (e.x2 - e.x1) * (_y - e.y1) / (e.y2 - e.y1) + e.x1))")
+    whole = near("not _many").where(n % 2 == 1).select(*own, *keys)
+    added = near("_many").groupBy(*own, *keys, "_x", "_y").agg(F.sum(n).alias("_n")).where("_n % 2 = 1").select(*own, *keys)
+    return whole.unionByName(added)

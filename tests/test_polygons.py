@@ -66,3 +66,14 @@ def test_of_nothing(spark, lines):
     none = lines.where("false")
     assert polygons.fill(none, ["k"], x0=0.0, y0=1.0, dx=1.0, dy=1.0, rows=1, cols=1).isEmpty()
     assert polygons.locate(spark.createDataFrame([(1, 1.0, 1.0)], "id long, x double, y double"), none, ["k"], ["id"]).isEmpty()
+
+
+def test_long_bands_go_by_pieces_and_nothing_is_broadcast(spark, lines, capsys):
+    """Estimates of exploded rows are too small: edges were broadcast whole."""
+    spots = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.random.default_rng(3).uniform(-1, 12, (200, 2)))]
+    points = spark.createDataFrame(spots + spots[:5], "id long, x double, y double")
+    made = polygons.edges(spark.range(50).selectExpr("id as k", "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 9D, 'y', 0D), named_struct('x', 0D, 'y', 9D)) as ring"), ["k"])
+    polygons.locate(points, made, ["k"], ["id"]).explain()
+    assert "Broadcast" not in capsys.readouterr().out
+    got = sorted((x["id"], x["k"]) for x in polygons.locate(points, lines.where("k is not null"), ["k"], ["id"], 4.0, 3).collect())
+    assert got == sorted((i, k) for i, x, y in spots for k, rings in SHAPES.items() if k is not None and odd(rings, x, y))
