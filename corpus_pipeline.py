@@ -22,7 +22,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """By the similarity of five-word shingles, at least 0.8 (op6's contract of 3 words and 2 bits is the query's alone)."""
+    """By SimHash over five-word shingles, and the exact join for what fingerprints miss: similarity of at least 0.8 (op6's
+    contract of 3 words and 2 bits is the query's alone)."""
     return shingle_dedup.keep_one(docs)
 
 

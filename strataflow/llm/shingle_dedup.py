@@ -1,11 +1,18 @@
-"""Near-duplicates by exact shingle similarity: a prefix-filtered join.
+"""Near-duplicates by SimHash, and by exact shingle similarity for the rest.
+
+Every set of shingles has a 64-bit SimHash.  Sets whose fingerprints are equal or
+at most 2 bits apart are found by multi-index hashing, and of the sets that meet
+in the join below the ones with the nearest fingerprints are compared first.
+Fingerprints propose pairs only: the whole sets decide, and what no fingerprint
+proposes is found by an exact prefix-filtered join.
 
 Two documents are near-duplicates if the Jaccard similarity of their sets of
 five-word shingles is at least 0.8.  If a set of n shingles is put in an order
 that all sets share, a similar set has one of its first n - ceil(0.8 n) + 1
 shingles among its own first ones.  So only these are joined, the shingles that
-are common in a sample last; sizes and places rule out most pairs met, and the
-whole sets decide on the others.  Every similar pair is found, whatever the
+are common in a sample last; sizes, places
+and counts of shingles by their hash rule out most pairs met, and the whole sets
+decide on the others.  Every similar pair is found, whatever the
 order.
 
 Equal sets are one node.  Large groups aren't compared pair by pair: first each
@@ -20,7 +27,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import column_bytes, cut, release, tidied
-from .simhash_dedup import SEED, keep_first, labelled, shingle_hashes, stars
+from .simhash_dedup import SEED, keep_first, labelled, shingle_hashes, simhash_of, stars
+from .simhash_dedup import links as near_fingerprints
 
 WIDTH = 5
 #: The least similarity, as a fraction: all comparisons are of whole numbers.
@@ -28,6 +36,7 @@ PART, WHOLE = 4, 5
 COMMON = 1 << 17  # shingles that are put last
 LOOK = 5000  # documents, on average, in which the common shingles are counted
 ROWS = 1 << 20  # numbers in a batch that a task hands on
+FULL = 4  # shingles in one of the buckets that a set's shingles are counted in, at most and on average
 SLOTS = 1 << 19  # longs of the bit table of nodes: 4 MB however many they are
 
 
@@ -91,17 +100,71 @@ def _sets(docs: DataFrame, text: str, bits=None) -> DataFrame:
     return docs.select(F.col(text).alias("_text")).mapInArrow(run, "node long, shingles array<long>")
 
 
+def sketch_of(own) -> bytes:
+    """How many of a set's hashes have each value of their lowest bits: a byte a
+    bucket, the buckets a power of two.  Empty if a byte is too small."""
+    import numpy as np
+
+    buckets = 1 << max(4, (-(-len(own) // FULL) - 1).bit_length())
+    counts = np.bincount(own & buckets - 1, minlength=buckets)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """By how many shingles two sets differ at least, by their sketches; the finer one is folded."""
+    import numpy as np
+
+    x, y = (np.frombuffer(z, np.uint8).astype(np.int32) for z in sorted((x, y), key=len))
+    return int(np.abs(x - y.reshape(-1, len(x)).sum(0)).sum()) if len(x) else 0
+
+
 def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``_key, fingerprint``: the node of every row."""
+    """``_key, fingerprint, mark, size, sketch``: the node of every row, with its
+    set's SimHash, size and counts."""
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([node_of(shingle_set(t)) for t in column_bytes(batch, "_text")], pa.int64())], ["_key", "fingerprint"])
+            rows = []
+            for t in column_bytes(batch, "_text"):
+                own = shingle_set(t)
+                rows.append((node_of(own), simhash_of(own), len(own), sketch_of(own)))
+            columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+            if rows:
+                yield pa.record_batch([batch.column(0), *columns], ["_key", "fingerprint", "mark", "size", "sketch"])
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, fingerprint long")
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, f"_key {kind}, fingerprint long, mark long, size long, sketch binary")
+
+
+def _proposed(nodes: DataFrame) -> DataFrame:
+    """``a, b``: each of ``nodes`` with the smallest of its SimHash, and the
+    smallest of each SimHash with that of one other at most 2 bits apart."""
+    least = cut(nodes.groupBy("mark").agg(F.min("node").alias("least")))
+    same = nodes.join(least, "mark").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    near = near_fingerprints(least.select(F.col("mark").alias("fingerprint"))).groupBy("b").agg(F.min("a").alias("a"))
+    named = near.join(least.select(F.col("mark").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("mark").alias("b"), F.col("least").alias("y")), "b")
+    return cut(same.union(named.select(F.least("x", "y"), F.greatest("x", "y"))))
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``a, b, bits``: those of the pairs whose sets can be similar by their
+    counts, and by how many bits their fingerprints differ.  No similar pair is lost."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            # sets of n and m shingles that share i differ in n + m - 2 i
+            keep = [least_apart(x, y) * (PART + WHOLE) <= most * (WHOLE - PART) for most, x, y in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)))]
+            yield pa.record_batch(batch.columns[:3], ["a", "b", "bits"]).filter(pa.array(keep, pa.bool_()))
+
+    own = nodes.select(F.col("node").alias("a"), F.col("mark").alias("_ma"), F.col("size").alias("_na"), F.col("sketch").alias("_ka"))
+    other = nodes.select(F.col("node").alias("b"), F.col("mark").alias("_mb"), F.col("size").alias("_nb"), F.col("sketch").alias("_kb"))
+    both = pairs.select("a", "b").join(own, "a").join(other, "b")
+    bits = F.bit_count(F.col("_ma").bitwiseXOR(F.col("_mb")))
+    return both.select("a", "b", bits.alias("bits"), F.col("_na") + F.col("_nb"), "_ka", "_kb").mapInArrow(run, "a long, b long, bits int")
 
 
 def _common(docs: DataFrame, text: str):
@@ -169,17 +232,20 @@ def _similar(pairs: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     # only sets that may be wanted are shuffled
     sets = cut(_sets(docs, text, _bits(wanted)).join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    release(docs.sparkSession)
     both = F.size(F.array_intersect("_sa", "_sb"))
     met = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_sb")), "b")
     return met.where(both * (PART + WHOLE) >= (F.size("_sa") + F.size("_sb")) * PART).select("a", "b")
 
 
-def links(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """``a, b``: each node but the smallest of its component of similar nodes, with that one."""
+def links(docs: DataFrame, nodes: DataFrame, *, text: str = "text") -> DataFrame:
+    """``a, b``: each node but the smallest of its component of similar nodes,
+    with that one.  ``nodes`` has ``node, mark, size, sketch`` of each set once."""
     by_token = Window.partitionBy("token")
     rows = _prefixes(docs, text).repartition("token").dropDuplicates(["token", "node"])
     # a shingle that only one node has meets nothing
     rows = cut(rows.withColumn("_n", F.count("*").over(by_token)).where("_n > 1").drop("_n"))
+    release(docs.sparkSession)  # the first shingles of all sets, the largest shuffle
 
     def apart(joined: DataFrame) -> DataFrame:
         """``rows`` with their components, without shingles of one component only."""
@@ -191,13 +257,16 @@ def links(docs: DataFrame, *, text: str = "text") -> DataFrame:
         """Each node with the smallest one of each shingle, if they can be similar."""
         lead = F.min(F.struct("node", "place", "component")).over(by_token)
         near = _may_reach(F.col("lead.place"), F.col("place")) & (F.col("lead.node") < F.col("node")) & (F.col("lead.component") != F.col("component"))
-        return rows.withColumn("lead", lead).where(near).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        met = rows.withColumn("lead", lead).where(near).select(F.col("lead.node").alias("a"), F.col("node").alias("b"))
+        return _likely(met.distinct(), nodes)
 
-    # each node first meets one other, which joins most of a large group; then those of its shingles that are still apart
-    one = cut(led(rows.withColumn("component", F.col("node"))).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+    # each node first meets those that SimHash proposes, and of the smallest nodes of its shingles the one with the nearest
+    # fingerprint, which joins most of a large group; then the others that are still apart
+    nearest = led(rows.withColumn("component", F.col("node"))).groupBy("b").agg(F.min(F.struct("bits", "a")).alias("_")).select("_.a", "b")
+    one = cut(_likely(_proposed(nodes), nodes).select("a", "b").union(nearest).distinct())
     joined = stars(_similar(one, docs, text))
     release(docs.sparkSession)  # the shuffle files and plans of the steps so far
-    more = cut(led(apart(joined)).distinct().join(one, ["a", "b"], "left_anti"))
+    more = cut(led(apart(joined)).select("a", "b").join(one, ["a", "b"], "left_anti"))
     met_before = one.union(more)
     joined = stars(joined.union(_similar(more, docs, text)))
     release(docs.sparkSession)
@@ -205,7 +274,7 @@ def links(docs: DataFrame, *, text: str = "text") -> DataFrame:
     x = rows.select("token", F.col("node").alias("a"), F.col("place").alias("_x"), F.col("component").alias("_c"))
     y = rows.select("token", F.col("node").alias("b"), F.col("place").alias("_y"), F.col("component").alias("_d"))
     met = x.join(y, "token").where((F.col("a") < F.col("b")) & (F.col("_c") != F.col("_d")) & _may_reach(F.col("_x"), F.col("_y")))
-    rest = cut(met.select("a", "b").distinct().join(met_before, ["a", "b"], "left_anti"))
+    rest = cut(_likely(met.select("a", "b").distinct().join(met_before, ["a", "b"], "left_anti"), nodes).select("a", "b"))
     return stars(joined.union(_similar(rest, docs, text)))
 
 
@@ -221,7 +290,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     empty result.  ``docs`` is read six times at most.
     """
     marks = cut(_nodes(docs, key, text))
-    return labelled(marks, links(docs, text=text)).select(F.col("_key").alias(key), "component_id")
+    nodes = cut(marks.where("size > 0").select(F.col("fingerprint").alias("node"), "mark", "size", "sketch").dropDuplicates(["node"]))
+    found = links(docs, nodes, text=text)
+    release(docs.sparkSession)
+    return labelled(marks.select("_key", "fingerprint"), found).select(F.col("_key").alias(key), "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

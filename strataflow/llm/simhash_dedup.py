@@ -37,14 +37,18 @@ def shingle_hashes(words: list[bytes], width: int):
 
 def fingerprint_of(text: bytes | None, width: int) -> int:
     """The unsigned SimHash of one text (see :func:`fingerprints`)."""
+    return simhash_of(shingle_hashes((text or b"").lower().split(), width)) & (1 << 64) - 1
+
+
+def simhash_of(hashes) -> int:
+    """The SimHash of 64-bit hashes, as a signed long: the bits that more than half of them have."""
     import numpy as np
 
-    hashes = shingle_hashes((text or b"").lower().split(), width)
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprints(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
