@@ -34,6 +34,9 @@ BATCH = 1 << 17  # rows a task hands on at a time
 COMMON = 1 << 17  # units whose paths are broadcast
 LOOK = 5000  # documents, on average, in which the common units are counted
 LISTED = 1 << 16  # blocks, about, in one list of those that have a unit
+#: The lattice has many edges a unit, and Spark sorts a partition's in memory: a partition has the units of so many bytes
+#: of text, unless that takes more partitions than so many for each of the session's.
+LATTICE_BYTES, FINER = 2 << 20, 4
 UNIT = 48  # characters of a unit whose edges are packed
 #: A unit's place in the corpus is one long: partition and block in it (32 bits), number in the block (26), checksum (5).
 BLOCKS, NUMBERS, CHECK = 1 << 12, 1 << 26, 5
@@ -117,6 +120,7 @@ def _common(docs: DataFrame, text: str, rows: int, vocabulary: Vocabulary):
 
     spark = docs.sparkSession
 
+    @tidied
     def run(batches):
         import pyarrow as pa
 
@@ -226,6 +230,7 @@ def _blocks(docs: DataFrame, key: str, text: str, common, *, parts: int | None =
                     yield from done()
                     block, start = block + 1, i + 1
                     words, keys, counts, texts, size = defaultdict(itertools.count().__next__), [], [], [], 0
+                    tidy()
             if start < batch.num_rows:
                 keys.append(batch.column(0).slice(start))
         if size:
@@ -264,7 +269,11 @@ def _spread(values, starts, sizes):
     import numpy as np
 
     ends = np.cumsum(sizes)
-    return values[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((starts - ends + sizes).astype(kind), sizes)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def _stored(table) -> bytes:
@@ -303,6 +312,7 @@ def _long_paths(distinct: DataFrame, vocabulary: Vocabulary, spell: int) -> Data
     """As :func:`best_paths`, with the same choices, for units of any length."""
     pieces = distinct.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @tidied
     def run(batches):
         import pyarrow as pa
 
@@ -413,7 +423,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", text
     packed = F.expr(f"unhex(array_join(transform(ids, i -> lpad(hex(i), {2 * width}, '0')), ''))")
     # whole lists are shuffled, which takes fewer bytes than a row a unit; their bytes tell
     # little of the rows in them, so partitions aren't coalesced by bytes
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    usual = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(usual, min(FINER * usual, size // LATTICE_BYTES))
     lists = _blocks(docs, key, text, common, parts=parts).repartition(partitions, "part", "bucket")
     units = lists.select("part", "bucket", "place", F.posexplode(F.split("units", "\n")).alias("at", "unit"))
     place = F.expr(f"place + shiftleft(cast(at as long), {CHECK}) + (crc32(unit) & {(1 << CHECK) - 1}L)")

@@ -332,6 +332,25 @@ def test_small_blocks_and_several_parts_give_the_same(spark, vocabulary, monkeyp
     assert {x["doc_id"]: x["text"] for x in sentencepieces.decode(encoded, vocabulary).collect()} == dict(enumerate(texts))
 
 
+def test_lattice_partitions_are_bounded_by_text(spark, vocabulary, monkeypatch):
+    """F1a: the units of much text meet in more partitions than the session's, and the ids stay the same."""
+    monkeypatch.setattr(sentencepieces, "LATTICE_BYTES", 1000, raising=False)
+    texts = [" ".join(f"unit{i * 300 + j:x}é" for j in range(300)) for i in range(40)]
+    encoded = sentencepieces.encode(docs(spark, texts), vocabulary)
+    usual = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert re.search(rf"hashpartitioning\(part#\d+, bucket#\d+, {4 * usual}\)", encoded._jdf.queryExecution().toString())
+    for row in encoded.collect():
+        text = texts[row["doc_id"]]
+        assert row["ids"] == [x for u in sentencepieces._UNITS.findall(" " + text) for x in viterbi(vocabulary, u)]
+
+
+def test_runs_are_spread_in_narrow_numbers():
+    """F1a: positions take four bytes where that is enough; empty runs and no runs are fine."""
+    values, starts, sizes = np.arange(50, dtype=np.int32), np.array([7, 0, 49, 20]), np.array([3, 0, 1, 5])
+    assert sentencepieces._spread(values, starts, sizes).tolist() == [7, 8, 9, 49, 20, 21, 22, 23, 24]
+    assert sentencepieces._spread(values[:0], starts[:0], sizes[:0]).tolist() == []
+
+
 # ---- 6
 
 
