@@ -10,7 +10,7 @@ Two documents are near-duplicates if the Jaccard similarity of their sets of
 five-word shingles is at least 0.8.  If a set of n shingles is put in an order
 that all sets share, a similar set has one of its first n - ceil(0.8 n) + 1
 shingles among its own first ones.  So only these are joined, the shingles that
-are common in a sample last; sizes, places
+are common in a tenth of the documents last; sizes, places
 and counts of shingles by their hash rule out most pairs met, and the whole sets
 decide on the others.  Every similar pair is found, whatever the
 order.
@@ -33,11 +33,13 @@ from .simhash_dedup import links as near_fingerprints
 WIDTH = 5
 #: The least similarity, as a fraction: all comparisons are of whole numbers.
 PART, WHOLE = 4, 5
-COMMON = 1 << 17  # shingles that are put last
-LOOK = 5000  # documents, on average, in which the common shingles are counted
+COMMON = 1 << 17  # shingles that are put last by their counts
+#: Documents in which common shingles are counted: a part of all, and so many at least on average.  A fixed number would
+#: let the groups of the join grow with the corpus, as a shingle has to be ever more frequent to be seen twice.
+LOOK_PART, LOOK = 0.1, 5000
 ROWS = 1 << 20  # numbers in a batch that a task hands on
 FULL = 4  # shingles in one of the buckets that a set's shingles are counted in, at most and on average
-SLOTS = 1 << 19  # longs of the bit table of nodes: 4 MB however many they are
+SLOTS = 1 << 19  # longs of a bit table: 4 MB however many entries it has
 
 
 def shingle_set(text: bytes | None, width: int = WIDTH):
@@ -68,6 +70,11 @@ def _bits(nodes: DataFrame):
     return nodes.sparkSession.sparkContext.broadcast(table)
 
 
+def _in_bits(table, values):
+    """Whether each of ``values`` may be in the bit table."""
+    return table[values & SLOTS - 1] >> (values >> 19 & 63) & 1
+
+
 def _sets(docs: DataFrame, text: str, bits=None) -> DataFrame:
     """``node, shingles`` of every row of ``docs``, or of those whose node is in
     the bit table."""
@@ -86,7 +93,7 @@ def _sets(docs: DataFrame, text: str, bits=None) -> DataFrame:
             for value in column_bytes(batch, "_text"):
                 own = shingle_set(value)
                 node = node_of(own)
-                if bits is not None and not int(bits.value[node & SLOTS - 1]) >> (node >> 19 & 63) & 1:
+                if bits is not None and not _in_bits(bits.value, node):
                     continue
                 nodes.append(node)
                 sets.append(own)
@@ -122,6 +129,7 @@ def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``_key, fingerprint, mark, size, sketch``: the node of every row, with its
     set's SimHash, size and counts."""
 
+    @tidied
     def run(batches):
         import pyarrow as pa
 
@@ -152,6 +160,7 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """``a, b, bits``: those of the pairs whose sets can be similar by their
     counts, and by how many bits their fingerprints differ.  No similar pair is lost."""
 
+    @tidied
     def run(batches):
         import pyarrow as pa
 
@@ -168,23 +177,26 @@ def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _common(docs: DataFrame, text: str):
-    """Sorted shingles that a sample has more than once, and their counts.
-    They decide the order only, never what is found."""
+    """As broadcasts: sorted shingles that a sample has most often, with their
+    counts, and a bit table of all that it has more than once.  They decide the
+    order only, never what is found; a shingle that shares another's bit is
+    put further back than it need be, in all sets alike."""
     import numpy as np
 
-    sample = docs.sample(min(1.0, LOOK / max(docs.count(), 1)), seed=5)
-    counts = _sets(sample, text).dropDuplicates(["node"]).select(F.explode("shingles").alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n > 1")
+    sample = docs.sample(min(1.0, max(LOOK_PART, LOOK / max(docs.count(), 1))), seed=5)
+    counts = cut(_sets(sample, text).dropDuplicates(["node"]).select(F.explode("shingles").alias("v")).groupBy("v").agg(F.count("*").alias("n")).where("n > 1"))
     got = counts.orderBy(F.desc("n"), "v").limit(COMMON).toArrow()
     value, n = (got.column(i).to_numpy().astype(np.int64) for i in (0, 1))
     order = np.argsort(value)
-    return value[order], n[order]
+    return docs.sparkSession.sparkContext.broadcast((value[order], n[order])), _bits(counts.select(F.col("v").alias("node")))
 
 
 def _prefixes(docs: DataFrame, text: str) -> DataFrame:
     """``token, node, place``: the first shingles of every row's set; ``place``
     is the set's size, shifted left by 32, and the shingle's rank in it."""
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs, text))
+    common, seen = _common(docs, text)
 
+    @tidied
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -201,10 +213,10 @@ def _prefixes(docs: DataFrame, text: str) -> DataFrame:
                 n = len(own)
                 if not n:
                     continue
-                rank = np.zeros(n, np.int64)
+                rank = _in_bits(seen.value, own)  # 1 of those that were seen, but not among the most frequent
                 if len(value):
                     at = np.minimum(np.searchsorted(value, own), len(value) - 1)
-                    rank = np.where(value[at] == own, count[at], 0)
+                    rank = np.where(value[at] == own, count[at], rank)
                 first = np.lexsort((own, rank))[: n - -(-PART * n // WHOLE) + 1]
                 rows.append((own[first], np.full(len(first), node_of(own)), (n << 32) + np.arange(len(first))))
                 size += len(first)
