@@ -36,7 +36,8 @@ def raster_scan(spark, sf):
 def raster_reproject(spark, sf):
     """The files' cells on another lattice, bilinear; grids wider than two
     degrees lie over their neighbours, and each counts only for its own district."""
-    n = T.side(spark, sf) * 4 // 5
-    target = T.terrain(spark, sf).where(f"r < {n} and c < {n}").selectExpr("district", "r", "c", "2 * district + (c + 0.75D) * 5 / 512D as x", "40 - (r + 0.75D) * 5 / 512D as y")
-    of = written(spark, sf).withColumn("district", F.regexp_extract("file", r"([0-9]+)-[0-9]+-[0-9]+\.tif$", 1).cast("long"))
+    side = T.side(spark, sf)
+    n = side * 4 // 5
+    target = T.places(spark, side).where(f"r < {n} and c < {n}").selectExpr("district", "r", "c", "2 * district + (c + 0.75D) * 5 / 512D as x", "40 - (r + 0.75D) * 5 / 512D as y")
+    of = written(spark, sf).withColumn("district", F.substring_index(F.substring_index("file", "/", -1), "-", 1).cast("long"))
     return rasters.bilinear(of, target, STEP, STEP, ["district", "r", "c"], ["district"]).select("district", "r", "c", F.round("value", 6).alias("value"))

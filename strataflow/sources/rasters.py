@@ -1,10 +1,12 @@
 """Raster files as a data source, and bilinear reprojection.
 
 ``spark.read.format("raster")`` gives a row a cell of all GeoTIFF files below a
-path.  One block of a file, as the file stores it, is one partition; bounds on
-``x`` and ``y`` are pushed into the source, so blocks outside them are neither
-planned nor read.  Single bands, stored plainly or deflated, in strips or
-blocks.  Paths are what ``pyarrow.fs`` opens: local, hdfs, s3, gs.
+path.  One block of a file, as the file stores it, is one partition, or a run
+of blocks where there are many; of many files the small ones are dealt out
+whole, and the tasks read their headers.  Bounds on ``x`` and ``y`` are pushed
+into the source, so blocks outside them aren't read.  Single bands, stored
+plainly or deflated, in strips or blocks.  Paths are what ``pyarrow.fs`` opens:
+local, hdfs, s3, gs.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import struct
 import zlib
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +26,7 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, ST
 PREDICTOR, BLOCK_WIDTH, BLOCK_HEIGHT, BLOCK_AT, BLOCK_BYTES, SAMPLE_FORMAT, SCALE, TIE, NO_DATA = 317, 322, 323, 324, 325, 339, 33550, 33922, 42113
 KINDS = {1: "B", 2: "s", 3: "H", 4: "I", 5: "II", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 PLAIN, DEFLATED = 1, (8, 32946)
+PARTS, PART, BATCH = 64, 1 << 25, 1 << 16  # blocks or files before runs are made, the bytes of a run at most, the cells of a batch
 SCHEMA = "file string, row long, col long, x double, y double, value double"
 
 
@@ -33,15 +37,16 @@ def _open(path: str):
     return files, inside
 
 
-def _listed(path: str) -> list[str]:
+def _listed(path: str) -> list[tuple[str, int]]:
+    """The files and their sizes."""
     from pyarrow import fs
 
     files, inside = _open(path)
-    if files.get_file_info(inside).type == fs.FileType.File:
-        return [path]
+    if (info := files.get_file_info(inside)).type == fs.FileType.File:
+        return [(path, info.size)]
     head = path[: len(path) - len(inside)] if path.endswith(inside) else "file:"
     found = files.get_file_info(fs.FileSelector(inside, recursive=True))
-    return sorted(head + x.path for x in found if x.type == fs.FileType.File and x.path.lower().endswith((".tif", ".tiff")))
+    return sorted((head + x.path, x.size) for x in found if x.type == fs.FileType.File and x.path.lower().endswith((".tif", ".tiff")))
 
 
 def read_header(path: str) -> dict:
@@ -95,14 +100,12 @@ class Block(InputPartition):
         left, top = self.x0 + (self.col + 0.5) * self.dx, self.y0 - (self.row + 0.5) * self.dy
         return left <= box[2] and left + (self.wide - 1) * self.dx >= box[0] and top >= box[1] and top - (self.high - 1) * self.dy <= box[3]
 
-    def read(self):
-        """Its cells as an array of doubles; NaN where there is nothing."""
+    def read(self, f):
+        """Its cells as an array of doubles, from its open file; NaN where there is nothing."""
         import numpy as np
 
-        files, inside = _open(self.file)
-        with files.open_input_file(inside) as f:
-            f.seek(self.offset)
-            body = f.read(self.size)
+        f.seek(self.offset)
+        body = f.read(self.size)
         cells = np.frombuffer(zlib.decompress(body) if self.deflated else body, self.kind)
         cells = cells[: len(cells) // self.stride * self.stride].reshape(-1, self.stride)[: self.high]
         if self.differences:
@@ -127,6 +130,25 @@ def blocks_of(path: str) -> list[Block]:
     return out
 
 
+class Run(InputPartition):
+    """Several blocks, or whole files, whose headers its task reads."""
+
+    def __init__(self, items: list):
+        self.items = items
+
+
+def runs(items: list, sizes: list[int]) -> list[Run]:
+    """The items in order in about ``PARTS`` runs of even size, or in more where these were above ``PART`` bytes."""
+    most, out, held = min(PART, sum(sizes) / PARTS), [], 0
+    for item, size in zip(items, sizes):
+        if not out or held + size > most:
+            out.append(Run([]))
+            held = 0
+        out[-1].items.append(item)
+        held += size
+    return out
+
+
 class RasterReader(DataSourceReader):
     def __init__(self, options):
         self.path = options["path"]
@@ -144,22 +166,51 @@ class RasterReader(DataSourceReader):
                     self.box[high] = min(self.box[high], float(f.value))
             yield f
 
+    def blocks(self, path: str) -> list[Block]:
+        return [b for b in blocks_of(path) if b.within(tuple(self.box))]
+
     def partitions(self):
+        files = _listed(self.path)
+        whole = [x for x in files if x[1] <= PART] if len(files) > PARTS else []
+        rest = sorted({x for x, _ in files} - {x for x, _ in whole})
         with ThreadPoolExecutor(16) as pool:
-            found = [b for blocks in pool.map(blocks_of, _listed(self.path)) for b in blocks if b.within(tuple(self.box))]
+            found = [b for blocks in pool.map(self.blocks, rest) for b in blocks]
+        if len(found) > PARTS:
+            found = runs(found, [b.size for b in found])
+        if whole:
+            found += runs(*map(list, zip(*whole)))
         return found or [InputPartition(None)]
 
-    def read(self, block):
+    def read(self, part):
         import numpy as np
         import pyarrow as pa
 
-        if not isinstance(block, Block):
-            return
-        cells = block.read()
-        r, c = np.nonzero(~np.isnan(cells))
-        row, col = r + block.row, c + block.col
-        columns = [pa.array([block.file] * len(r), pa.string()), pa.array(row), pa.array(col), pa.array(block.x0 + (col + 0.5) * block.dx), pa.array(block.y0 - (row + 0.5) * block.dy), pa.array(cells[r, c])]
-        yield pa.record_batch(columns, ["file", "row", "col", "x", "y", "value"])
+        items = part.items if isinstance(part, Run) else [part] if isinstance(part, Block) else []
+
+        def batch():
+            columns = [np.concatenate(x) for x in zip(*held)]
+            names = pa.concat_arrays([pa.repeat(pa.scalar(file, pa.string()), n) for file, n in zip(named, map(len, next(zip(*held))))])
+            return pa.record_batch([names, *map(pa.array, columns)], ["file", "row", "col", "x", "y", "value"])
+
+        held, named, n = [], [], 0
+        for path, blocks in groupby(items, lambda x: x.file if isinstance(x, Block) else x):
+            blocks = [b for x in blocks for b in ([x] if isinstance(x, Block) else self.blocks(x))]
+            if not blocks:
+                continue
+            files, inside = _open(path)
+            with files.open_input_file(inside) as f:
+                for block in blocks:
+                    cells = block.read(f)
+                    r, c = np.nonzero(~np.isnan(cells))
+                    row, col = r + block.row, c + block.col
+                    held.append((row, col, block.x0 + (col + 0.5) * block.dx, block.y0 - (row + 0.5) * block.dy, cells[r, c]))
+                    named.append(path)
+                    n += len(r)
+                    if n >= BATCH:
+                        yield batch()
+                        held, named, n = [], [], 0
+        if n:
+            yield batch()
 
 
 class RasterSource(DataSource):
@@ -241,6 +292,9 @@ def write(cells: DataFrame, path: str, *, x0: str, y0: str, dx: float, dy: float
     return squares.groupBy("district", "tr", "tc").applyInArrow(save, "file string, cells long")
 
 
+TILE, TARGETS = 128, 1 << 18  # rows and columns of the lattice that meet at once, and their targets at most
+
+
 def bilinear(raster: DataFrame, target: DataFrame, dx: float, dy: float, keys: list[str], within: list[str] = []) -> DataFrame:
     """``keys, value``: each target from the four cells around its ``x, y``,
     weighted by nearness.
@@ -250,20 +304,55 @@ def bilinear(raster: DataFrame, target: DataFrame, dx: float, dy: float, keys: l
     Columns ``within``, of the keys and of ``raster``, part the grids: a target
     takes only cells of its own, whatever else lies over them.
     Cells without a value give their weight to the others; a target without
-    any has a null.  The four are joined by their place on the lattice, so
+    any has a null.  Cells and targets meet by tiles of the lattice, a cell on
+    a border in each tile beside it, the targets of a crowded tile in slices;
     neither side is held whole anywhere.
     """
     spot = lambda at, size: F.col(at) / F.lit(size) - 0.5  # noqa: E731  of a cell's centre: a whole number
-    lattice = raster.groupBy(*within, F.round(spot("x", dx)).cast("long").alias("_i"), F.round(spot("y", dy)).cast("long").alias("_j")).agg(F.min_by("value", "file").alias("_v"))
     # a centre found by rounding is one, not a hair beside it
     exact = lambda e: F.when(F.abs(e - F.round(e)) < 1e-9, F.round(e)).otherwise(e)
-    at = target.select(*keys, exact(spot("x", dx)).alias("_x"), exact(spot("y", dy)).alias("_y"))
-    corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    four = at.withColumn("_k", corners).select(
-        *keys,
-        (F.floor("_x") + F.col("_k.a")).alias("_i"),
-        (F.floor("_y") + F.col("_k.b")).alias("_j"),
-        ((1 - F.abs(F.col("_x") - F.floor("_x") - F.col("_k.a"))) * (1 - F.abs(F.col("_y") - F.floor("_y") - F.col("_k.b")))).alias("_w"),
-    )
-    got = four.where("_w > 0").join(lattice, [*within, "_i", "_j"], "left").withColumn("_w", F.when(F.col("_v").isNotNull(), F.col("_w")))
-    return got.groupBy(*keys).agg((F.sum(F.col("_w") * F.col("_v")) / F.sum("_w")).alias("value"))
+    tile = lambda e: F.floor(e / TILE).cast("long")
+    parts = [f"_p{k}" for k in range(len(within))]
+    by = [*parts, "_ti", "_tj"]
+    at = target.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], *[F.col(w).alias(p) for p, w in zip(parts, within)], exact(spot("x", dx)).alias("_x"), exact(spot("y", dy)).alias("_y"))
+    at = at.where("_x is not null and _y is not null").withColumns({"_ti": tile(F.floor("_x")), "_tj": tile(F.floor("_y"))})
+    same = [F.col(k).eqNullSafe(F.col(f"_c{k}")) for k in by]
+    crowded = at.groupBy(*by).count().where(F.col("count") > TARGETS).select(*[F.col(k).alias(f"_c{k}") for k in by], F.ceil(F.col("count") / TARGETS).alias("_slices"))
+    sliced = lambda df: df.join(F.broadcast(crowded), same, "left").withColumn("_n", F.coalesce("_slices", F.lit(1)))  # noqa: E731  a row a crowded tile
+    own = [f"_k{n}" for n in range(len(keys))]
+    spots = sliced(at).select(*own, *by, F.pmod(F.xxhash64(*own), "_n").alias("_s"), "_x", "_y")
+    cells = raster.where("file is not null").select(*[F.col(w).alias(p) for p, w in zip(parts, within)], F.round(spot("x", dx)).cast("long").alias("_i"), F.round(spot("y", dy)).cast("long").alias("_j"), F.col("value").cast("double").alias("_v"), F.col("file").alias("_f"))
+    cells = cells.dropna(subset=[*parts, "_i", "_j"])
+    near = lambda e: F.explode(F.array_distinct(F.array(tile(F.col(e) - 1), tile(F.col(e)))))
+    cells = sliced(cells.withColumn("_ti", near("_i")).withColumn("_tj", near("_j"))).withColumn("_s", F.explode(F.expr("sequence(0L, _n - 1)"))).select(*by, "_s", "_i", "_j", "_v", "_f")
+
+    def weigh(cells, spots):
+        import numpy as np
+        import pyarrow as pa
+
+        value, there = np.zeros((TILE + 1, TILE + 1)), np.zeros((TILE + 1, TILE + 1), bool)
+        if cells.num_rows:
+            i, j = (cells[k].to_numpy() - cells[t][0].as_py() * TILE for k, t in (("_i", "_ti"), ("_j", "_tj")))
+            names = cells["_f"].combine_chunks().dictionary_encode()
+            rank = np.argsort(np.argsort(np.array([x.encode() for x in names.dictionary.to_pylist()], object)))
+            last = np.argsort(-rank[names.indices.to_numpy()], kind="stable")  # the first by name is written last
+            value[i[last], j[last]] = cells["_v"].to_numpy(zero_copy_only=False)[last]
+            there[i[last], j[last]] = ~cells["_v"].is_null().to_numpy(zero_copy_only=False)[last]
+        x, y = (spots[k].to_numpy() for k in ("_x", "_y"))
+        real = np.isfinite(x) & np.isfinite(y)
+        total, weight = np.zeros(len(x)), np.zeros(len(x))
+        fi, fj = np.floor(x[real]), np.floor(y[real])
+        if real.any():
+            i, j = ((f - spots[t][0].as_py() * TILE).astype(int) for f, t in ((fi, "_ti"), (fj, "_tj")))
+            for a in (0, 1):
+                for b in (0, 1):
+                    w = (1 - np.abs(x[real] - fi - a)) * (1 - np.abs(y[real] - fj - b))
+                    ok = (w > 0) & there[i + a, j + b]
+                    total[real] += np.where(ok, w * value[i + a, j + b], 0)
+                    weight[real] += np.where(ok, w, 0)
+        return spots.select(own).append_column("_t", pa.array(total)).append_column("_w", pa.array(weight))
+
+    kinds = ", ".join(f"{k} {spots.schema[k].dataType.simpleString()}" for k in own)
+    got = cells.groupBy(*by, "_s").cogroup(spots.groupBy(*by, "_s")).applyInArrow(weigh, f"{kinds}, _t double, _w double")
+    sums = got.groupBy(*own).agg(F.sum("_t").alias("_t"), F.sum("_w").alias("_w"))
+    return sums.select(*[F.col(o).alias(k) for o, k in zip(own, keys)], F.when(F.col("_w") > 0, F.col("_t") / F.col("_w")).alias("value"))

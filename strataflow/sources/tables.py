@@ -89,10 +89,15 @@ def side(spark: SparkSession, sf_dir: str) -> int:
     return max(24, int((table(spark, sf_dir, "lineitem").count() / REGIONS) ** 0.5))
 
 
+def places(spark: SparkSession, n: int) -> DataFrame:
+    """``district, r, c``: every cell of 25 grids of ``n`` rows and columns."""
+    return spark.range(REGIONS * n * n).select(F.expr(f"id div {n * n}").alias("district"), F.expr(f"(id % {n * n}) div {n}").alias("r"), F.expr(f"id % {n}").alias("c"))
+
+
 def terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``district, r, c, v``: 25 square grids that grow with ``lineitem``; v sums quantities."""
     n = side(spark, sf_dir)
-    full = spark.range(REGIONS * n * n).select(F.expr(f"id div {n * n}").alias("district"), F.expr(f"(id % {n * n}) div {n}").alias("r"), F.expr(f"id % {n}").alias("c"))
+    full = places(spark, n)
     place, rows = ["district", "r", "c"], REGIONS * n * n
     items = table(spark, sf_dir, "lineitem").select(F.expr(f"l_suppkey % {REGIONS}").alias("district"), F.expr(f"l_partkey % {n}").alias("r"), F.expr(f"l_orderkey % {n}").alias("c"), "l_quantity")
     sums = spread(items, rows, *place).groupBy(*place).agg(F.sum("l_quantity").cast("double").alias("v"))

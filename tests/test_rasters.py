@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, LessThanOrEqual
 
 from strataflow.sources import rasters
@@ -121,3 +122,44 @@ def test_reprojection_matches_numpy(session):
                     total, weight = total + w * z[a, b], weight + w
         assert got[k] == (pytest.approx(total / weight) if weight else None)
     assert rasters.bilinear(raster.where("false"), session.createDataFrame(spots, "k long, x double, y double"), 0.5, 0.25, ["k"]).where("value is not null").isEmpty()
+
+
+def test_many_small_files_and_blocks_go_by_runs(session, tmp_path):
+    """A block a task was 144,400 tasks for 1 GB of tables."""
+    z = rough((40, 40), 8)
+    rasters.write(cells(session, z), f"{tmp_path}/a", x0="0", y0="40", dx=1, dy=1, side=2, block=16).collect()
+    df = session.read.format("raster").load(f"{tmp_path}/a")
+    assert len(list((tmp_path / "a").iterdir())) > 300 and df.rdd.getNumPartitions() < 200
+    got = {(x["y"], x["x"]): x["value"] for x in df.collect()}
+    assert got == {(40 - (r + 0.5), c + 0.5): z[r, c] for r, c in zip(*np.nonzero(~np.isnan(z)))}
+    box = df.where("x > 10 and x <= 20 and y = 30.5")
+    assert {(x["y"], x["x"]) for x in box.collect()} == {p for p in got if p[0] == 30.5 and 10 < p[1] <= 20}
+    rasters.write(cells(session, z), f"{tmp_path}/b", x0="0", y0="40", dx=1, dy=1, side=64, block=2).collect()
+    one = session.read.format("raster").load(f"{tmp_path}/b")
+    assert one.rdd.getNumPartitions() < 200 and {(x["y"], x["x"]): x["value"] for x in one.collect()} == got
+
+
+def test_targets_meet_cells_by_tiles(session, monkeypatch):
+    """Each cell and target is shuffled once, not four rows a target; crowded tiles go in slices."""
+    z = rough((30, 30), 9, 0.3)
+    raster = cells(session, z).selectExpr("(c - 15 + 0.5D) * 0.5D as x", "(15 - r - 0.5D) * 0.25D as y", "v as value", "'b' as file").withColumn("g", F.lit(1))
+    r = np.random.default_rng(4)
+    spots = [(1 if k % 10 else None, k, float(x), float(y)) for k, (x, y) in enumerate(zip(r.uniform(-8, 8, 300), r.uniform(-4, 4, 300)))] + [(1, 900, None, 1.0), (2, 901, 1.0, 1.0)]
+    target = session.createDataFrame(spots, "g long, k long, x double, y double")
+    run = lambda: {(x["g"], x["k"]): x["value"] for x in rasters.bilinear(raster, target, 0.5, 0.25, ["g", "k"], ["g"]).collect()}
+    whole = run()
+    assert len(whole) == 301 and whole[2, 901] is None and all(v is None for (g, _), v in whole.items() if g is None)
+    for g, k, x, y in spots[:300]:
+        fc, fr, total, weight = x / 0.5 + 14.5, 14.5 - y / 0.25, 0.0, 0.0
+        for a in (int(np.floor(fr)), int(np.floor(fr)) + 1):
+            for b in (int(np.floor(fc)), int(np.floor(fc)) + 1):
+                if g and 0 <= a < 30 and 0 <= b < 30 and not np.isnan(z[a, b]):
+                    w = (1 - abs(fr - a)) * (1 - abs(fc - b))
+                    total, weight = total + w * z[a, b], weight + w
+        assert whole[g, k] == (pytest.approx(total / weight) if weight else None)
+    monkeypatch.setattr(rasters, "TILE", 4)
+    monkeypatch.setattr(rasters, "TARGETS", 3)
+    sliced = run()
+    assert sliced.keys() == whole.keys() and all(v is None and sliced[k] is None or v == pytest.approx(sliced[k]) for k, v in whole.items())
+    plan = rasters.bilinear(raster, target, 0.5, 0.25, ["g", "k"], ["g"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan
