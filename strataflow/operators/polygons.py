@@ -28,6 +28,17 @@ def edges(rings: DataFrame, keys: Sequence[str], ring: str = "ring") -> DataFram
     return pairs.select(*keys, real("_e._p.x").alias("x1"), real("_e._p.y").alias("y1"), real("_e._q.x").alias("x2"), real("_e._q.y").alias("y2")).where("y1 != y2")
 
 
+def alike(rows: DataFrame, by: Sequence[str], key: str, out: str, members: str, piece: int = 1024) -> DataFrame:
+    """``by, out, members``: rows of equal ``by`` as one, with the list of
+    their keys, and ``out``, the least of these, as its name; more than
+    ``piece`` keys go by several rows.  What is asked of a shape or a place
+    then is asked once, however many rows have it.
+    """
+    same = W.partitionBy(F.xxhash64(*by), *by).orderBy(key)
+    numbered = rows.select(*by, key, F.floor((F.row_number().over(same) - 1) / piece).alias("_piece"))
+    return numbered.groupBy(*by, "_piece").agg(F.min(key).alias(out), F.collect_list(key).alias(members)).drop("_piece")
+
+
 def _at(y: str) -> str:
     """Where an edge crosses the line at ``y``."""
     return f"(x2 - x1) * ({y} - y1) / (y2 - y1) + x1"

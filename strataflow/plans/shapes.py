@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import polygons
+from ..operators.shared import ROWS, cut
 from ..sources import tables as T
 from .build import oracle, query
 
@@ -26,11 +27,18 @@ EDGES = "e AS (" + " UNION ALL ".join(f"SELECT k, {corner(i, part)[0]} AS x1, {c
 KEYS = "customer_keys AS (SELECT CAST(c_custkey AS BIGINT) AS k FROM customer)"
 
 
+def shapes(spark, sf):
+    """``k, rings``: a customer's two rings."""
+    ring = lambda part: "array(" + ", ".join(f"named_struct('x', {corner(i, part)[0]}, 'y', {corner(i, part)[1]})" for i in range(8)) + ")"
+    keys = T.table(spark, sf, "customer").selectExpr("cast(c_custkey as bigint) as k")
+    # a small file is read by one task, but makes many corners
+    dealt = keys.repartition(max(2 * spark.sparkContext.defaultParallelism, -(-keys.count() // ROWS)), "k")
+    return dealt.select("k", F.expr(f"array({ring(1)}, {ring(2)})").alias("rings"))
+
+
 def outlines(spark, sf):
     """``k, ring``: two rings a customer."""
-    k = T.table(spark, sf, "customer").selectExpr("cast(c_custkey as bigint) as k")
-    ring = lambda part: "array(" + ", ".join(f"named_struct('x', {corner(i, part)[0]}, 'y', {corner(i, part)[1]})" for i in range(8)) + ")"
-    return k.select("k", F.explode(F.expr(f"array({ring(1)}, {ring(2)})")).alias("ring"))
+    return shapes(spark, sf).select("k", F.explode("rings").alias("ring"))
 
 
 BOX = "b AS (SELECT k, min(least(x1, x2)) AS l, max(greatest(x1, x2)) AS r, min(least(y1, y2)) AS b, max(greatest(y1, y2)) AS t FROM e GROUP BY 1)"
@@ -54,9 +62,17 @@ def fill_polygons(spark, sf):
 
 @query(f"WITH {KEYS}, {EDGES}, {BOX}, s AS (SELECT CAST(s_suppkey AS BIGINT) AS id, 68 + s_suppkey * 97 % 1856 / 64e0 AS x, 8 + s_suppkey * 61 % 1792 / 64e0 AS y FROM supplier) SELECT id, k FROM s JOIN b ON x BETWEEN l AND r AND y BETWEEN b AND t JOIN e USING (k) WHERE {ODD} GROUP BY 1, 2 HAVING count(*) % 2 = 1")
 def polygon_join(spark, sf):
-    """The outlines that each supplier's place is in."""
+    """The outlines that each supplier's place is in.
+
+    Places meet shapes, each once, and the pairs of those become rows: the
+    result's size grows with the product of both tables, the search doesn't.
+    """
     places = T.table(spark, sf, "supplier").selectExpr("cast(s_suppkey as bigint) as id", "68 + s_suppkey * 97 % 1856 / 64e0 as x", "8 + s_suppkey * 61 % 1792 / 64e0 as y")
-    return polygons.locate(places, polygons.edges(outlines(spark, sf), ["k"]), ["k"], ["id"])
+    spots, kinds = polygons.alike(places, ["x", "y"], "id", "place", "ids"), cut(polygons.alike(shapes(spark, sf), ["rings"], "k", "shape", "ks"))
+    lines = polygons.edges(kinds.select("shape", F.explode("rings").alias("ring")), ["shape"])
+    pairs = polygons.locate(spots.select("place", "x", "y"), lines, ["shape"], ["place"])
+    found = pairs.join(spots.select("place", "ids"), "place").join(kinds.select("shape", "ks"), "shape")
+    return found.select(F.explode("ids").alias("id"), "ks").select("id", F.explode("ks").alias("k"))
 
 
 @query(f"{inside(2)} SELECT k, y AS lat, x AS lon, row_number() OVER (PARTITION BY k ORDER BY y, x) AS id FROM i")

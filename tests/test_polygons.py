@@ -77,3 +77,34 @@ def test_long_bands_go_by_pieces_and_nothing_is_broadcast(spark, lines, capsys):
     assert "Broadcast" not in capsys.readouterr().out
     got = sorted((x["id"], x["k"]) for x in polygons.locate(points, lines.where("k is not null"), ["k"], ["id"], 4.0, 3).collect())
     assert got == sorted((i, k) for i, x, y in spots for k, rings in SHAPES.items() if k is not None and odd(rings, x, y))
+
+
+def test_places_and_shapes_meet_once(spark, tmp_path, monkeypatch):
+    """800 customers of one shape and 600 suppliers of one place: one pair is tested, not 480,000."""
+    import duckdb
+
+    import __spark_entry__
+
+    duckdb.sql(f"copy (select 1 + range * 84448 as c_custkey from range(800) union all select null union all select 2) to '{tmp_path}/customer.parquet'")
+    duckdb.sql(f"copy (select 4941 + range * 51968 as s_suppkey from range(600) union all select range from range(900)) to '{tmp_path}/supplier.parquet'")
+    seen = []
+
+    def locate(points, lines, keys, own, real=polygons.locate):
+        seen.append((points.count(), lines.select(*keys).distinct().count()))
+        return real(points, lines, keys, own)
+
+    monkeypatch.setattr(polygons, "locate", locate)
+    got = __spark_entry__.queries()["polygon_join"](spark, str(tmp_path)).collect()
+    assert seen == [(901, 2)]
+    con = duckdb.connect()
+    for t in ("customer", "supplier"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    rel = con.sql(__spark_entry__.oracle_sql()["polygon_join"])
+    want = sorted(dict(zip(rel.columns, x))["k"] * 10**9 + dict(zip(rel.columns, x))["id"] for x in rel.fetchall())
+    assert len(want) > 480_000 and sorted(x["k"] * 10**9 + x["id"] for x in got) == want
+
+
+def test_many_alike_go_by_pieces(spark):
+    rows = polygons.alike(spark.range(25).selectExpr("id", "id % 2 as a", "array(id % 2 + 0.5D) as b"), ["a", "b"], "id", "name", "all", 5).collect()
+    assert sorted(i for x in rows for i in x["all"]) == list(range(25)) and {len(x["all"]) for x in rows} <= {5, 3, 2}
+    assert all(x["name"] == min(x["all"]) and {i % 2 for i in x["all"]} == {x["a"]} for x in rows) and len(rows) == 6
