@@ -43,19 +43,18 @@ def cost_distance(cells: DataFrame, price: str, sources: DataFrame, side: int =
     def step(cost, theirs, own, length):
         return cost + length * 0.5 * (theirs[0] + own[0])
 
-    def make(padded):
+    def finish(padded, values):
         import numpy as np
 
-        price, cost = padded
+        price, cost = padded[0], values[0]
         here = cost[1:-1, 1:-1]
         way = np.full(here.shape, np.nan)
-        for k, ((a, b), near) in enumerate(tiles.around(padded)):
+        for k, ((a, b), near) in enumerate(tiles.around(np.stack([price, cost]))):
             over = step(near[1], near, price[None, 1:-1, 1:-1], 1.0 if 0 in (a, b) else tiles.DIAGONAL)
             way = np.where(np.isnan(way) & (over == here), k, way)
         return [price[1:-1, 1:-1], here, way]
 
-    reached = tiles.relax(marked, ["price", "seed"], start, step, ["cost"], side)
-    return tiles.stencil(reached, ["price", "cost"], make, ["price", "cost", "way"], side)
+    return tiles.relax(marked, ["price", "seed"], start, step, ["price", "cost", "way"], side, finish=finish)
 
 
 def routes(reached: DataFrame, goals: DataFrame) -> DataFrame:
