@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tiles
-from .drainage import PLACE, number, towards
-from .networks import accumulate
-from .shared import cut
+from .courses import gather
+from .drainage import PLACE
 
 
 def travel_cost(cells: DataFrame, slope: str, stream: str, sea: str, inside: str) -> DataFrame:
@@ -57,15 +56,15 @@ def cost_distance(cells: DataFrame, price: str, sources: DataFrame, side: int =
     return tiles.relax(marked, ["price", "seed"], start, step, ["price", "cost", "way"], side, finish=finish)
 
 
-def routes(reached: DataFrame, goals: DataFrame) -> DataFrame:
+def routes(reached: DataFrame, goals: DataFrame, side: int = tiles.SIDE) -> DataFrame:
     """``district, r, c, uses``: the union of the ways from the sources to the
     goals, with the number of goals whose way passes a cell.
 
     ``reached`` is a result of ``cost_distance``; the ways make a forest, and
-    all are walked back at once by pointer doubling.  A goal that can't be
+    all are walked back at once, tile by tile.  A goal that can't be
     reached has no way; goals at one cell count each.  ``goals``: district, r, c.
     """
     wanted = goals.groupBy(*PLACE).agg(F.count("*").alias("w"))
     ground = reached.where("cost is not null").join(wanted, PLACE, "left")
-    forest = cut(ground.select(*PLACE, number().alias("cell"), towards("way").alias("recv"), F.coalesce("w", F.lit(0)).alias("w")))
-    return accumulate(forest).where("accum > 0").join(forest, "cell").select(*PLACE, F.col("accum").alias("uses"))
+    forest = ground.select(*PLACE, "way", F.coalesce("w", F.lit(0)).alias("w"))
+    return gather(forest, "w", side=side).where("accum > 0").select(*PLACE, F.col("accum").cast("long").alias("uses"))
